@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarrylight.llm import repeated_lines, residue, truncation
+from quarrylight.llm import leakage, mixing, repeated_lines, residue, stuffing, truncation
 from quarrylight.sources.tables import table
 
 
@@ -39,7 +40,43 @@ def p7_usable(spark: SparkSession, sf: str) -> DataFrame:
     return residue.usable(table(spark, sf, "site_pages")).select("page_id", "domain", "url")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p6_found, p6_clean, p7_found, p7_usable)}
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold passages of evaluation items, with the items."""
+    return leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+def p8_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Each leaked item with the number of documents that hold it, by kind of match."""
+    found = leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+    return found.groupBy("item_id", "kind").agg(F.countDistinct("doc_id").alias("documents"), F.max("run").alias("longest_run"))
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The records of the mix, with their sizes and uses."""
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "source_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The share that each source really reached."""
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "source_targets"))[1]
+
+
+def p9_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for the largest mix in which no source falls short."""
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "source_targets"), exact=True)[1]
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that are keyword-stuffed or lists of links, tags or labels."""
+    return stuffing.scores(table(spark, sf, "documents")).where("spam").select("doc_id")
+
+
+def p10_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Every judged document with its perplexity and shares."""
+    return stuffing.scores(table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p6_found, p6_clean, p7_found, p7_usable, p8_found, p8_items, p9_mix, p9_shares, p9_exact, p10_found, p10_scores)}
 
 _P6_LINES = r"""
 lines AS (
