@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import leakage, mixing, repeated_lines, residue, stuffing, truncation
+from quarrylight.llm import leakage, mixing, personal, repeated_lines, residue, stuffing, truncation
 from quarrylight.sources.tables import table
 
 
@@ -19,6 +19,23 @@ def p2_rates(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.rates(table(spark, sf, "site_pages"), table(spark, sf, "site_bundles"))
 
 
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "site_pages").select(F.lit("site_pages").alias("origin"), F.col("page_id").alias("row_key"), "text")
+    footers = table(spark, sf, "site_bundles").select(F.lit("site_bundles").alias("origin"), F.col("bundle_id").alias("row_key"), F.col("footer_text").alias("text"))
+    return pages.unionByName(footers)
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every value of personal data in pages and footers."""
+    return personal.find(_texts(spark, sf)).select("origin", "row_key", "kind", "start_at")
+
+
+def p5_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages and footers with typed placeholders in place of personal data."""
+    texts = _texts(spark, sf)
+    return personal.redact(texts, personal.find(texts)).select("origin", "row_key", "text")
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """Lines that recur on ten or more addresses of their domain."""
     return repeated_lines.repeated_lines(table(spark, sf, "site_pages"))
@@ -76,7 +93,7 @@ def p10_scores(spark: SparkSession, sf: str) -> DataFrame:
     return stuffing.scores(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p6_found, p6_clean, p7_found, p7_usable, p8_found, p8_items, p9_mix, p9_shares, p9_exact, p10_found, p10_scores)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p5_found, p5_redacted, p6_found, p6_clean, p7_found, p7_usable, p8_found, p8_items, p9_mix, p9_shares, p9_exact, p10_found, p10_scores)}
 
 _P6_LINES = r"""
 lines AS (
