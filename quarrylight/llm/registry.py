@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import leakage, mixing, personal, repeated_lines, residue, stuffing, truncation
+from quarrylight.llm import leakage, mixing, names, personal, repeated_lines, residue, stuffing, truncation
 from quarrylight.sources.tables import table
 
 
+def _names(spark: SparkSession, sf: str) -> DataFrame:
+    actions = table(spark, sf, "enforcement_actions").select(F.col("entity_name").alias("name"))
+    return actions.unionByName(table(spark, sf, "site_pages").select(F.col("og_site_name").alias("name")))
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of different spellings of one firm or person."""
+    return names.pairs(_names(spark, sf))
+
+
+def p1_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """Every stored name with its entity."""
+    return names.entities(_names(spark, sf))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pages whose text was cut off."""
     return truncation.truncated(table(spark, sf, "site_pages")).where("truncated").select("page_id")
@@ -93,7 +108,7 @@ def p10_scores(spark: SparkSession, sf: str) -> DataFrame:
     return stuffing.scores(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p5_found, p5_redacted, p6_found, p6_clean, p7_found, p7_usable, p8_found, p8_items, p9_mix, p9_shares, p9_exact, p10_found, p10_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p2_found, p2_rates, p5_found, p5_redacted, p6_found, p6_clean, p7_found, p7_usable, p8_found, p8_items, p9_mix, p9_shares, p9_exact, p10_found, p10_scores)}
 
 _P6_LINES = r"""
 lines AS (
