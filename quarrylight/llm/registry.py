@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import leakage, mixing, names, personal, repeated_lines, residue, stuffing, truncation
+from quarrylight.llm import history, leakage, mixing, names, personal, repeated_lines, residue, stuffing, truncation
 from quarrylight.sources.tables import table
 
 
@@ -34,6 +34,21 @@ def p2_rates(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.rates(table(spark, sf, "site_pages"), table(spark, sf, "site_bundles"))
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that report a decision again, with the first row that did."""
+    return history.repeats(table(spark, sf, "enforcement_actions"))
+
+
+def p4_accepted(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that report a new decision."""
+    return history.accepted(table(spark, sf, "enforcement_actions")).select("batch_no", "row_id", "id", "entity_name")
+
+
+def p4_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Recall of the graph index against exhaustive search."""
+    return history.measured_recall(table(spark, sf, "enforcement_actions"))
+
+
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "site_pages").select(F.lit("site_pages").alias("origin"), F.col("page_id").alias("row_key"), "text")
     footers = table(spark, sf, "site_bundles").select(F.lit("site_bundles").alias("origin"), F.col("bundle_id").alias("row_key"), F.col("footer_text").alias("text"))
@@ -108,7 +123,7 @@ def p10_scores(spark: SparkSession, sf: str) -> DataFrame:
     return stuffing.scores(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p2_found, p2_rates, p5_found, p5_redacted, p6_found, p6_clean, p7_found, p7_usable, p8_found, p8_items, p9_mix, p9_shares, p9_exact, p10_found, p10_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p2_found, p2_rates, p4_found, p4_accepted, p4_recall, p5_found, p5_redacted, p6_found, p6_clean, p7_found, p7_usable, p8_found, p8_items, p9_mix, p9_shares, p9_exact, p10_found, p10_scores)}
 
 _P6_LINES = r"""
 lines AS (
