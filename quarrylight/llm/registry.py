@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import history, leakage, mixing, names, personal, repeated_lines, residue, stuffing, truncation
+from quarrylight.llm import boilerplate, history, leakage, mixing, names, personal, repeated_lines, residue, stuffing, truncation
 from quarrylight.sources.tables import table
 
 
@@ -34,6 +34,18 @@ def p2_rates(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.rates(table(spark, sf, "site_pages"), table(spark, sf, "site_bundles"))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of pages that are site furniture."""
+    pages = table(spark, sf, "site_pages")
+    return boilerplate.label(pages, boilerplate.train(pages)).select("page_id", F.explode("furniture").alias("line_no"))
+
+
+def p3_body(spark: SparkSession, sf: str) -> DataFrame:
+    """The body of each page."""
+    pages = table(spark, sf, "site_pages")
+    return boilerplate.label(pages, boilerplate.train(pages)).select("page_id", F.col("body").alias("text"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Rows that report a decision again, with the first row that did."""
     return history.repeats(table(spark, sf, "enforcement_actions"))
@@ -123,7 +135,7 @@ def p10_scores(spark: SparkSession, sf: str) -> DataFrame:
     return stuffing.scores(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p2_found, p2_rates, p4_found, p4_accepted, p4_recall, p5_found, p5_redacted, p6_found, p6_clean, p7_found, p7_usable, p8_found, p8_items, p9_mix, p9_shares, p9_exact, p10_found, p10_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p2_found, p2_rates, p3_found, p3_body, p4_found, p4_accepted, p4_recall, p5_found, p5_redacted, p6_found, p6_clean, p7_found, p7_usable, p8_found, p8_items, p9_mix, p9_shares, p9_exact, p10_found, p10_scores)}
 
 _P6_LINES = r"""
 lines AS (

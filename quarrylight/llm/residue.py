@@ -176,12 +176,14 @@ def _judge():
                 return True
         return any(filler.search(quoted.sub(" ", line)) for line in holding(text, low, (), words))
 
-    def judge(title: str | None, text: str):
+    def judge(title: str | None, text: str, notes_too: bool = True):
         title = (title or "").replace("\u00a0", " ").strip()
         text = text.replace("\u00a0", " ")
         low = text.lower()
         if titles.match(title) or residue(title, title.lower()) or residue(text, low):
             return True, []
+        if not notes_too:
+            return None
         notes = {line for line in holding(text, low, (), stems) if len(line) < longest and notices.search(line)}
         if not notes:
             return None
