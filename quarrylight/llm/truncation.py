@@ -75,7 +75,7 @@ _SQL = {
     "t_trigrams": r"""
         SELECT _c, _word, get(_w, _j + 1) AS _next
         FROM (SELECT xxhash64(coalesce(get(_w, _j - 2), '<s>'), coalesce(get(_w, _j - 1), '<s>')) AS _c, _word, _j, _w, _final
-              FROM (SELECT split(lower(trim(_line)), '[  ]+') AS _w, _final FROM t_lines) LATERAL VIEW posexplode(_w) AS _j, _word)
+              FROM (SELECT split(lower(replace(replace(trim(_line), ' ', ' '), '  ', ' ')), ' ') AS _w, _final FROM t_lines) LATERAL VIEW posexplode(_w) AS _j, _word)
         WHERE bit_get((SELECT _bits FROM t_contextbits)[CAST(pmod(_c, {bits}) DIV 64 AS INT)], CAST(pmod(_c, {bits}) % 64 AS INT)) = 1
               AND NOT (_final AND get(_w, _j + 1) IS NULL)""",
     # Third word, and whether the sentence or label ends with it; bars and bullets part labels.
@@ -96,7 +96,7 @@ _SQL = {
     "t_forms": r"""
         SELECT _f, sum(_inside) AS _inside, count(*) AS _lines
         FROM (SELECT xxhash64({form}) AS _f, 1L AS _inside
-              FROM (SELECT _line, {opening} AS _g FROM (SELECT trim(replace(_line, ' ', ' ')) AS _line FROM t_lines WHERE NOT _final))
+              FROM (SELECT trim(replace(_line, ' ', ' ')) AS _line, {opening} AS _g FROM t_lines WHERE NOT _final)
               WHERE bit_get((SELECT _bits FROM t_openingbits)[CAST(pmod(_g, {bits}) DIV 64 AS INT)], CAST(pmod(_g, {bits}) % 64 AS INT)) = 1
               UNION ALL SELECT _f, 0L AS _inside FROM t_open WHERE _asks)
         GROUP BY _f""",
@@ -128,8 +128,8 @@ _BITMAP = r"""
                (SELECT _p DIV 64 AS _i, bit_or(shiftleft(1L, CAST(_p % 64 AS INT))) AS _v FROM {view} GROUP BY _p DIV 64) g
           ON r.id = g._i)"""
 
-#: What lines of one form share at little cost: the first word and the number of blanks.
-_OPENING = r"xxhash64(lower(substring_index(_line, ' ', 1)), length(_line) - length(replace(_line, ' ', '')))"
+#: What a line and its form's other lines mostly share, at little cost: their first letters and the number of blanks.
+_OPENING = r"xxhash64(left(ltrim(_line), 3), octet_length(trim(_line)) - octet_length(replace(trim(_line), ' ', '')))"
 
 _VALUES = {
     "{opening}": _OPENING,
