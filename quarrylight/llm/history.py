@@ -31,11 +31,11 @@ from quarrylight.runtime import batch_rows, cut
 #: Dimensions of a vector: the bits of one hash for each feature.
 DIMS = 64
 #: Rows of a shard, rows of a block that searches one, nearest and far links of a node.
-SHARD_ROWS, BLOCK_ROWS, NEAREST, FAR = 32_000, 20_000, 10, 4
+SHARD_ROWS, BLOCK_ROWS, NEAREST, FAR = 60_000, 40_000, 10, 4
 #: Beams tried in turn until the nearest row of a sample is found as often as wanted.
 BEAMS, SAMPLE, WANTED = (12, 24, 48, 96, 192), 256, 0.985
 #: Neighbours taken from a shard, and the least similarity of one that is compared exactly.
-TOP, LEAST = 8, 0.55
+TOP, LEAST = 12, 0.55
 #: Shares of firm, date, laws with source, and wording in a vector.
 WEIGHTS = (0.42, 0.2, 0.1, 0.28)
 #: Similarity of two wordings of one ruling.
@@ -92,10 +92,10 @@ class Graph:
         n, rng = len(vectors), np.random.default_rng(seed)
         k = min(NEAREST, n - 1)
         near = np.zeros((n, max(k, 1)), np.int32)
-        for a in range(0, n, 1024) if k > 0 else ():
-            s = self.v[a : a + 1024] @ self.v.T
-            s[np.arange(len(s)), np.arange(a, a + len(s))] = -2
-            near[a : a + 1024] = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        for a in range(0, n, 256) if k > 0 else ():
+            s = self.v @ self.v[a : a + 256].T
+            s[np.arange(a, a + s.shape[1]), np.arange(s.shape[1])] = -2
+            near[a : a + 256] = np.argpartition(s.T, n - k, axis=1)[:, n - k :]
         # Links back: of those that name a node, as many again are kept.
         back = np.full((n, max(k, 1)), -1, np.int32)
         if k > 0:
@@ -202,7 +202,7 @@ def same_decision(a: dict, b: dict, parsed: dict) -> bool:
 
     Firm, date, source and laws must agree, and penalties where both are
     known.  Two numbers of rulings decide; without them the wording does; where
-    that is missing on a side too, identifier or checksum must agree.
+    that is missing on one side only, the checksum must agree.
     """
     if a["decision_date"] != b["decision_date"] or a["source"] != b["source"] or set(a["law_ids"]) != set(b["law_ids"]):
         return False
@@ -284,19 +284,24 @@ def candidates(found: DataFrame, asked: DataFrame | None = None, shard_rows: int
     plan = spark.createDataFrame(manifest or [("", 0, 0, 1, 0)], "source string, a int, b int, parts int, shard int")
     plan = F.broadcast(plan)
     shards = found.join(plan, "source").where("batch between a and b").select((F.col("shard") + F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int").alias("shard"), "node", "vector")
+    shards = shards.repartition(max(12, 2 * sum(m[3] for m in manifest)), "shard")
     built = cut(shards.groupBy("shard").applyInPandas(_build, "shard int, beam int, recall double, ids binary, vectors binary, links binary, hubs binary"), "graphs")
     # Rows ask the shards that began no later than their batch, in blocks of bounded size.
     blocks = {r["source"]: max(1, -(-r["count"] // block_rows)) for r in asked.groupBy("source").count().collect()}
     counts = F.broadcast(spark.createDataFrame(list(blocks.items()) or [("", 1)], "source string, blocks int"))
     questions = asked.join(counts, "source").join(plan, "source").where("batch >= a").select(F.explode(F.sequence(F.col("shard"), F.col("shard") + F.col("parts") - 1)).alias("shard"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node", "vector")
     sides = built.join(F.broadcast(spark.createDataFrame([(s + i, blocks.get(source, 1)) for source, _, _, parts, s in manifest for i in range(parts)] or [(0, 1)], "shard int, n int")), "shard").withColumn("block", F.explode(F.expr("sequence(0, n - 1)"))).drop("n")
+    # A task for each shard and block: little to read but much to compute, so they are kept apart.
+    pairs = 2 * sum(parts * blocks.get(source, 1) for source, _, _, parts, _ in manifest)
+    tasks = max(12, min(4000, pairs))
+    questions, sides = questions.repartition(tasks, "shard", "block"), sides.repartition(tasks, "shard", "block")
     return questions.groupBy("shard", "block").cogroup(sides.groupBy("shard", "block")).applyInPandas(_search, "later long, earlier long, similarity double")
 
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("node")
     g = Graph(_pack(pdf["vector"]))
-    return pd.DataFrame([{"shard": pdf["shard"].iloc[0], "beam": g.beam, "recall": g.recall, "ids": pdf["node"].to_numpy(np.int64).tobytes(), "vectors": b"".join(pdf["vector"]), "links": g.links.astype(np.int32).tobytes(), "hubs": g.hubs.astype(np.int32).tobytes()}])
+    return pd.DataFrame([{"shard": pdf["shard"].iloc[0], "beam": g.beam, "recall": g.recall, "ids": pdf["node"].to_numpy(np.int64).tobytes(), "vectors": b"".join(pdf["vector"]), "links": g.links.astype(np.uint16 if len(pdf) <= 65_536 else np.int32).tobytes(), "hubs": g.hubs.astype(np.int32).tobytes()}])
 
 
 def _search(asked: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
@@ -307,7 +312,7 @@ def _search(asked: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
     ids = np.frombuffer(row["ids"], np.int64)
     g = Graph.__new__(Graph)
     g.v = np.frombuffer(row["vectors"], np.int8).reshape(len(ids), DIMS).astype(np.float32) / 254
-    g.links = np.frombuffer(row["links"], np.int32).reshape(len(ids), -1)
+    g.links = np.frombuffer(row["links"], np.uint16 if len(ids) <= 65_536 else np.int32).reshape(len(ids), -1).astype(np.int32)
     g.hubs, g.beam = np.frombuffer(row["hubs"], np.int32), int(row["beam"])
     out = []
     for a in range(0, len(asked), 1024):
@@ -340,7 +345,11 @@ def repeats(actions: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
             yield pd.DataFrame({"a": pdf["earlier"][keep], "b": pdf["later"][keep]}) if any(keep) else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
 
     links = compared.mapInPandas(exact, "a long, b long")
-    groups = names.components(links)
+    # Nodes that differ in nothing but the checksum, ruling's number included, hang on the first of them: a star, not all pairs.
+    same = F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in fields[:-1]))
+    numbered = found.where("ref <> ''").select("node", same.alias("_same"))
+    stars = numbered.join(numbered.groupBy("_same").agg(F.min("node").alias("a")), "_same").where("node <> a").select("a", F.col("node").alias("b"))
+    groups = names.components(links.unionByName(stars))
     whole = members.join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("_first", F.coalesce("component", "node"))
     return whole.where("order <> _first").select((F.col("_first").bitwiseAND(F.lit((1 << 44) - 1))).alias("first_row_id"), "row_id")
 
