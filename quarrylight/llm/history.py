@@ -31,9 +31,13 @@ from quarrylight.runtime import batch_rows, cut
 #: Dimensions of a vector: the bits of one hash for each feature.
 DIMS = 64
 #: Rows of a shard, rows of a block that searches one, nearest and far links of a node.
-SHARD_ROWS, BLOCK_ROWS, NEAREST, FAR = 60_000, 40_000, 10, 4
+SHARD_ROWS, BLOCK_ROWS, NEAREST, FAR = 32_000, 40_000, 16, 4
+#: One row in so many is a hub, where a walk may begin.
+HUB_OF = 8
+#: Rows of a beam whose links are followed at once.
+PICK = 4
 #: Beams tried in turn until the nearest row of a sample is found as often as wanted.
-BEAMS, SAMPLE, WANTED = (12, 24, 48, 96, 192), 256, 0.985
+BEAMS, SAMPLE, WANTED = (24, 48, 96, 192), 256, 0.99
 #: Neighbours taken from a shard, and the least similarity of one that is compared exactly.
 TOP, LEAST = 12, 0.55
 #: Shares of firm, date, laws with source, and wording in a vector.
@@ -107,7 +111,7 @@ class Graph:
             back[to[keep], place[keep]] = frm[keep]
         far = rng.integers(0, n, (n, FAR), dtype=np.int32)
         self.links = np.concatenate([near, np.where(back < 0, near, back), far], axis=1)
-        self.hubs = rng.choice(n, min(n, int(2 * np.sqrt(n)) + 8), replace=False)
+        self.hubs = rng.choice(n, n // HUB_OF + 1, replace=False)
         self.beam, self.recall = BEAMS[0], 1.0
         if tune and n > 64:
             self._tune(rng)
@@ -142,9 +146,9 @@ class Graph:
         done = np.zeros(ids.shape, bool)
         active = np.arange(m)
         for _ in range(4 * beam):
-            # The best rows of each beam that have not been visited, two at a time.
+            # The best rows of each beam that have not been visited, a few at a time.
             open_sim = np.where(done[active], -9, sim[active])
-            pick = np.argpartition(-open_sim, 1, axis=1)[:, :2]
+            pick = np.argpartition(-open_sim, PICK - 1, axis=1)[:, :PICK]
             worth = np.take_along_axis(open_sim, pick, 1) > -9
             going = worth.any(1)
             if not going.any():
