@@ -57,7 +57,7 @@ _TITLE_WORDS = frozenset(t.lower() for t in TITLES)
 _LEFT_WORDS = frozenset("by contact for says said to met signed dear of c/o regards author name manager director officer".split())
 _PLACE_LEFT = re.compile(r"\b(?:in|near|from|around|across|outside|[Tt]he) $")
 
-_EMAIL = re.compile(r"[\w.+%-]+(?:@| ?[\[(](?:at|AT)[\])] ?)[\w-]+(?:(?:\.| ?[\[(](?:dot|DOT)[\])] ?)[\w-]+)+")
+_EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]+(?:@| ?[\[(](?:at|AT)[\])] ?)[\w-]+(?:(?:\.| ?[\[(](?:dot|DOT)[\])] ?)[\w-]+)+")
 _DIGITS = re.compile(r"(?<![\w.,£$€#-])(?:\+ ?|\()?\d[\d ().\-/]{5,22}\d(?![\w£$€%]|[.,-]\d)")
 _LETTERED = re.compile(r"(?<![\w-])(?:[A-Z]{1,3} ?\d[\d ]{4,9}\d(?: ?[A-D](?![\w-]))?|\d{7,8}-?[A-Z])(?![\w-])")
 _PHONE_STRICT = re.compile(r"(?:(?:\+|00)\d{1,3}[ .\-]?)?(?:\(0\) ?|\(?0?\d{2,5}\)?[ .\-])?\d{2,6}(?:[ .\-]\d{2,4}){0,4}$|0\d{9,10}$|\+\d{9,14}$")
@@ -75,7 +75,7 @@ _ADDRESS_ELSEWHERE = re.compile(
     r"(?<![\w£$€.,-])\d{1,4}(?: ?(?:bis|ter))?,? (?:rue|avenue|boulevard|place|chemin|allée|impasse) [\w'’ -]{3,40}|\b[A-ZÄÖÜ][\wäöüß-]+(?:straße|strasse|weg|gasse|platz|allee) \d{1,4}[a-z]?\b|\b(?:Calle|Avenida|Plaza|Paseo) [A-ZÁÉÍÓÚÑ][\wáéíóúñ ]{2,30}, ?\d{1,4}"
 )
 _POSTCODE = re.compile(r"^\.?(?:, ?(?:Suite|Apt|Unit|Floor) \w+)?,? ?[A-ZÀ-Þ][\w'’ -]{2,30}?,? ?(?:[A-Z]{1,2}\d[\dA-Z]? ?\d[A-Z]{2}|\d{5}(?:-\d{4})?)\b")
-_TOWN = re.compile(r"^\.?(?:, ?(?:Suite|Apt|Unit|Floor) \w+)?, ?[A-ZÀ-Þ][\w'’]{2,}")
+_TOWN = re.compile(r"^\.?(?:, ?(?:Suite|Apt|Unit|Floor) \w+)?, ?[A-ZÀ-Þ][\w'’]{2,}(?: [A-ZÀ-Þ][\w'’]{2,})?")
 _ADDRESS_LEFT = re.compile(r"(?:moved to|held at|lives at|living at|address(?: is|:)|based at|visit us at| at|sent to|, |^) ?$")
 _DIGIT, _NUMBERED, _LETTER_DIGIT = re.compile(r"\d"), re.compile(r"\d[A-Za-z]?,? [A-ZÀ-Þ]"), re.compile(r"[A-Z] ?\d|\d-?[A-Z]")
 _ROMANCE = ("rue ", "avenue ", "boulevard ", "place ", "chemin ", "allée ", "impasse ", "straße ", "strasse ", "weg ", "gasse ", "platz ", "allee ", "Calle ", "Avenida ", "Plaza ", "Paseo ")
@@ -165,8 +165,9 @@ def _line_spans(line: str, local: str) -> list[tuple]:
             found += _ADDRESS_ELSEWHERE.finditer(line)
         for m in found:
             left, right = line[max(0, m.start() - 30) : m.start()], line[m.end() : m.end() + 60]
-            post = bool(_POSTCODE.match(right))
-            out.append(("address", m.start(), m.end() + (_POSTCODE.match(right).end() if post else 0), _signs(True, post, True if _TOWN.match(right) or post else 0, bool(_ADDRESS_LEFT.search(left)), -1 if re.search(r"(?i:page|chapter|no\.|between \d{4} and|£)\s*$", left) else 0), "f" if m.group()[0].isalpha() else "n"))
+            post = _POSTCODE.match(right)
+            town = post or _TOWN.match(right)
+            out.append(("address", m.start(), m.end() + (town.end() if town else 0), _signs(True, bool(post), True if town else 0, bool(_ADDRESS_LEFT.search(left)), -1 if re.search(r"(?i:page|chapter|no\.|between \d{4} and|£)\s*$", left) else 0), "f" if m.group()[0].isalpha() else "n"))
             taken.append((m.start(), m.end()))
         for pattern, lettered in ((_DIGITS, False), (_LETTERED, True)) if _LETTER_DIGIT.search(line) else ((_DIGITS, False),):
             for m in pattern.finditer(line):

@@ -46,7 +46,10 @@ def without_lines(pages: DataFrame, drop: DataFrame, key: str = "page_id", text:
     All columns are kept; a null text stays null, and a text that loses all
     its lines becomes empty.
     """
-    lists = drop.groupBy(key).agg(F.collect_set(F.col("line_no").cast("int")).alias("_drop"))
+    name = "_drop"
+    while name in pages.columns:
+        name += "_"
+    lists = drop.groupBy(key).agg(F.collect_set(F.col("line_no").cast("int")).alias(name))
     parts = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("_drop"), (i + 1).cast("int"))), "\n")
-    return pages.join(lists, key, "left").withColumn(text, F.when(F.col("_drop").isNull(), F.col(text)).otherwise(kept)).drop("_drop")
+    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col(name), (i + 1).cast("int"))), "\n")
+    return pages.join(lists, key, "left").withColumn(text, F.when(F.col(name).isNull(), F.col(text)).otherwise(kept)).drop(name)

@@ -34,7 +34,7 @@ LABEL_WORDS = 6
 PROSE_WORDS = 12
 
 #: Marks for omitted text that may follow a cut, at the very end.
-OMISSION = r"[\\s\\x{00a0}]*(?:\\.\\.\\.|…|\\[\\s*(?:\\.\\.\\.|…|cut|truncated|more)?\\s*\\]?|\\((?:\\.\\.\\.|…|cut|truncated|more)\\)?)[\\s\\x{00a0}]*$"
+OMISSION = r"(?<![\\s\\x{00a0}])[\\s\\x{00a0}]*+(?:\\.\\.\\.|…|\\[\\s*(?:\\.\\.\\.|…|cut|truncated|more)?\\s*\\]?|\\((?:\\.\\.\\.|…|cut|truncated|more)\\)?)[\\s\\x{00a0}]*$"
 
 #: Bits of the filters that keep work off rows no ending asks for; their size is fixed, whatever the input's.
 FILTER_BITS = 1 << 22
@@ -118,7 +118,7 @@ _SQL = {
 }
 
 #: A line's form: e-mail addresses become E, words with digits 9, names C; a counter in brackets at its end goes.
-_FORM = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(_line, ' *\\(\\d+\\)$', ''), '[^ ]+@[^ ]+', 'E'), '[\\p{L}\\p{N}]*\\p{N}[\\p{L}\\p{N}]*', '9'), '(?<=.)\\b\\p{Lu}[\\p{L}\'’]*', 'C')"
+_FORM = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(_line, '(?<! ) *+\\(\\d+\\)$', ''), '(?<![^ ])[^ ]+@[^ ]+', 'E'), '(?<![\\p{L}\\p{N}])[\\p{L}\\p{N}]*\\p{N}[\\p{L}\\p{N}]*', '9'), '(?<=.)\\b\\p{Lu}[\\p{L}\'’]*', 'C')"
 
 #: An array of FILTER_BITS / 64 longs with a bit for every value of a view.
 _BITMAP = r"""
