@@ -43,6 +43,7 @@ _FURNITURE = re.compile(
     r"|^data protection contact|part of a family of|^(?:site|website) by|^(?:phone|tel|t|call us|e-?mail|e|write to|fax): |^(?:datenschutz|impressum|agb|mentions légales|politique de|aviso legal|política de)"
 )
 _HEADS = re.compile(r"(?iu)^(?:popular|related|latest|recent|similar|recommended)\b.{0,20}$|^you may also like|^in this section|^see also|^more (?:articles|news|stories)|^(?:das könnte|beliebte|verwandte|articles liés|à lire aussi|le puede interesar|artículos relacionados)")
+_CONTACT = re.compile(r"(?iu)^(?:phone|tel|t|call us|telefon|téléphone|teléfono): ")
 _TRAIL = re.compile(r"^[^>›]{1,40} [>›] [^>›]+(?: [>›] [^>›]+)*$")
 _SENTENCE = re.compile(r"[.!?:”\"]\s*$")
 
@@ -60,13 +61,19 @@ def teach(pages: list[tuple[str, str, str]]) -> list[list[int]]:
     """Labels of ``(domain, title, text)`` pages of whole sites: 1 for body, 0 for furniture."""
     shared: dict[str, Counter] = {}
     number = Counter(d for d, _, _ in pages)
+    sites: dict[str, set[str]] = {}
     for d, _, t in pages:
-        shared.setdefault(d, Counter()).update({_norm(x) for _, x in blocks(t)})
+        lines = {_norm(x) for _, x in blocks(t)}
+        shared.setdefault(d, Counter()).update(lines)
+        for n in lines:
+            if len(n) < 40:
+                sites.setdefault(n, set()).add(d)
     out = []
     for d, title, t in pages:
         labels, teasers, begun = [], False, False
-        for _, x in blocks(t):
-            n = _norm(x)
+        normal = [_norm(x) for _, x in blocks(t)]
+        for j, (_, x) in enumerate(blocks(t)):
+            n = normal[j]
             share = shared[d][n] / number[d]
             parts = re.split(r" \| | {2,}", x.strip())
             long = len(n) > 90 and bool(_SENTENCE.search(n))
@@ -76,10 +83,19 @@ def teach(pages: list[tuple[str, str, str]]) -> list[list[int]]:
             elif long or n.startswith(("by ", "posted by", "written by", "reviewed by")):
                 teasers = False
             elif teasers and not known and begun:
-                known = len(n) < 90
+                # A heading that many sites use, before a paragraph, ends the teasers.
+                heading = len(sites.get(n, ())) >= 3 and j + 1 < len(normal) and len(normal[j + 1]) > 90
+                teasers = not heading
+                known = len(n) < 90 and not heading
             if not known:
                 begun = True
             labels.append(0 if known else 1)
+        # The lines of name and address above a footer's telephone belong to it.
+        for j, n in enumerate(normal):
+            if _CONTACT.search(n) and j >= 2 and len(normal[j - 1]) < 110 and any(c.isdigit() for c in normal[j - 1]) and not normal[j - 1].endswith((".", "?", "!")):
+                labels[j - 1] = 0
+                if len(normal[j - 2]) < 140 and not normal[j - 2].endswith((".", "?", "!")):
+                    labels[j - 2] = 0
         out.append(labels)
     return out
 
