@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.llm import residue
+from quarrylight.llm.sampling import smallest_hashes
 from quarrylight.runtime import batch_rows
 
 #: The bounded sample: sites, and the pages that one of them may have.
@@ -276,7 +277,7 @@ def train(pages: DataFrame, domain: str = "domain", title: str = "title", text:
     some = pages.where(F.col(text).isNotNull() & F.col(domain).isNotNull()).groupBy(domain).count()
     picked = [r[0] for r in some.where(F.col("count").between(FEWEST, MOST)).orderBy(F.xxhash64(domain), domain).limit(SITES).collect()]
     rows = pages.where(F.col(text).isNotNull())
-    rows = rows.where(F.col(domain).isin(picked)) if picked else rows.orderBy(F.xxhash64(key)).limit(SITES * FEWEST)
+    rows = rows.where(F.col(domain).isin(picked)) if picked else smallest_hashes(rows, key, SITES * FEWEST)
     sample = [(r[1] or "", r[2], r[3]) for r in rows.select(key, domain, title, text).collect() if r[3].strip()]
     sample.sort(key=lambda r: (r[0], r[2], r[1] or ""))
     judge = residue._judge()
