@@ -25,22 +25,20 @@ _HAS = "regexp_matches(lower(entity_name), '(^|[^a-z0-9_])(' || word || ')([^a-z
 _FIRMS = f"""{_SECTORS}, a AS (SELECT entity_name, list_sort(list(DISTINCT jurisdiction)) AS bound, bool_or(penalty_amount IS NOT NULL) AS fined, bool_or(offending_quote IS NOT NULL) AS quoted FROM enforcement_actions GROUP BY entity_name),
 firms AS (SELECT *, coalesce((SELECT list(DISTINCT sector) FROM sec WHERE {_HAS}), []) AS sectors FROM a)"""
 _GATED = f"""{_FIRMS}, g AS (SELECT f.entity_name, r.law_id, r.name, CASE
-  WHEN NOT list_contains(f.bound, r.jurisdiction) THEN 'jurisdiction'
   WHEN NOT (r.sub_jurisdiction IS NULL OR r.sub_jurisdiction = 'multi') THEN 'sub-jurisdiction'
   WHEN r.jurisdiction = 'EU' AND list_contains(f.bound, 'FR') THEN 'displaced'
   WHEN NOT (list_contains(r.sector, 'universal') OR len(list_intersect(r.sector, f.sectors)) > 0) THEN 'sector'
   WHEN r.evidence_type = 'presence' AND f.quoted = false OR r.evidence_type = 'register' AND f.fined = false THEN 'activity'
-  END AS reason FROM firms f CROSS JOIN law_rules r)"""
+  END AS reason FROM firms f JOIN law_rules r ON list_contains(f.bound, r.jurisdiction))"""
 
 
 def _gated(spark, sf):
     rules = table(spark, sf, "law_rules").select("law_id", "name", "jurisdiction", "sub_jurisdiction", F.col("sector").alias("rule_sectors"), "evidence_type")
-    # Every firm meets every rule by definition; the rules are a fixed table of a checked size.
+    # The first gate is an equi-join: a rule meets the firms that its jurisdiction binds, no others.
     from quarrylight.operators.match import small
 
-    pairs = _firms(spark, sf).crossJoin(small(rules))
+    pairs = _firms(spark, sf).withColumn("jurisdiction", F.explode("bound")).join(small(rules), "jurisdiction")
     reason = gates.first_failure(
-        (F.array_contains("bound", F.col("jurisdiction")), "jurisdiction"),
         (F.col("sub_jurisdiction").isNull() | (F.col("sub_jurisdiction") == "multi"), "sub-jurisdiction"),
         (~((F.col("jurisdiction") == "EU") & F.array_contains("bound", "FR")), "displaced"),
         (F.array_contains("rule_sectors", "universal") | F.arrays_overlap("rule_sectors", "sectors"), "sector"),
@@ -55,11 +53,11 @@ def applicability_gated(spark, sf):
 
 
 @query(f"""WITH {_GATED}, x AS (SELECT entity_name, reason, regexp_replace(lower(name), ' (act|code|rule)$', '') AS family FROM g)
-SELECT entity_name, count(DISTINCT family) FILTER (WHERE reason IS DISTINCT FROM 'jurisdiction') AS families_met, count(DISTINCT family) FILTER (WHERE reason IS NULL) AS families_binding, count(*) FILTER (WHERE reason IS NULL) AS rules_binding FROM x GROUP BY entity_name""")
+SELECT entity_name, count(DISTINCT family) AS families_met, count(DISTINCT family) FILTER (WHERE reason IS NULL) AS families_binding, count(*) FILTER (WHERE reason IS NULL) AS rules_binding FROM x GROUP BY entity_name""")
 def applicability_counts(spark, sf):
     x = _gated(spark, sf).withColumn("family", F.regexp_replace(F.lower("name"), " (act|code|rule)$", ""))
     return x.groupBy("entity_name").agg(
-        F.count_distinct(F.when(~F.coalesce(F.col("reason") == "jurisdiction", F.lit(False)), F.col("family"))).alias("families_met"),
+        F.count_distinct("family").alias("families_met"),
         F.count_distinct(F.when(F.col("reason").isNull(), F.col("family"))).alias("families_binding"), F.count_if(F.col("reason").isNull()).alias("rules_binding"))
 
 
