@@ -108,8 +108,8 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     chosen = chosen.withColumn("uses", (F.col("whole") + F.when(F.col("_hash") < F.coalesce("_limit", F.lit(0)), 1).otherwise(0)).cast("int")).where("uses > 0").select(key, "source", "n_tokens", "uses")
     used = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("used_tokens"), F.max("uses").alias("most_uses"), F.count("*").alias("records"))
     report = plan.select("source", "target_share", "max_repeats", "available").join(used, "source", "left").na.fill(0, ["used_tokens", "most_uses", "records"])
-    total = report.agg(F.sum("used_tokens").alias("_total"))
-    report = report.join(F.broadcast(total)).withColumn("actual_share", F.when(F.col("_total") > 0, F.col("used_tokens") / F.col("_total")).otherwise(0.0)).withColumn("short", F.col("actual_share") < F.col("target_share") - 0.001).drop("_total")
+    # One window over the sources' totals, a row for each target.
+    report = report.withColumn("_total", F.sum("used_tokens").over(Window.partitionBy(F.lit(1)))).withColumn("actual_share", F.when(F.col("_total") > 0, F.col("used_tokens") / F.col("_total")).otherwise(0.0)).withColumn("short", F.col("actual_share") < F.col("target_share") - 0.001).drop("_total")
     return chosen, report
 
 
