@@ -37,11 +37,11 @@ def best_name(queries: DataFrame, query_key: str, candidates: DataFrame, candida
 
 
 def longest_prefix(df: DataFrame, column: str, prefixes: DataFrame, prefix: str, value: str, most: int) -> DataFrame:
-    """Each row with the value of its longest known prefix: one equi-join on prefixes of each length."""
-    keyed = df.withColumn("_id", F.monotonically_increasing_id())
-    each = keyed.select("_id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.substring(F.col(column), 1, n))).alias(prefix)).distinct()
-    hit = each.join(small(prefixes), prefix).groupBy("_id").agg(F.max_by(value, F.length(prefix)).alias(value))
-    return keyed.join(hit, "_id", "left").drop("_id")
+    """Each row with the value of its longest known prefix: one equi-join on the prefixes of each distinct value."""
+    values = df.select(column).where(F.col(column).isNotNull()).distinct()
+    each = values.select(column, F.explode(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.substring(F.col(column), 1, n))).alias(prefix)).distinct()
+    hit = each.join(small(prefixes), prefix).groupBy(column).agg(F.max_by(value, F.length(prefix)).alias(value))
+    return df.join(hit, column, "left")
 
 
 def contains_quote(rows: DataFrame, text: str, quote: str) -> DataFrame:
@@ -52,9 +52,9 @@ def contains_quote(rows: DataFrame, text: str, quote: str) -> DataFrame:
 
 
 def host_suffix(df: DataFrame, host: str, suffixes: DataFrame, suffix: str) -> DataFrame:
-    """Rows whose host is, or lies under, a listed name: label suffixes joined by equality."""
-    n = F.size(F.split(host, r"\."))
-    keyed = df.withColumn("_id", F.monotonically_increasing_id())
+    """Rows whose host is, or lies under, a listed name: the label suffixes of each distinct host joined by equality."""
     labels = F.split(host, r"\.")
-    each = keyed.select("_id", F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))).alias(suffix))
-    return keyed.join(each.join(small(suffixes), suffix, "left_semi").select("_id").distinct(), "_id", "left_semi").drop("_id")
+    n = F.size(labels)
+    hosts = df.select(host).where(F.col(host).isNotNull()).distinct()
+    each = hosts.select(host, F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))).alias(suffix))
+    return df.join(each.join(small(suffixes), suffix, "left_semi").select(host).distinct(), host, "left_semi")

@@ -46,3 +46,19 @@ def ship(module) -> None:
     from pyspark import cloudpickle
 
     cloudpickle.register_pickle_by_value(module)
+
+
+def share(spark: SparkSession, value):
+    """Broadcast an object with its class by value; ``received`` reads it in a worker.
+
+    For objects of a bounded size only: models and blocks of a query set.
+    """
+    from pyspark import cloudpickle
+
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(shared):
+    import pickle
+
+    return pickle.loads(shared.value)
