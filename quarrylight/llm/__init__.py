@@ -4,4 +4,4 @@ import sys
 
 from quarrylight import runtime
 
-runtime.ship(sys.modules[__name__])
+runtime.ship(sys.modules["quarrylight"])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.runtime import batch_rows
+from quarrylight.runtime import batch_rows, received, share
 
 #: Words in a row that make a leak, and the words and edits of an inexact one.
 RUN, STRETCH, ONE_IN = 12, 30, 6
@@ -294,14 +294,14 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
         block.append((row[0], row[1]))
         size += len(row[1])
         if size >= BLOCK_CHARS:
-            blocks.append(spark.sparkContext.broadcast(Index(block)))
+            blocks.append(share(spark, Index(block)))
             block, size = [], 0
     if block or not blocks:
-        blocks.append(spark.sparkContext.broadcast(Index(block)))
+        blocks.append(share(spark, Index(block)))
 
     def search(shared):
         def batches(rows):
-            index = shared.value
+            index = received(shared)
             for batch in rows:
                 out = []
                 for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
