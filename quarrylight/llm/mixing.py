@@ -35,11 +35,14 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER, text: str = "
     rest = [c for c in documents.columns if c != text]
     schema = documents.select(*rest).schema.add(name, "long")
 
+    # A vocabulary has a fixed size; executors need no file of their own.
+    with open(tokenizer, "rb") as f:
+        shared = documents.sparkSession.sparkContext.broadcast(f.read())
+
     def batches(rows):
         import tiktoken
 
-        with open(tokenizer, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, shared.value.splitlines())}
         coder = tiktoken.Encoding(os.path.basename(tokenizer), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for batch in rows:
             sizes = [len(coder.encode_ordinary(t)) if t else 0 for t in batch.column(len(rest)).to_pylist()]

@@ -52,9 +52,11 @@ _MONTH = "|".join(MONTHS)
 _TITLE_BEFORE = re.compile(rf"(?:^|[^\w])(?:{'|'.join(TITLES)})\.? $")
 _CAPITAL = re.compile(r"[A-ZÀ-Þ](?:\.|[\w'’]+(?:-[A-ZÀ-Þ][\w'’]+)*)")
 _NAME_LEFT = re.compile(r"(?:(?:^|^\W*)By|\b(?:[Pp]osted|[Ww]ritten|[Rr]eviewed|[Ee]dited|[Cc]ompiled|[Pp]repared|[Ss]igned|[Pp]ublished|[Cc]hecked|[Uu]pdated|[Aa]pproved|[Aa]uthored|POSTED|WRITTEN|REVIEWED) (?:by|BY)|contact:|CONTACT:|ask for|mark it for|opened for|says|said|go to|met|thanks to|thanks go to|signed|[Dd]ear|attention of|care of|c/o|regards,|(?:Author|Name|Contact|Manager|Director|Officer):)(?: (?:" + "|".join(TITLES) + r")\.?)? $")
-_NAME_RIGHT = re.compile(rf"^(?:, \d{{1,2}} (?:{_MONTH})|, (?:{_MONTH})| [–-] [A-Z]| moved to| by name| countersigned| and kept|[’']s | \((?:[A-Z]|passport|social|born|aged)|, (?:Flat|Unit|Apt|\d)| signed| wrote| will call|[,”] who |,” (?:says|said))")
+_NAME_RIGHT = re.compile(rf"^(?:, \d{{1,2}} (?:{_MONTH})|, (?:{_MONTH})| [–-] [A-Z]| moved to| by name| countersigned| and kept|[’']s | \((?:[A-Z]|passport|social|born|aged)|, (?:Flat|Unit|Apt|\d)| signed| wrote| will call| for their help|[,”] who |,” (?:says|said))")
 _TITLE_WORDS = frozenset(t.lower() for t in TITLES)
 _LEFT_WORDS = frozenset("by contact for says said to met signed dear of c/o regards author name manager director officer".split())
+_PERSON_RIGHT = re.compile(r"^(?: moved to| countersigned| and kept| by name| for their help|, who | signed)")
+_ROLE_RIGHT = re.compile(r"^ [–-] [A-Z]")
 _PLACE_LEFT = re.compile(r"\b(?:in|near|from|around|across|outside|[Tt]he) $")
 
 _EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]+(?:@| ?[\[(](?:at|AT)[\])] ?)[\w-]+(?:(?:\.| ?[\[(](?:dot|DOT)[\])] ?)[\w-]+)+")
@@ -119,6 +121,16 @@ def _names(line: str, local: str):
                 right = line[end : end + 30]
                 done = end
                 yield a, end, _signs(True, titled, named, bool(_NAME_RIGHT.match(right)), w.isupper() or w.lower() not in COMMON_CAPITALS, w.lower() in local), "s"
+            elif i + 1 < len(caps) and len(w) > 2 and w not in TITLES and w.lower() not in COMMON_CAPITALS:
+                # A first name that no gazetteer has: what persons do, or a role and a mail address, follows.
+                nxt, gap = caps[i + 1][2], line[b : caps[i + 1][0]]
+                last, end = (nxt, caps[i + 1][1]) if gap == " " else (w, caps[i + 1][1]) if gap == ", " and w.isupper() else ("", 0)
+                if len(last) > 2 and len(nxt) > 2 and not _place(w) and not _place(nxt) and nxt.lower() not in COMMON_CAPITALS:
+                    right = line[end : end + 30]
+                    known = last.lower() in local
+                    if _PERSON_RIGHT.match(right) or known and _ROLE_RIGHT.match(right):
+                        done = end
+                        yield a, end, _signs(0, 0, 0, True, True, known), "2u"
             continue
         # The parts that follow, parted by single blanks.
         parts, end = [w], b
