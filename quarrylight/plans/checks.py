@@ -123,3 +123,32 @@ def line_groups(spark, sf):
     lines = table(spark, sf, "site_bundles").where("footer_text is not null").select("bundle_id", F.posexplode(F.split("footer_text", "\n", -1)).alias("_p", "line")).select("bundle_id", (F.col("_p") + 1).alias("i"), F.trim("line").alias("line"))
     b = lines.withColumn("block", F.sum(F.when(F.col("line") == "", 1).otherwise(0)).over(w))
     return b.groupBy("bundle_id", "block").agg(F.count_if(F.col("line") != "").alias("lines"), F.min("i").alias("first_line"))
+
+
+@query("""SELECT o_orderkey, format('{:,}', CAST(round(o_totalprice) AS BIGINT)) AS shown FROM orders""")
+def group_thousands(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", F.format_number(F.round("o_totalprice").cast("long"), 0).alias("shown"))
+
+
+@query("""WITH a AS (SELECT law_id, unnest([struct_pack(path := 'name', value := name), struct_pack(path := 'status', value := status), struct_pack(path := 'sub', value := sub_jurisdiction)]) AS x FROM law_rules)
+SELECT law_id, x.path AS path, x.value AS value FROM a""")
+def flattened_paths(spark, sf):
+    r = table(spark, sf, "law_rules").select("law_id", "name", "status", F.col("sub_jurisdiction").alias("sub"))
+    return r.unpivot(["law_id"], ["name", "status", "sub"], "path", "value")
+
+
+@query("""SELECT domain, 3 * CAST(bool_or(register = 'company-index' AND kind = 'matched') AS INTEGER) + 2 * CAST(bool_or(register = 'care-index' AND kind = 'matched') AS INTEGER) + CAST(bool_or(reason IS NOT NULL) AS INTEGER) AS score FROM register_notes GROUP BY domain""")
+def corroboration_score(spark, sf):
+    hit = lambda r: F.bool_or((F.col("register") == r) & (F.col("kind") == "matched")).cast("int")
+    return table(spark, sf, "register_notes").groupBy("domain").agg((3 * hit("company-index") + 2 * hit("care-index") + F.bool_or(F.col("reason").isNotNull()).cast("int")).alias("score"))
+
+
+@query("""WITH f AS (SELECT DISTINCT register, kind FROM register_notes) SELECT register, count(*) FILTER (WHERE kind = 'matched') > 0 AS ran, string_agg(kind, ',' ORDER BY kind) AS kinds FROM f GROUP BY register""")
+def lane_status(spark, sf):
+    return table(spark, sf, "register_notes").groupBy("register").agg(F.bool_or(F.col("kind") == "matched").alias("ran"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+
+
+@query("""WITH m AS (SELECT law_id, map_from_entries([('status', status), ('type', evidence_type)]) AS m FROM law_rules) SELECT law_id, m['type'] AS type, coalesce(m['none'], 'absent') AS none FROM m""")
+def map_lookup(spark, sf):
+    m = F.create_map(F.lit("status"), F.col("status"), F.lit("type"), F.col("evidence_type"))
+    return table(spark, sf, "law_rules").select("law_id", F.element_at(m, "type").alias("type"), F.coalesce(F.try_element_at(m, F.lit("none")), F.lit("absent")).alias("none"))

@@ -135,3 +135,25 @@ def footer_identifiers(spark, sf):
     b = table(spark, sf, "site_bundles").where("footer_text is not null")
     x = lambda p: F.nullif(F.regexp_extract("footer_text", p, 1), F.lit(""))
     return b.select("bundle_id", x("Company number ([0-9]{8})").alias("company_number"), x("([A-Z]{2}[0-9]{1,2}) ?[0-9][A-Z]{2}").alias("district"))
+
+
+@query(f"""WITH {_SENTENCES} SELECT doc_id, sent_idx, sum(strlen(sentence) + 1) OVER (PARTITION BY doc_id ORDER BY sent_idx) - strlen(sentence) - 1 AS byte_start, sum(strlen(sentence) + 1) OVER (PARTITION BY doc_id ORDER BY sent_idx) - 1 AS byte_end, sha256(sentence) AS span_sha256 FROM sentences""")
+def byte_boundary_map(spark, sf):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("doc_id").orderBy("sent_idx").rowsBetween(Window.unboundedPreceding, 0)
+    s = _sentences(spark, sf).withColumn("_size", F.octet_length("sentence")).withColumn("_upto", F.sum(F.col("_size") + 1).over(w))
+    return s.select("doc_id", "sent_idx", (F.col("_upto") - F.col("_size") - 1).alias("byte_start"), (F.col("_upto") - 1).alias("byte_end"), F.sha2("sentence", 256).alias("span_sha256"))
+
+
+@query("""WITH s AS (SELECT row_id, contains(summary, entity_name) AS named, contains(summary, source) AS sourced FROM enforcement_actions)
+SELECT row_id, CASE WHEN NOT named THEN 'name drifted' WHEN NOT sourced THEN 'source drifted' ELSE 'holds' END AS replay FROM s""")
+def replay_incidents(spark, sf):
+    named, sourced = F.col("summary").contains(F.col("entity_name")), F.col("summary").contains(F.col("source"))
+    return table(spark, sf, "enforcement_actions").select("row_id", F.when(~named, "name drifted").when(~sourced, "source drifted").otherwise("holds").alias("replay"))
+
+
+@query(r"""SELECT page_id, len(regexp_extract_all(lower(text), '(^|[^a-z0-9_])(fee|fees)([^a-z0-9_]|$)')) AS fees, regexp_matches(lower(text), '(fee|fees).{0,60}£') AS priced FROM site_pages WHERE text IS NOT NULL""")
+def near_word(spark, sf):
+    low = F.lower("text")
+    return table(spark, sf, "site_pages").where("text is not null").select("page_id", F.regexp_count(low, F.lit("(^|[^a-z0-9_])(fee|fees)([^a-z0-9_]|$)")).alias("fees"), low.rlike("(fee|fees).{0,60}£").alias("priced"))
