@@ -40,6 +40,8 @@ PICK = 4
 BEAMS, SAMPLE, WANTED = (24, 48, 96, 192), 256, 0.99
 #: Neighbours taken from a shard, and the least similarity of one that is compared exactly.
 TOP, LEAST = 12, 0.55
+#: Similarity from which recall is measured.
+CLOSE = 0.75
 #: Shares of firm, date, laws with source, and wording in a vector.
 WEIGHTS = (0.42, 0.2, 0.1, 0.28)
 #: Similarity of two wordings of one ruling.
@@ -366,7 +368,7 @@ def accepted(actions: DataFrame) -> DataFrame:
 def measured_recall(actions: DataFrame, every: int = 20) -> DataFrame:
     """Recall of the graphs against exhaustive search: rows whose id is divisible by ``every`` ask all earlier rows of their source.
 
-    Counts pairs above the least similarity that exhaustive search finds, and how many of them the graphs return.
+    Counts pairs of at least ``CLOSE`` similarity that exhaustive search finds, and how many of them the graphs return.
     """
     found, _ = nodes(actions)
     asked = found.where(F.col("node").bitwiseAND(F.lit((1 << 44) - 1)) % every == 0)
@@ -380,11 +382,15 @@ def measured_recall(actions: DataFrame, every: int = 20) -> DataFrame:
     def exhaustive(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"later": np.zeros(0, np.int64), "earlier": np.zeros(0, np.int64), "similarity": np.zeros(0)})
-        s = _pack(a["vector"]) @ _pack(b["vector2"]).T
-        i, j = np.nonzero(s >= 0.75)
-        x, y = a["node"].to_numpy()[i], b["node2"].to_numpy()[j]
-        keep = y < x
-        return pd.DataFrame({"later": x[keep], "earlier": y[keep], "similarity": s[i, j][keep].astype(float)})
+        rows, out = _pack(b["vector2"]).T, []
+        for at in range(0, len(a), 256):
+            part = a.iloc[at : at + 256]
+            s = _pack(part["vector"]) @ rows
+            i, j = np.nonzero(s >= CLOSE)
+            x, y = part["node"].to_numpy()[i], b["node2"].to_numpy()[j]
+            keep = y < x
+            out.append(pd.DataFrame({"later": x[keep], "earlier": y[keep], "similarity": s[i, j][keep].astype(float)}))
+        return pd.concat(out)
 
     truth = left.groupBy("source", "_b", "_p").cogroup(right.groupBy("source2", "_b2", "_p")).applyInPandas(exhaustive, "later long, earlier long, similarity double")
     return truth.join(near, ["later", "earlier"], "left").agg(F.count("*").alias("pairs"), F.count("_hit").alias("found"), (F.count("_hit") / F.count("*")).alias("recall"))
