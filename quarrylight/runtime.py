@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,10 +33,19 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables that ``cut`` wrote; call it once the results built on them have been written."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(hadoop).delete(path, True)
+
+
 def batch_rows(spark: SparkSession, rows: int) -> None:
     """Bound the rows of one Arrow batch, which bounds a Python worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -142,3 +142,15 @@ def test_late_events_are_dropped_and_state_survives_disorder(spark, tmp_path):
     df.toPandas().to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
     got = S.drained(S.latest_state(S.source(spark, str(tmp_path))), "update")
     assert got.orderBy(F.desc("events")).first()[:3] == (7, 3, "click")
+
+
+def test_cut_tables_are_released(spark):
+    import os
+
+    from quarrylight import runtime
+
+    df = runtime.cut(spark.range(10).withColumn("x", F.col("id") * 2), "t")
+    path = runtime._written[-1].removeprefix("file://")
+    assert df.count() == 10 and os.path.isdir(path)
+    runtime.release(spark)
+    assert not os.path.exists(path)
