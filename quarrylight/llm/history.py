@@ -343,6 +343,10 @@ def repeats(actions: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     fields = ["entity_name", "decision_date", "source", "law_ids", "offending_quote", "penalty_amount", "ref", "mark"]
     side = lambda p: found.select(F.col("node").alias(p), F.struct(*fields).alias(f"_{p}"))
     compared = near.select("later", "earlier").distinct().join(side("later"), "later").join(side("earlier"), "earlier")
+    # What needs no Python is compared before: dates, laws, penalties, numbers of rulings.
+    a, b = (lambda c: F.col(f"_later.{c}")), (lambda c: F.col(f"_earlier.{c}"))
+    compared = compared.where(a("decision_date").eqNullSafe(b("decision_date")) & a("law_ids").eqNullSafe(b("law_ids")))
+    compared = compared.where((a("penalty_amount").isNull() | b("penalty_amount").isNull() | (a("penalty_amount") == b("penalty_amount"))) & ((a("ref") == "") | (b("ref") == "") | (a("ref") == b("ref"))))
 
     def exact(batches):
         parsed: dict = {}
