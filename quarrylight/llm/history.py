@@ -6,11 +6,18 @@ and with a few far ones.  A new row enters a shard at the hubs closest to it
 and walks the graph with a beam; how wide the beam must be is tuned for each
 shard against exhaustive search.  A new batch becomes shards of its own, so
 nothing of the history is built again; small neighbouring shards of a source
-are compacted into one.  What the walks return is ranked again by an exact
-comparison of firm, date, reference, laws and wording.
-
-Exact copies are one node, however many there are.  Shards are bounded in
-rows, and so are the blocks of rows that search one, whatever a source's share.
+are compacted into one.  Every row that a walk meets and that has the same
+date and laws is a candidate, earlier or later, and an exact comparison of
+firm, penalty, reference and wording decides.
+
+Walks are approximate, so they settle only what no equality can: two numbers
+of rulings, equal rows but for the checksum, and checksums in place of missing
+wordings are joined exactly.
+
+Exact copies are one node, however many there are, nodes alike but for the
+checksum one profile, and profiles of one vector one spot of the graph.  Shards
+are bounded in rows, and so are the blocks of rows that search one, whatever a
+source's share.
 """
 
 from __future__ import annotations
@@ -23,7 +30,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
 
 from quarrylight.llm import names
 from quarrylight.runtime import batch_rows, cut
@@ -38,8 +45,8 @@ HUB_OF = 8
 PICK = 4
 #: Beams tried in turn until the nearest row of a sample is found as often as wanted.
 BEAMS, SAMPLE, WANTED = (24, 48, 96, 192), 256, 0.99
-#: Neighbours taken from a shard, and the least similarity of one that is compared exactly.
-TOP, LEAST = 12, 0.55
+#: The least similarity of a row that is compared exactly.
+LEAST = 0.55
 #: Similarity from which recall is measured.
 CLOSE = 0.75
 #: Shares of firm, date, laws with source, and wording in a vector.
@@ -131,14 +138,21 @@ class Graph:
             if self.recall >= WANTED:
                 break
 
-    def search(self, q: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``top`` rows closest to each query, by beams that all queries walk together."""
+    def search(self, q: np.ndarray, top: int, meet=None) -> tuple[np.ndarray, np.ndarray]:
+        """The ``top`` rows closest to each query, by beams that all queries walk together.
+
+        ``meet(queries, rows, similarities)`` is told of every row that a walk compares, whether or not it stays in the beam.
+        """
         n, m, beam = len(self.v), len(q), min(max(self.beam, top), len(self.v))
         if n <= 256:
             s = q @ self.v.T
+            if meet:
+                meet(np.arange(m)[:, None], np.arange(n)[None], s)
             ids = np.argsort(-s, axis=1)[:, :top]
             return ids, np.take_along_axis(s, ids, 1)
         hub = q @ self.v[self.hubs].T
+        if meet:
+            meet(np.arange(m)[:, None], self.hubs[None], hub)
         first = np.argpartition(-hub, min(beam, hub.shape[1]) - 1, axis=1)[:, :beam]
         ids = self.hubs[first].astype(np.int32)
         sim = np.take_along_axis(hub, first, 1)
@@ -163,6 +177,8 @@ class Graph:
             new = np.where(worth[:, :, None], self.links[np.maximum(rows, 0)], -1).reshape(len(active), -1)
             s = np.einsum("id,ijd->ij", q[active], self.v[np.maximum(new, 0)])
             s[new < 0] = -9
+            if meet:
+                meet(active[:, None], new, s)
             ids_all = np.concatenate([ids[active], new], 1)
             sim_all = np.concatenate([sim[active], s], 1)
             done_all = np.concatenate([d, np.zeros(new.shape, bool)], 1)
@@ -227,10 +243,15 @@ def same_decision(a: dict, b: dict, parsed: dict) -> bool:
 _FIELDS = ("entity_name", "decision_date", "source", "law_ids", "offending_quote", "penalty_amount", "ref", "mark")
 
 
+def _hash(*columns: str):
+    return F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns))
+
+
 def nodes(actions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct rows as ``nodes(node, batch, first, fields, vector)``, and ``members(node, order, row_id)``."""
-    spark = actions.sparkSession
-    batch_rows(spark, 2000)
+    """Distinct rows as ``nodes(node, batch, profile, fields)``, and ``members(node, order, row_id)``.
+
+    ``profile`` is the first of the nodes that differ in nothing but the checksum.
+    """
     mark = F.lower(F.regexp_extract(F.coalesce("sha256", F.lit("")), "([0-9a-fA-F]{64})", 1))
     code = F.coalesce(F.nullif(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?i)[a-z]\d\d-(\d{5,10})(?!\d)", 1), F.lit("")), F.regexp_extract(F.coalesce("url", F.lit("")), r"(?i)[?&](?:id|ref|case|no|nr)=(?:[a-z]\d\d-)?(\d{5,10})(?!\d)", 1))
     rows = actions.select(
@@ -238,23 +259,32 @@ def nodes(actions: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.coalesce("source", F.lit("")).alias("source"), F.array_sort(F.array_distinct(F.coalesce("law_ids", F.array().cast("array<string>")))).alias("law_ids"), "offending_quote", "penalty_amount", code.alias("ref"), mark.alias("mark"),
     )
     # Exact copies are one node; the second hash keeps chance collisions apart.
-    key = [F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in _FIELDS))]
-    rows = rows.withColumn("node", F.xxhash64(*key)).withColumn("_g", F.hash(*key))
+    rows = rows.withColumn("node", F.xxhash64(_hash(*_FIELDS))).withColumn("_g", F.hash(_hash(*_FIELDS)))
     members = cut(rows, "actions")
     first = members.groupBy("node", "_g").agg(F.min("order").alias("first"), F.min("batch").alias("batch"), *(F.first(c).alias(c) for c in _FIELDS))
     members = members.select("node", "_g", "order", "row_id").join(first.select("node", "_g", "first"), ["node", "_g"]).select(F.col("first").alias("node"), "order", "row_id")
-    first = first.withColumn("node", F.col("first"))
+    found = first.select(F.col("first").alias("node"), "batch", *_FIELDS, F.xxhash64(_hash(*_FIELDS[:-1])).alias("_p"), F.hash(_hash(*_FIELDS[:-1])).alias("_g"))
+    found = found.join(found.groupBy("_p", "_g").agg(F.min("node").alias("profile")), ["_p", "_g"]).drop("_p", "_g")
+    return cut(found, "nodes"), members
+
+
+def profiles(found: DataFrame) -> DataFrame:
+    """The profiles with ``key`` (source, date and laws), ``worded`` (the quote has words), ``vector``, and ``spot``, the first profile of that vector."""
+    batch_rows(found.sparkSession, 2000)
 
     def vectors(batches):
         cache, parsed = {}, {}
         for pdf in batches:
             v = [vector(n, d, laws, s, q, cache, parsed) for n, d, laws, s, q in zip(pdf["entity_name"], pdf["decision_date"], pdf["law_ids"], pdf["source"], pdf["offending_quote"])]
+            pdf["worded"] = [bool(_plain_words(q)) for q in pdf["offending_quote"]]
             # A byte for each dimension.
             pdf["vector"] = [np.clip(np.rint(x * 254), -127, 127).astype(np.int8).tobytes() for x in v]
             yield pdf
 
-    wide = first.select("node", "batch", "source", "entity_name", "decision_date", "law_ids", "offending_quote", "penalty_amount", "ref", "mark")
-    return cut(wide.mapInPandas(vectors, StructType([*wide.schema.fields, StructField("vector", BinaryType())])), "nodes"), members
+    wide = found.where("node = profile").select("node", "batch", "source", "entity_name", "decision_date", "law_ids", "offending_quote", "penalty_amount", "ref", F.xxhash64(_hash("source", "decision_date", "law_ids")).alias("key"))
+    made = cut(wide.mapInPandas(vectors, StructType([*wide.schema.fields, StructField("worded", BooleanType()), StructField("vector", BinaryType())])), "vectors")
+    same = ["source", "key", "vector"]
+    return cut(made.join(made.groupBy(*same).agg(F.min("node").alias("spot")), same), "profiles")
 
 
 def segments(found: DataFrame, shard_rows: int = SHARD_ROWS) -> list[tuple[str, int, int, int, int]]:
@@ -283,19 +313,22 @@ def _pack(v) -> np.ndarray:
 
 
 def candidates(found: DataFrame, asked: DataFrame | None = None, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``(later, earlier, similarity)``: for each row of ``asked`` its nearest earlier rows in every shard of its source."""
+    """``(later, earlier, similarity)``: for each spot of ``asked`` the spots of its key that a walk meets in the shards of its source.
+
+    None is cut off for others being closer.  A pair counts whichever of its ends met the other.
+    """
     spark = found.sparkSession
     asked = found if asked is None else asked
     manifest = segments(found, shard_rows)
     plan = spark.createDataFrame(manifest or [("", 0, 0, 1, 0)], "source string, a int, b int, parts int, shard int")
     plan = F.broadcast(plan)
-    shards = found.join(plan, "source").where("batch between a and b").select((F.col("shard") + F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int").alias("shard"), "node", "vector")
+    shards = found.join(plan, "source").where("batch between a and b").select((F.col("shard") + F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int").alias("shard"), "node", "key", "vector")
     shards = shards.repartition(max(12, 2 * sum(m[3] for m in manifest)), "shard")
-    built = cut(shards.groupBy("shard").applyInPandas(_build, "shard int, beam int, recall double, ids binary, vectors binary, links binary, hubs binary"), "graphs")
+    built = cut(shards.groupBy("shard").applyInPandas(_build, "shard int, beam int, recall double, ids binary, keys binary, vectors binary, links binary, hubs binary"), "graphs")
     # Rows ask the shards that began no later than their batch, in blocks of bounded size.
     blocks = {r["source"]: max(1, -(-r["count"] // block_rows)) for r in asked.groupBy("source").count().collect()}
     counts = F.broadcast(spark.createDataFrame(list(blocks.items()) or [("", 1)], "source string, blocks int"))
-    questions = asked.join(counts, "source").join(plan, "source").where("batch >= a").select(F.explode(F.sequence(F.col("shard"), F.col("shard") + F.col("parts") - 1)).alias("shard"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node", "vector")
+    questions = asked.join(counts, "source").join(plan, "source").where("batch >= a").select(F.explode(F.sequence(F.col("shard"), F.col("shard") + F.col("parts") - 1)).alias("shard"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node", "key", "vector")
     sides = built.join(F.broadcast(spark.createDataFrame([(s + i, blocks.get(source, 1)) for source, _, _, parts, s in manifest for i in range(parts)] or [(0, 1)], "shard int, n int")), "shard").withColumn("block", F.explode(F.expr("sequence(0, n - 1)"))).drop("n")
     # A task for each shard and block: little to read but much to compute, so they are kept apart.
     pairs = 2 * sum(parts * blocks.get(source, 1) for source, _, _, parts, _ in manifest)
@@ -307,7 +340,7 @@ def candidates(found: DataFrame, asked: DataFrame | None = None, shard_rows: int
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("node")
     g = Graph(_pack(pdf["vector"]))
-    return pd.DataFrame([{"shard": pdf["shard"].iloc[0], "beam": g.beam, "recall": g.recall, "ids": pdf["node"].to_numpy(np.int64).tobytes(), "vectors": b"".join(pdf["vector"]), "links": g.links.astype(np.uint16 if len(pdf) <= 65_536 else np.int32).tobytes(), "hubs": g.hubs.astype(np.int32).tobytes()}])
+    return pd.DataFrame([{"shard": pdf["shard"].iloc[0], "beam": g.beam, "recall": g.recall, "ids": pdf["node"].to_numpy(np.int64).tobytes(), "keys": pdf["key"].to_numpy(np.int64).tobytes(), "vectors": b"".join(pdf["vector"]), "links": g.links.astype(np.uint16 if len(pdf) <= 65_536 else np.int32).tobytes(), "hubs": g.hubs.astype(np.int32).tobytes()}])
 
 
 def _search(asked: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
@@ -320,33 +353,65 @@ def _search(asked: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
     g.v = np.frombuffer(row["vectors"], np.int8).reshape(len(ids), DIMS).astype(np.float32) / 254
     g.links = np.frombuffer(row["links"], np.uint16 if len(ids) <= 65_536 else np.int32).reshape(len(ids), -1).astype(np.int32)
     g.hubs, g.beam = np.frombuffer(row["hubs"], np.int32), int(row["beam"])
-    out = []
+    keys, out = np.frombuffer(row["keys"], np.int64), []
     for a in range(0, len(asked), 1024):
         part = asked.iloc[a : a + 1024]
-        at, sim = g.search(_pack(part["vector"]), TOP)
-        later, earlier = np.repeat(part["node"].to_numpy(np.int64), at.shape[1]), ids[at.ravel()]
-        keep = (sim.ravel() >= LEAST) & (earlier < later) & (at.ravel() >= 0)
-        out.append(pd.DataFrame({"later": later[keep], "earlier": earlier[keep], "similarity": sim.ravel()[keep].astype(float)}))
+        own, nodes_, met = part["key"].to_numpy(np.int64), part["node"].to_numpy(np.int64), []
+
+        def meet(queries, rows, sim):
+            hit = (sim >= LEAST) & (own[queries] == keys[rows])
+            i, j = np.nonzero(hit)
+            met.append(pd.DataFrame({"x": nodes_[np.broadcast_to(queries, sim.shape)[i, j]], "y": ids[np.broadcast_to(rows, sim.shape)[i, j]], "similarity": sim[i, j].astype(float)}))
+
+        g.search(_pack(part["vector"]), 1, meet)
+        pairs = pd.concat(met)
+        pairs = pairs[pairs["x"] != pairs["y"]].drop_duplicates(["x", "y"])
+        out.append(pd.DataFrame({"later": pairs[["x", "y"]].max(axis=1), "earlier": pairs[["x", "y"]].min(axis=1), "similarity": pairs["similarity"]}))
     return pd.concat(out) if out else none
 
 
-def repeats(actions: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """``(first_row_id, row_id)``: each row that reports a decision again, with the earliest row of that decision.
+def spots(shapes: DataFrame) -> DataFrame:
+    """What graphs are built of and asked for: each vector once."""
+    return shapes.where("node = spot").select("node", "batch", "source", "key", "vector")
 
-    Rows are ordered by batch and row id.  Null names, dates, quotes, laws or
-    penalties agree with nothing but nulls or, for penalties, with anything;
-    exact copies are always repeats; an empty table gives an empty result;
-    other columns are ignored.
+
+def compared_pairs(found: DataFrame, shapes: DataFrame, near: DataFrame) -> DataFrame:
+    """``(earlier, later)``: the pairs of nodes for the exact comparison.
+
+    Nodes that it cannot tell apart are compared by the first of them; see ``stars``.
     """
-    found, members = nodes(actions)
-    near = candidates(found, shard_rows=shard_rows)
-    fields = ["entity_name", "decision_date", "source", "law_ids", "offending_quote", "penalty_amount", "ref", "mark"]
-    side = lambda p: found.select(F.col("node").alias(p), F.struct(*fields).alias(f"_{p}"))
-    compared = near.select("later", "earlier").distinct().join(side("later"), "later").join(side("earlier"), "earlier")
-    # What needs no Python is compared before: dates, laws, penalties, numbers of rulings.
-    a, b = (lambda c: F.col(f"_later.{c}")), (lambda c: F.col(f"_earlier.{c}"))
-    compared = compared.where(a("decision_date").eqNullSafe(b("decision_date")) & a("law_ids").eqNullSafe(b("law_ids")))
-    compared = compared.where((a("penalty_amount").isNull() | b("penalty_amount").isNull() | (a("penalty_amount") == b("penalty_amount"))) & ((a("ref") == "") | (b("ref") == "") | (a("ref") == b("ref"))))
+    both = lambda a, b: (F.least(a, b).alias("earlier"), F.greatest(a, b).alias("later"))
+    # Where both have a number, names and penalties are all that is left to compare.
+    numbered = shapes.where("ref <> ''").groupBy("key", "ref", "entity_name", "penalty_amount").agg(F.min("node").alias("a"))
+    numbers = numbered.select("key", "ref", "a").join(numbered.select("key", "ref", F.col("a").alias("b")), ["key", "ref"]).where("a < b").select(*both("a", "b"))
+    # Where a quote is missing, the checksum stands for it.
+    marked = found.where("mark <> ''").select("node", "profile", "mark").join(shapes.select(F.col("node").alias("profile"), "key", "worded", "ref", "entity_name", "penalty_amount"), "profile")
+    silent = marked.where("not worded").groupBy("key", "mark", "ref", "entity_name", "penalty_amount").agg(F.min("node").alias("a")).select("key", "mark", "a", F.col("ref").alias("_ref"))
+    marks = silent.join(marked.select("key", "mark", "ref", F.col("node").alias("b")), ["key", "mark"]).where("a <> b and (_ref = '' or ref = '')").select(*both("a", "b"))
+    # Wordings are compared along the walks; one side at least has no number.
+    of = shapes.select("spot", "node", "ref", "worded", F.coalesce("offending_quote", F.lit("")).alias("quote"))
+    either = near.select(F.col("later").alias("s"), F.col("earlier").alias("t")).unionByName(near.select(F.col("earlier").alias("s"), F.col("later").alias("t"))).unionByName(spots(shapes).select(F.col("node").alias("s"), F.col("node").alias("t"))).distinct()
+    bare = of.where("ref = ''").select(F.col("spot").alias("s"), F.col("node").alias("a"), F.col("worded").alias("_worded"), F.col("quote").alias("_quote"))
+    wordings = either.join(bare, "s").join(of.select(F.col("spot").alias("t"), F.col("node").alias("b"), "worded", "quote"), "t").where("a <> b and ((worded and _worded) or (quote = '' and _quote = ''))").select(*both("a", "b"))
+    return numbers.unionByName(marks).unionByName(wordings).distinct()
+
+
+def stars(found: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` of nodes that the exact comparison cannot tell apart with the first of them: no pairs, however many there are."""
+    alike = found.where("node <> profile").join(shapes.where("ref <> '' or worded or coalesce(offending_quote, '') = ''").select(F.col("node").alias("profile")), "profile").select(F.col("profile").alias("a"), F.col("node").alias("b"))
+    of = ["key", "ref", "entity_name", "penalty_amount"]
+    numbered = shapes.where("ref <> ''").select("node", F.xxhash64(_hash(*of)).alias("_h"), F.hash(_hash(*of)).alias("_g"))
+    numbers = numbered.join(numbered.groupBy("_h", "_g").agg(F.min("node").alias("a")), ["_h", "_g"]).where("node <> a").select("a", F.col("node").alias("b"))
+    return alike.unionByName(numbers)
+
+
+def same_pairs(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(a, b)``: the pairs that the exact comparison accepts."""
+    side = lambda p: found.select(F.col("node").alias(p), F.struct(*_FIELDS).alias(f"_{p}"))
+    compared = pairs.join(side("later"), "later").join(side("earlier"), "earlier")
+    # What needs no Python is compared before.
+    a, b = F.col("_later.penalty_amount"), F.col("_earlier.penalty_amount")
+    compared = compared.where(a.isNull() | b.isNull() | F.isnan(a) | F.isnan(b) | (a == b))
 
     def exact(batches):
         parsed: dict = {}
@@ -354,12 +419,21 @@ def repeats(actions: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
             keep = [same_decision(a, b, parsed) for a, b in zip(pdf["_later"].to_dict("records") if isinstance(pdf["_later"], pd.DataFrame) else pdf["_later"], pdf["_earlier"].to_dict("records") if isinstance(pdf["_earlier"], pd.DataFrame) else pdf["_earlier"])]
             yield pd.DataFrame({"a": pdf["earlier"][keep], "b": pdf["later"][keep]}) if any(keep) else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
 
-    links = compared.mapInPandas(exact, "a long, b long")
-    # Nodes that differ in nothing but the checksum, ruling's number included, hang on the first of them: a star, not all pairs.
-    same = F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in fields[:-1]))
-    numbered = found.where("ref <> ''").select("node", same.alias("_same"))
-    stars = numbered.join(numbered.groupBy("_same").agg(F.min("node").alias("a")), "_same").where("node <> a").select("a", F.col("node").alias("b"))
-    groups = names.components(links.unionByName(stars))
+    return compared.mapInPandas(exact, "a long, b long")
+
+
+def repeats(actions: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """``(first_row_id, row_id)``: each row that reports a decision again, with the earliest row of that decision.
+
+    Rows are ordered by batch and row id.  Null names, dates, quotes, laws or
+    penalties agree with nothing but nulls or, for penalties, with anything;
+    exact copies are always repeats; an empty table gives an empty result;
+    other columns are ignored.
+    """
+    found, members = nodes(actions)
+    shapes = profiles(found)
+    near = candidates(spots(shapes), shard_rows=shard_rows)
+    groups = names.components(same_pairs(found, compared_pairs(found, shapes, near)).unionByName(stars(found, shapes)))
     whole = members.join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("_first", F.coalesce("component", "node"))
     return whole.where("order <> _first").select((F.col("_first").bitwiseAND(F.lit((1 << 44) - 1))).alias("first_row_id"), "row_id")
 
@@ -374,12 +448,12 @@ def measured_recall(actions: DataFrame, every: int = 20) -> DataFrame:
 
     Counts pairs of at least ``CLOSE`` similarity that exhaustive search finds, and how many of them the graphs return.
     """
-    found, _ = nodes(actions)
+    found = spots(profiles(nodes(actions)[0]))
     asked = found.where(F.col("node").bitwiseAND(F.lit((1 << 44) - 1)) % every == 0)
     near = candidates(found, asked).select("later", "earlier").distinct().withColumn("_hit", F.lit(1))
     # A stated query set against all rows, in blocks.
-    blocks = asked.select("source", "node", "vector").withColumn("_b", F.pmod(F.xxhash64("node"), F.lit(16)).cast("int"))
-    rows = found.select(F.col("source").alias("source2"), F.col("node").alias("node2"), F.col("vector").alias("vector2")).withColumn("_p", F.pmod(F.xxhash64("node2"), F.lit(16)).cast("int"))
+    blocks = asked.select("source", "node", "key", "vector").withColumn("_b", F.pmod(F.xxhash64("node"), F.lit(16)).cast("int"))
+    rows = found.select(F.col("source").alias("source2"), F.col("node").alias("node2"), F.col("key").alias("key2"), F.col("vector").alias("vector2")).withColumn("_p", F.pmod(F.xxhash64("node2"), F.lit(16)).cast("int"))
     left = blocks.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(15))))
     right = rows.withColumn("_b2", F.explode(F.sequence(F.lit(0), F.lit(15))))
 
@@ -390,7 +464,7 @@ def measured_recall(actions: DataFrame, every: int = 20) -> DataFrame:
         for at in range(0, len(a), 256):
             part = a.iloc[at : at + 256]
             s = _pack(part["vector"]) @ rows
-            i, j = np.nonzero(s >= CLOSE)
+            i, j = np.nonzero((s >= CLOSE) & (part["key"].to_numpy()[:, None] == b["key2"].to_numpy()[None]))
             x, y = part["node"].to_numpy()[i], b["node2"].to_numpy()[j]
             keep = y < x
             out.append(pd.DataFrame({"later": x[keep], "earlier": y[keep], "similarity": s[i, j][keep].astype(float)}))

@@ -118,6 +118,16 @@ def test_many_copies_and_small_shards(spark):
     assert repeated(spark, [d[0] for d in data], shard_rows=50) == sorted(want)
 
 
+def test_a_first_row_behind_many_copies(spark):
+    quote = "The firm published claims about returns that no reasonable reader could check, on its landing page and in two newsletters"
+    of = lambda i, batch, name, q, mark: action(i, batch, name, q, url="https://x/latest", sha=f"{mark:064x}")
+    right, wrong = "Ashbourne Keddat Lettings Ltd", "Ashborune Keddat Lettings Ltd"
+    assert repeated(spark, [of(1, 1, wrong, quote[:60], 1), *(of(i, 1, right, quote, i) for i in range(2, 32))]) == [(1, i) for i in range(2, 32)]
+    # With a checksum in place of a missing quote, and the mistyped row last.
+    data = [of(1, 1, right, None, 7), *(of(i, 1, right, quote, 7 if i == 20 else 100 + i) for i in range(2, 32)), of(32, 2, wrong, quote[:60], 1)]
+    assert repeated(spark, data) == [(1, i) for i in range(2, 33)]
+
+
 def test_graph_recall_against_exhaustive_search():
     rng = np.random.default_rng(1)
     v = rng.standard_normal((3000, history.DIMS)).astype(np.float32)
