@@ -125,17 +125,21 @@ COMPANIONS = (
 )
 
 #: Each placeholder needs one of these signs, each filler and each notice one of these stems in lower case.
-SIGNS = ("{{", "{%", "<%", "<?", "${", "#{", "%%", "%,", "% ", "%.", "*|", "[", "__", "@@", "undefined")
+#: They must let through whatever the patterns match, as the tests check for every branch.
+SIGNS = ("{{", "{%", "<%", "<?", "${", "#{", "%", "*|", "[", "__", "@@", "undefined")
 FILLER_STEMS = (
     "lorem ipsum", "dolor sit", "consectetur", "sed do eiusmod", "incididunt", "ad minim", "quis nostrud", "duis aute", "excepteur", "quis risus", "vestibulum id", "mollit anim",
     " here", "to edit", "todo:", "xxxx", "replace this", "this is a", "this is your", "your new", "edit or delete", "dummy", "placeholder", "sample", "filler", "hello world", "just another",
 )
 NOTICE_STEMS = (
-    "error", "not found", "be found", "t found", "forbidden", "unauthori", "unavailable", "bad gateway", "bad request", "404", "403", "500", "502", "503", "sorry", "may have been", "went wrong", "denied", "permission", "has expired", "timed out", "log in", "login", "sign in", "log-in", "sign-in", "logged in",
-    "javascript", "scripts", "enable cookies", "requires cookies", "needs cookies", "checking your", "checking the", "checking if", "a human", "a robot", "captcha", "suspended", "parked", "for sale", "be back", "be right back", "under construction", "r maintenance", "undergoing", "scheduled", "coming soon", "index of /", "fetch failed", "guru meditation", "uncaught", "warning:", "notice:", "traceback", "not supported", "out of date", "too old", "requested ", "too many requests", "rate limit", "blocked", "unable to",
-    "nicht gefunden", "angeforderte", "existiert", "introuvable", "non trouv", "existe", "no encontrada", "ha encontrado", "wartung", "mantenimiento", "verweigert", "refusé", "denegado",
+    "error", "not found", "be found", "t found", "forbidden", "unauthori", "unavailable", "bad gateway", "bad request", "404", "403", "500", "502", "503", "sorry", "may have been", "went wrong", "denied", "permission", "has expired", "timed out", "log in", "login", "sign in", "signin", "log-in", "sign-in", "logged in", "loggedin", "gateway time", "server met", "server encountered",
+    "javascript", "scripts", "enable cookies", "require cookies", "requires cookies", "need cookies", "needs cookies", "turn on cookies", "activate cookies", "checking your", "checking the", "checking if", "a human", "you are human", "a robot", "captcha", "suspended", "parked", "for sale", "be back", "be right back", "under construction", "r maintenance", "for construction", "undergoing", "scheduled", "coming soon", "index of /", "fetch failed", "guru meditation", "uncaught", "warning:", "notice:", "traceback", "not supported", "out of date", "too old", "requested ", "too many requests", "rate limit", "blocked", "unable to",
+    "nicht gefunden", "angeforderte", "existiert", "introuvable", "non trouv", "existe", "no encontrada", "ha encontrado", "erreur", "wartung", "en maintenance", "mantenimiento", "verweigert", "refusé", "denegado",
 )
 
+#: The one notice without a stem: a status alone on its line.
+STATUS_LINE = r"(?m)^[^\w\n]*[45]\d\d[^\w\n]*$"
+
 #: A line of this length that is no notice is content.
 CONTENT_LINE = 90
 #: A longer line is content, whatever it says.
@@ -158,7 +162,7 @@ def _judge():
     titles = re.compile("^(?:" + "|".join(DEFAULT_TITLES) + ")$", re.IGNORECASE)
     notices, companions = _any(NOTICES), _any(COMPANIONS)
     quoted = re.compile("“[^”\n]{0,120}”|«[^»\n]{0,120}»|„[^“\n]{0,120}“|\"[^\"\n]{0,120}\"")
-    signs, words, stems, longest = SIGNS, FILLER_STEMS, NOTICE_STEMS, LONGEST_NOTICE
+    signs, words, stems, longest, status = SIGNS, FILLER_STEMS, NOTICE_STEMS, LONGEST_NOTICE, re.compile(STATUS_LINE)
 
     def holding(text: str, low: str, marks: tuple[str, ...], words: tuple[str, ...]):
         """The lines that hold one of the marks, or of the words in lower case."""
@@ -185,6 +189,8 @@ def _judge():
         if not notes_too:
             return None
         notes = {line for line in holding(text, low, (), stems) if len(line) < longest and notices.search(line)}
+        if status.search(text):
+            notes |= {line for line in text.split("\n") if len(line) < longest and status.search(line)}
         if not notes:
             return None
         lines = [x for x in text.split("\n") if x and not x.isspace() and x not in notes]
