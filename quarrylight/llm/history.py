@@ -1,44 +1,50 @@
 """Deduplicating new batches against all history (problem 4).
 
-History is kept as segments, each a shard with a navigable small-world graph:
-every row is a vector, linked with its nearest rows, with rows that name it,
-and with a few far ones.  A new row enters a shard at the hubs closest to it
-and walks the graph with a beam; how wide the beam must be is tuned for each
-shard against exhaustive search.  A new batch becomes shards of its own, so
-nothing of the history is built again; small neighbouring shards of a source
-are compacted into one.  Every row that a walk meets and that has the same
-date and laws is a candidate, earlier or later, and an exact comparison of
-firm, penalty, reference and wording decides.
-
-Walks are approximate, so they settle only what no equality can: two numbers
-of rulings, equal rows but for the checksum, and checksums in place of missing
-wordings are joined exactly.
-
-Exact copies are one node, however many there are, nodes alike but for the
-checksum one profile, and profiles of one vector one spot of the graph.  Shards
-are bounded in rows, and so are the blocks of rows that search one, whatever a
-source's share.
+History is a stored index of generations, each cut into segments by the hash
+of what repeats of a ruling share: source, date and laws.  A segment is a shard
+with a navigable small-world graph: every vector is linked with its nearest,
+with those that name it, and with a few far ones.  A new row enters the shards
+of its segment at the hubs closest to it and walks the graph with a beam; how
+wide the beam must be is tuned for each shard against exhaustive search.  A new
+batch becomes shards of its own and opens only the folders of its segments;
+nothing of the history is built again until a scheduled compaction makes one
+generation of the newest ones.  Every row that a walk meets and that has the
+same date and laws is a candidate, and an exact comparison of firm, penalty,
+number and wording decides.
+
+Walks are approximate, so equality helps where it can: numbers of rulings, and
+checksums in place of missing wordings, are joined exactly besides.
+
+Rows that the exact comparison cannot tell apart are one profile, however many
+there are, and profiles of one firm and wording one spot of the graph.  Shards
+are bounded in rows, and so are the blocks of rows that ask one.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import json
+import math
 import re
 import unicodedata
+import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
 
 from quarrylight.llm import names
-from quarrylight.runtime import batch_rows, cut
+from quarrylight.runtime import batch_rows, cut, place
 
 #: Dimensions of a vector: the bits of one hash for each feature.
 DIMS = 64
-#: Rows of a shard, rows of a block that searches one, nearest and far links of a node.
-SHARD_ROWS, BLOCK_ROWS, NEAREST, FAR = 32_000, 40_000, 16, 4
+#: Vectors of a shard, rows of a block that asks one, nearest and far links of a node.
+SHARD_ROWS, BLOCK_ROWS, NEAREST, FAR = 8_192, 40_000, 16, 4
+#: Generations that are kept before the newest are made one, and the most folders of one as a power of two.
+FANOUT, SLICES_LEVEL = 6, 12
 #: One row in so many is a hub, where a walk may begin.
 HUB_OF = 8
 #: Rows of a beam whose links are followed at once.
@@ -47,8 +53,6 @@ PICK = 4
 BEAMS, SAMPLE, WANTED = (24, 48, 96, 192), 256, 0.99
 #: The least similarity of a row that is compared exactly.
 LEAST = 0.55
-#: Similarity from which recall is measured.
-CLOSE = 0.75
 #: Shares of firm, date, laws with source, and wording in a vector.
 WEIGHTS = (0.42, 0.2, 0.1, 0.28)
 #: Similarity of two wordings of one ruling.
@@ -78,16 +82,14 @@ def _signs(feature: str, cache: dict) -> np.ndarray:
     return v
 
 
-def vector(name: str | None, date, laws, source: str | None, quote: str | None, cache: dict, parsed: dict) -> np.ndarray:
+def vector(core: str, date, laws, source: str, words: str, cache: dict) -> np.ndarray:
     """A unit vector in which the same ruling, however typed, comes out close."""
-    p = names.parse(name or "", parsed)
-    core = p[1] if p else (name or "").lower()
     # Letters in threes, bounded by none, so that exchanged or joined words change little.
     groups = [
         ["n" + core[i : i + 3] for i in range(max(1, len(core) - 2))],
         [f"d{date}"] if date is not None else [],
         [f"l{x}" for x in (laws if laws is not None else ())] + [f"s{source}"],
-        ["q" + w for w in _plain_words(quote)],
+        ["q" + w for w in words.split()],
     ]
     out = np.zeros(DIMS, np.float32)
     for weight, features in zip(WEIGHTS, groups):
@@ -193,8 +195,9 @@ class Graph:
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sim, order, 1)
 
 
-def _same_firm(a: tuple | None, b: tuple | None) -> bool:
-    if a is None or b is None:
+def _same_firm(a: tuple, b: tuple) -> bool:
+    """Of two firms as ``(kind, core, other order, trade, given names)``; nameless rows agree with each other."""
+    if not (a[0] and b[0]):
         return a == b
     if a[0] != b[0] or (a[3] and b[3] and a[3] != b[3]):
         return False
@@ -202,8 +205,8 @@ def _same_firm(a: tuple | None, b: tuple | None) -> bool:
     if not any(x and y and names._near(x, y, k) for x in a[1:3] for y in b[1:3]):
         return False
     if a[0] == "p":
-        x, y = set(a[5].split("|")), set(b[5].split("|"))
-        return bool(x & y) or any(len(p) == 1 and any(q.startswith(p) for q in t) for p, t in ((a[5], y), (b[5], x)))
+        x, y = set(a[4].split("|")), set(b[4].split("|"))
+        return bool(x & y) or any(len(p) == 1 and any(q.startswith(p) for q in t) for p, t in ((a[4], y), (b[4], x)))
     return True
 
 
@@ -219,132 +222,79 @@ def _wording(a: list[str], b: list[str]) -> float:
     return sum(min(n, cb.get(w, 0)) for w, n in ca.items()) / min(len(a), len(b))
 
 
-def same_decision(a: dict, b: dict, parsed: dict) -> bool:
-    """The exact comparison: the same ruling on the same firm.
+#: What a ruling is told by, once row and batch are set aside.
+_PROFILE = ("key", "guard", "kind", "core", "other", "trade", "given", "words", "quoted", "penalty", "ref", "seal")
+_FIRM = ("kind", "core", "other", "trade", "given")
 
-    Firm, date, source and laws must agree, and penalties where both are
-    known.  Two numbers of rulings decide; without them the wording does; where
-    that is missing on one side only, the checksum must agree.
-    """
-    if a["decision_date"] != b["decision_date"] or a["source"] != b["source"] or set(a["law_ids"]) != set(b["law_ids"]):
-        return False
-    if a["penalty_amount"] == a["penalty_amount"] and b["penalty_amount"] == b["penalty_amount"] and a["penalty_amount"] is not None and b["penalty_amount"] is not None and a["penalty_amount"] != b["penalty_amount"]:
-        return False
-    if not _same_firm(names.parse(a["entity_name"] or "", parsed), names.parse(b["entity_name"] or "", parsed)):
-        return False
-    if a["ref"] and b["ref"]:
-        return a["ref"] == b["ref"]
-    alike = _wording(_plain_words(a["offending_quote"]), _plain_words(b["offending_quote"]))
-    if alike >= 0:
-        return alike >= SAME_WORDING
-    return bool(a["mark"] and a["mark"] == b["mark"]) or (not a["offending_quote"] and not b["offending_quote"])
 
-
-_FIELDS = ("entity_name", "decision_date", "source", "law_ids", "offending_quote", "penalty_amount", "ref", "mark")
-
-
-def _hash(*columns: str):
+def _hashed(*columns: str):
     return F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns))
 
 
-def nodes(actions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct rows as ``nodes(node, batch, profile, fields)``, and ``members(node, order, row_id)``.
+def shaped(actions: DataFrame) -> DataFrame:
+    """Each row as ``(row_id, order, batch, key, guard, firm, words, quoted, penalty, ref, mark, seal)``.
 
-    ``profile`` is the first of the nodes that differ in nothing but the checksum.
+    ``key`` and ``guard`` are hashes of source, date and laws, which repeats of
+    a ruling share.  The firm is read once here, and a wording becomes its
+    sorted words.  ``seal`` is the checksum where nothing else tells rows apart.
     """
     mark = F.lower(F.regexp_extract(F.coalesce("sha256", F.lit("")), "([0-9a-fA-F]{64})", 1))
     code = F.coalesce(F.nullif(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?i)[a-z]\d\d-(\d{5,10})(?!\d)", 1), F.lit("")), F.regexp_extract(F.coalesce("url", F.lit("")), r"(?i)[?&](?:id|ref|case|no|nr)=(?:[a-z]\d\d-)?(\d{5,10})(?!\d)", 1))
+    laws = F.array_sort(F.array_distinct(F.coalesce("law_ids", F.array().cast("array<string>"))))
+    case = F.struct(F.coalesce("source", F.lit("")), F.coalesce(F.col("decision_date").cast("string"), F.lit("\u0000")), F.array_join(laws, "\u0001", "\u0000"))
     rows = actions.select(
-        "row_id", (F.col("batch_no").cast("long") * F.lit(1 << 44) + F.col("row_id")).alias("order"), F.col("batch_no").cast("int").alias("batch"), "entity_name", F.col("decision_date").cast("string").alias("decision_date"),
-        F.coalesce("source", F.lit("")).alias("source"), F.array_sort(F.array_distinct(F.coalesce("law_ids", F.array().cast("array<string>")))).alias("law_ids"), "offending_quote", "penalty_amount", code.alias("ref"), mark.alias("mark"),
+        "row_id", (F.col("batch_no").cast("long") * F.lit(1 << 44) + F.col("row_id")).alias("order"), F.col("batch_no").cast("int").alias("batch"), F.xxhash64(case).alias("key"), F.hash(case).alias("guard"),
+        F.col("decision_date").cast("string").alias("date"), F.coalesce("source", F.lit("")).alias("source"), laws.alias("laws"), "entity_name", "offending_quote", F.when(~F.isnan(F.col("penalty_amount").cast("double")), F.col("penalty_amount").cast("double")).alias("penalty"), code.alias("ref"), mark.alias("mark"),
     )
-    # Exact copies are one node; the second hash keeps chance collisions apart.
-    rows = rows.withColumn("node", F.xxhash64(_hash(*_FIELDS))).withColumn("_g", F.hash(_hash(*_FIELDS)))
-    members = cut(rows, "actions")
-    first = members.groupBy("node", "_g").agg(F.min("order").alias("first"), F.min("batch").alias("batch"), *(F.first(c).alias(c) for c in _FIELDS))
-    members = members.select("node", "_g", "order", "row_id").join(first.select("node", "_g", "first"), ["node", "_g"]).select(F.col("first").alias("node"), "order", "row_id")
-    found = first.select(F.col("first").alias("node"), "batch", *_FIELDS, F.xxhash64(_hash(*_FIELDS[:-1])).alias("_p"), F.hash(_hash(*_FIELDS[:-1])).alias("_g"))
-    found = found.join(found.groupBy("_p", "_g").agg(F.min("node").alias("profile")), ["_p", "_g"]).drop("_p", "_g")
-    return cut(found, "nodes"), members
-
-
-def profiles(found: DataFrame) -> DataFrame:
-    """The profiles with ``key`` (source, date and laws), ``worded`` (the quote has words), ``vector``, and ``spot``, the first profile of that vector."""
-    batch_rows(found.sparkSession, 2000)
-
-    def vectors(batches):
-        cache, parsed = {}, {}
-        for pdf in batches:
-            v = [vector(n, d, laws, s, q, cache, parsed) for n, d, laws, s, q in zip(pdf["entity_name"], pdf["decision_date"], pdf["law_ids"], pdf["source"], pdf["offending_quote"])]
-            pdf["worded"] = [bool(_plain_words(q)) for q in pdf["offending_quote"]]
-            # A byte for each dimension.
-            pdf["vector"] = [np.clip(np.rint(x * 254), -127, 127).astype(np.int8).tobytes() for x in v]
-            yield pdf
-
-    wide = found.where("node = profile").select("node", "batch", "source", "entity_name", "decision_date", "law_ids", "offending_quote", "penalty_amount", "ref", F.xxhash64(_hash("source", "decision_date", "law_ids")).alias("key"))
-    made = cut(wide.mapInPandas(vectors, StructType([*wide.schema.fields, StructField("worded", BooleanType()), StructField("vector", BinaryType())])), "vectors")
-    same = ["source", "key", "vector"]
-    return cut(made.join(made.groupBy(*same).agg(F.min("node").alias("spot")), same), "profiles")
-
-
-def segments(found: DataFrame, shard_rows: int = SHARD_ROWS) -> list[tuple[str, int, int, int, int]]:
-    """The manifest of shards: ``(source, first batch, last batch, parts, shard)``.
-
-    A batch of a source makes as many parts as its rows need; neighbouring
-    small ones are compacted.  It has a line for each source and batch at most.
-    """
-    sizes = sorted((r["source"], r["batch"], r["count"]) for r in found.groupBy("source", "batch").count().collect())
-    out: list[list] = []
-    for source, batch, n in sizes:
-        last = out[-1] if out else None
-        if last and last[0] == source and last[4] + n <= shard_rows:
-            last[2], last[4] = batch, last[4] + n
-        else:
-            out.append([source, batch, batch, -(-n // shard_rows), n])
-    done, shard = [], 0
-    for source, a, b, parts, _ in out:
-        done.append((source, a, b, parts, shard))
-        shard += parts
-    return done
+
+    def batches(parts):
+        parsed: dict = {}
+        for batch in parts:
+            firms = [names.parse(n or "", parsed) or ("", (n or "").lower(), "", "", "", "") for n in batch.column("entity_name").to_pylist()]
+            quotes = batch.column("offending_quote").to_pylist()
+            if len(parsed) > 200_000:
+                parsed.clear()
+            made = {
+                "kind": [f[0] for f in firms], "core": [f[1] for f in firms], "other": [f[2] for f in firms], "trade": [f[3] for f in firms], "given": [f[5] for f in firms],
+                "words": [" ".join(sorted(_plain_words(q))) for q in quotes], "quoted": [bool(q) for q in quotes],
+            }
+            kept = [c for c in batch.schema.names if c not in ("entity_name", "offending_quote")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(v, pa.bool_() if k == "quoted" else pa.string()) for k, v in made.items())], names=[*kept, *made])
+
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("entity_name", "offending_quote"))
+    made = rows.mapInArrow(batches, f"{kept}, kind string, core string, other string, trade string, given string, words string, quoted boolean")
+    return made.withColumn("seal", F.when((F.col("words") == "") & F.col("quoted") & (F.col("ref") == ""), F.col("mark")).otherwise(""))
+
+
+def _vectors(spots: DataFrame) -> DataFrame:
+    def made(batches):
+        cache: dict = {}
+        for batch in batches:
+            of = (batch.column(c).to_pylist() for c in ("core", "date", "laws", "source", "words"))
+            v = [np.clip(np.rint(vector(*x, cache) * 254), -127, 127).astype(np.int8).tobytes() for x in zip(*of)]
+            yield pa.RecordBatch.from_arrays([batch.column("spot"), batch.column("key"), pa.array(v, pa.binary())], names=["spot", "key", "vector"])
+
+    return spots.mapInArrow(made, "spot long, key long, vector binary")
 
 
 def _pack(v) -> np.ndarray:
     return np.stack([np.frombuffer(x, np.int8) for x in v]).astype(np.float32) / 254
 
 
-def candidates(found: DataFrame, asked: DataFrame | None = None, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``(later, earlier, similarity)``: for each spot of ``asked`` the spots of its key that a walk meets in the shards of its source.
-
-    None is cut off for others being closer.  A pair counts whichever of its ends met the other.
-    """
-    spark = found.sparkSession
-    asked = found if asked is None else asked
-    manifest = segments(found, shard_rows)
-    plan = spark.createDataFrame(manifest or [("", 0, 0, 1, 0)], "source string, a int, b int, parts int, shard int")
-    plan = F.broadcast(plan)
-    shards = found.join(plan, "source").where("batch between a and b").select((F.col("shard") + F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int").alias("shard"), "node", "key", "vector")
-    shards = shards.repartition(max(12, 2 * sum(m[3] for m in manifest)), "shard")
-    built = cut(shards.groupBy("shard").applyInPandas(_build, "shard int, beam int, recall double, ids binary, keys binary, vectors binary, links binary, hubs binary"), "graphs")
-    # Rows ask the shards that began no later than their batch, in blocks of bounded size.
-    blocks = {r["source"]: max(1, -(-r["count"] // block_rows)) for r in asked.groupBy("source").count().collect()}
-    counts = F.broadcast(spark.createDataFrame(list(blocks.items()) or [("", 1)], "source string, blocks int"))
-    questions = asked.join(counts, "source").join(plan, "source").where("batch >= a").select(F.explode(F.sequence(F.col("shard"), F.col("shard") + F.col("parts") - 1)).alias("shard"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node", "key", "vector")
-    sides = built.join(F.broadcast(spark.createDataFrame([(s + i, blocks.get(source, 1)) for source, _, _, parts, s in manifest for i in range(parts)] or [(0, 1)], "shard int, n int")), "shard").withColumn("block", F.explode(F.expr("sequence(0, n - 1)"))).drop("n")
-    # A task for each shard and block: little to read but much to compute, so they are kept apart.
-    pairs = 2 * sum(parts * blocks.get(source, 1) for source, _, _, parts, _ in manifest)
-    tasks = max(12, min(4000, pairs))
-    questions, sides = questions.repartition(tasks, "shard", "block"), sides.repartition(tasks, "shard", "block")
-    return questions.groupBy("shard", "block").cogroup(sides.groupBy("shard", "block")).applyInPandas(_search, "later long, earlier long, similarity double")
-
-
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("node")
+    pdf = pdf.sort_values("spot")
     g = Graph(_pack(pdf["vector"]))
-    return pd.DataFrame([{"shard": pdf["shard"].iloc[0], "beam": g.beam, "recall": g.recall, "ids": pdf["node"].to_numpy(np.int64).tobytes(), "keys": pdf["key"].to_numpy(np.int64).tobytes(), "vectors": b"".join(pdf["vector"]), "links": g.links.astype(np.uint16 if len(pdf) <= 65_536 else np.int32).tobytes(), "hubs": g.hubs.astype(np.int32).tobytes()}])
+    return pd.DataFrame([{
+        "segment": pdf["segment"].iloc[0], "part": pdf["part"].iloc[0], "beam": g.beam, "recall": g.recall, "ids": pdf["spot"].to_numpy(np.int64).tobytes(), "keys": pdf["key"].to_numpy(np.int64).tobytes(),
+        "vectors": b"".join(pdf["vector"]), "links": g.links.astype(np.uint16 if len(pdf) <= 65_536 else np.int32).tobytes(), "hubs": g.hubs.astype(np.int32).tobytes(),
+    }])
+
+
+_GRAPH = "segment long, part int, beam int, recall double, ids binary, keys binary, vectors binary, links binary, hubs binary"
 
 
 def _search(asked: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-    none = pd.DataFrame({"later": np.zeros(0, np.int64), "earlier": np.zeros(0, np.int64), "similarity": np.zeros(0)})
+    none = pd.DataFrame({"asked": np.zeros(0, np.int64), "met": np.zeros(0, np.int64)})
     if not len(asked) or not len(shard):
         return none
     row = shard.iloc[0]
@@ -356,86 +306,252 @@ def _search(asked: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
     keys, out = np.frombuffer(row["keys"], np.int64), []
     for a in range(0, len(asked), 1024):
         part = asked.iloc[a : a + 1024]
-        own, nodes_, met = part["key"].to_numpy(np.int64), part["node"].to_numpy(np.int64), []
+        own, spots, met = part["key"].to_numpy(np.int64), part["spot"].to_numpy(np.int64), []
 
         def meet(queries, rows, sim):
-            hit = (sim >= LEAST) & (own[queries] == keys[rows])
-            i, j = np.nonzero(hit)
-            met.append(pd.DataFrame({"x": nodes_[np.broadcast_to(queries, sim.shape)[i, j]], "y": ids[np.broadcast_to(rows, sim.shape)[i, j]], "similarity": sim[i, j].astype(float)}))
+            i, j = np.nonzero((sim >= LEAST) & (own[queries] == keys[rows]))
+            met.append(pd.DataFrame({"asked": spots[np.broadcast_to(queries, sim.shape)[i, j]], "met": ids[np.broadcast_to(rows, sim.shape)[i, j]]}))
 
         g.search(_pack(part["vector"]), 1, meet)
-        pairs = pd.concat(met)
-        pairs = pairs[pairs["x"] != pairs["y"]].drop_duplicates(["x", "y"])
-        out.append(pd.DataFrame({"later": pairs[["x", "y"]].max(axis=1), "earlier": pairs[["x", "y"]].min(axis=1), "similarity": pairs["similarity"]}))
+        found = pd.concat(met)
+        out.append(found[found["asked"] != found["met"]].drop_duplicates())
     return pd.concat(out) if out else none
 
 
-def spots(shapes: DataFrame) -> DataFrame:
-    """What graphs are built of and asked for: each vector once."""
-    return shapes.where("node = spot").select("node", "batch", "source", "key", "vector")
+def _fits(known, value, left: bool):
+    """Codes of which two sides share exactly one if their values are equal or one is unknown, and none otherwise."""
+    code = F.concat(F.lit("K"), value.cast("string"))
+    return F.when(known, F.array(code, F.lit("R" if left else "N"))).otherwise(F.array(F.lit("N")) if left else F.array(F.lit("N"), F.lit("R")))
+
 
+def _sided(df: DataFrame, left: bool) -> DataFrame:
+    """Rows with the codes ``_p`` of penalty and ``_r`` of ruling number, to be joined with the other side's."""
+    df = df.withColumn("_p", F.explode(_fits(F.col("penalty").isNotNull(), F.col("penalty"), left)))
+    return df.withColumn("_r", F.explode(_fits(F.col("ref") != "", F.col("ref"), left)))
 
-def compared_pairs(found: DataFrame, shapes: DataFrame, near: DataFrame) -> DataFrame:
-    """``(earlier, later)``: the pairs of nodes for the exact comparison.
 
-    Nodes that it cannot tell apart are compared by the first of them; see ``stars``.
+def same_ruling(pairs: DataFrame) -> DataFrame:
+    """``(a, b)`` of ``pairs(a, b, marked, _a, _b)`` that are one ruling on one firm: the exact comparison.
+
+    Source, date, laws, penalties and numbers are joined on before; here firms
+    must agree, and wordings unless both have the same number.  Where a wording
+    is missing on one side only, the checksum must agree (``marked``).
     """
-    both = lambda a, b: (F.least(a, b).alias("earlier"), F.greatest(a, b).alias("later"))
-    # Where both have a number, names and penalties are all that is left to compare.
-    numbered = shapes.where("ref <> ''").groupBy("key", "ref", "entity_name", "penalty_amount").agg(F.min("node").alias("a"))
-    numbers = numbered.select("key", "ref", "a").join(numbered.select("key", "ref", F.col("a").alias("b")), ["key", "ref"]).where("a < b").select(*both("a", "b"))
-    # Where a quote is missing, the checksum stands for it.
-    marked = found.where("mark <> ''").select("node", "profile", "mark").join(shapes.select(F.col("node").alias("profile"), "key", "worded", "ref", "entity_name", "penalty_amount"), "profile")
-    silent = marked.where("not worded").groupBy("key", "mark", "ref", "entity_name", "penalty_amount").agg(F.min("node").alias("a")).select("key", "mark", "a", F.col("ref").alias("_ref"))
-    marks = silent.join(marked.select("key", "mark", "ref", F.col("node").alias("b")), ["key", "mark"]).where("a <> b and (_ref = '' or ref = '')").select(*both("a", "b"))
-    # Wordings are compared along the walks; one side at least has no number.
-    of = shapes.select("spot", "node", "ref", "worded", F.coalesce("offending_quote", F.lit("")).alias("quote"))
-    either = near.select(F.col("later").alias("s"), F.col("earlier").alias("t")).unionByName(near.select(F.col("earlier").alias("s"), F.col("later").alias("t"))).unionByName(spots(shapes).select(F.col("node").alias("s"), F.col("node").alias("t"))).distinct()
-    bare = of.where("ref = ''").select(F.col("spot").alias("s"), F.col("node").alias("a"), F.col("worded").alias("_worded"), F.col("quote").alias("_quote"))
-    wordings = either.join(bare, "s").join(of.select(F.col("spot").alias("t"), F.col("node").alias("b"), "worded", "quote"), "t").where("a <> b and ((worded and _worded) or (quote = '' and _quote = ''))").select(*both("a", "b"))
-    return numbers.unionByName(marks).unionByName(wordings).distinct()
-
-
-def stars(found: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` of nodes that the exact comparison cannot tell apart with the first of them: no pairs, however many there are."""
-    alike = found.where("node <> profile").join(shapes.where("ref <> '' or worded or coalesce(offending_quote, '') = ''").select(F.col("node").alias("profile")), "profile").select(F.col("profile").alias("a"), F.col("node").alias("b"))
-    of = ["key", "ref", "entity_name", "penalty_amount"]
-    numbered = shapes.where("ref <> ''").select("node", F.xxhash64(_hash(*of)).alias("_h"), F.hash(_hash(*of)).alias("_g"))
-    numbers = numbered.join(numbered.groupBy("_h", "_g").agg(F.min("node").alias("a")), ["_h", "_g"]).where("node <> a").select("a", F.col("node").alias("b"))
-    return alike.unionByName(numbers)
-
-
-def same_pairs(found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``(a, b)``: the pairs that the exact comparison accepts."""
-    side = lambda p: found.select(F.col("node").alias(p), F.struct(*_FIELDS).alias(f"_{p}"))
-    compared = pairs.join(side("later"), "later").join(side("earlier"), "earlier")
-    # What needs no Python is compared before.
-    a, b = F.col("_later.penalty_amount"), F.col("_earlier.penalty_amount")
-    compared = compared.where(a.isNull() | b.isNull() | F.isnan(a) | F.isnan(b) | (a == b))
 
     def exact(batches):
-        parsed: dict = {}
-        for pdf in batches:
-            keep = [same_decision(a, b, parsed) for a, b in zip(pdf["_later"].to_dict("records") if isinstance(pdf["_later"], pd.DataFrame) else pdf["_later"], pdf["_earlier"].to_dict("records") if isinstance(pdf["_earlier"], pd.DataFrame) else pdf["_earlier"])]
-            yield pd.DataFrame({"a": pdf["earlier"][keep], "b": pdf["later"][keep]}) if any(keep) else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        firms: dict = {}
+        for batch in batches:
+            a, b = batch.column("_a").to_pylist(), batch.column("_b").to_pylist()
+            keep = []
+            for x, y, marked in zip(a, b, batch.column("marked").to_pylist()):
+                k = (*(x[c] for c in _FIRM), *(y[c] for c in _FIRM))
+                one = firms.get(k)
+                if one is None:
+                    if len(firms) > 300_000:
+                        firms.clear()
+                    one = firms[k] = _same_firm(*((f["kind"], f["core"], f["other"], f["trade"], f["given"]) for f in (x, y)))
+                if one and not (x["ref"] and y["ref"]):
+                    p, q = x["words"].split(), y["words"].split()
+                    one = _wording(p, q) >= SAME_WORDING if p and q else marked or not (x["quoted"] or y["quoted"])
+                keep.append(one)
+            kept = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
+
+    return pairs.mapInArrow(exact, "a long, b long")
+
+
+class History:
+    """The stored index over everything accepted so far, in a folder that all executors share.
+
+    A generation is what one call of ``add`` brought, or what a compaction made
+    of several: its profiles, checksums, vectors and graphs, cut by the hash of
+    source, date and laws into 2 ** level segments of about ``shard_rows``
+    vectors.  A new row asks, in each generation, the one segment that its key
+    falls into; folders of other segments are not opened.  So a batch costs by
+    its own size and the number of generations, not by the rows of the history.
+    A key with more vectors than a shard holds has several parts.
+
+    The manifest has one line for each generation and is replaced last: a call
+    that fails leaves the index as it was.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, fanout: int = FANOUT):
+        self.spark, self.folder, self.shard_rows, self.block_rows, self.fanout = spark, folder, shard_rows, block_rows, fanout
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        done = hadoop.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop.Path(f"{folder}/manifest-*/_SUCCESS"))
+        versions = sorted(int(x.getPath().getParent().getName().rsplit("-", 1)[1]) for x in done or [])
+        self.version = versions[-1] if versions else 0
+        self.generations = [json.loads(r["value"]) for r in spark.read.text(f"{folder}/manifest-{self.version}").collect()] if versions else []
+        self.near: DataFrame | None = None
+
+    def _commit(self, generations: list[dict]) -> None:
+        self.spark.createDataFrame([(json.dumps(g),) for g in generations], "value string").coalesce(1).write.text(f"{self.folder}/manifest-{self.version + 1}")
+        self.generations, self.version = generations, self.version + 1
+
+    def _read(self, generation: dict, what: str, schema: str, slices: list[int] | None = None) -> DataFrame:
+        df = self.spark.read.schema(f"{schema}, slice int").parquet(f"{self.folder}/{generation['name']}/{what}")
+        return (df.where(F.col("slice").isin(slices)) if slices is not None else df).drop("slice")
+
+    def _write(self, name: str, what: str, df: DataFrame, slices: int, key: str = "key") -> None:
+        df = df.withColumn("slice", F.pmod(F.col(key), F.lit(slices)).cast("int"))
+        df.repartition(min(slices, 400), "slice").write.partitionBy("slice").option("compression", "zstd").parquet(f"{self.folder}/{name}/{what}")
+
+    def _level(self, spots: DataFrame) -> tuple[int, int]:
+        n = spots.count()
+        level = max(0, math.ceil(math.log2(max(1.0, n / self.shard_rows))))
+        return level, n
+
+    def _store(self, name: str, profiles: DataFrame, marks: DataFrame, spots: DataFrame, links: list[str], members: list[str]) -> dict:
+        """Write a generation's tables and graphs; every row of it is indexed."""
+        level, n = self._level(spots)
+        slices = 1 << min(level, SLICES_LEVEL)
+        self._write(name, "profiles", profiles.select("node", "digest", "digest2", *_PROFILE, "spot"), slices)
+        self._write(name, "marks", marks.select("node", "key", "mark"), slices)
+        self._write(name, "spots", spots.select("spot", "key", "vector"), slices)
+        cut_up = self._read({"name": name}, "spots", "spot long, key long, vector binary").withColumn("segment", F.pmod(F.col("key"), F.lit(1 << level)))
+        # A segment outgrows a shard where many vectors share a key; it is parted by the vector.
+        parts = cut_up.groupBy("segment").agg(F.ceil(F.count("*") / (2 * self.shard_rows)).cast("int").alias("_parts"))
+        cut_up = cut_up.join(parts, "segment").withColumn("part", F.pmod(F.col("spot"), F.col("_parts")).cast("int")).select("segment", "part", "spot", "key", "vector")
+        tasks = max(12, min(4000, 2 * (n // self.shard_rows + 1)))
+        graphs = cut_up.repartition(tasks, "segment", "part").groupBy("segment", "part").applyInPandas(_build, _GRAPH)
+        graphs.withColumn("slice", F.pmod(F.col("segment"), F.lit(slices)).cast("int")).write.partitionBy("slice").option("compression", "zstd").parquet(f"{self.folder}/{name}/graphs")
+        return {"name": name, "level": level, "slices": slices, "spots": n, "links": links, "members": members}
+
+    def _touched(self, spots: DataFrame) -> dict[str, list[int]]:
+        """The folders of each generation that the keys fall into; at most ``2 ** SLICES_LEVEL`` numbers."""
+        finest = max((g["slices"] for g in self.generations), default=1)
+        mine = [r[0] for r in spots.select(F.pmod(F.col("key"), F.lit(finest)).cast("int")).distinct().collect()]
+        return {g["name"]: sorted({x % g["slices"] for x in mine}) for g in self.generations}
+
+    def _meetings(self, spots: DataFrame, fresh: dict, touched: dict[str, list[int]]) -> DataFrame:
+        """``(asked, met)``: spots of one key that a walk compares, in the shards of all generations."""
+        asked, sides, shards = [], [], 0
+        for i, g in enumerate([*self.generations, fresh]):
+            asked.append(F.struct(F.lit(i).alias("gen"), F.pmod(F.col("key"), F.lit(1 << g["level"])).alias("segment")))
+            sides.append(self._read(g, "graphs", _GRAPH, touched.get(g["name"])).withColumn("gen", F.lit(i)))
+            shards += g["spots"] // self.shard_rows + 1
+        sides = functools.reduce(DataFrame.unionByName, sides)
+        questions = spots.select("spot", "key", "vector", F.explode(F.array(*asked)).alias("_a")).select("spot", "key", "vector", "_a.*")
+        # Questions of one segment go in blocks of bounded size, each to every part of it.
+        blocks = questions.groupBy("gen", "segment").agg(F.ceil(F.count("*") / self.block_rows).cast("int").alias("_blocks"))
+        questions = questions.join(blocks, ["gen", "segment"]).join(sides.select("gen", "segment", (F.col("part") + 0).alias("part")), ["gen", "segment"]).withColumn("block", F.pmod(F.col("spot"), F.col("_blocks")).cast("int")).drop("_blocks")
+        sides = sides.join(blocks, ["gen", "segment"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+        # Little to read but much to compute: the tasks are not left to their sizes in bytes.
+        at, tasks = ["gen", "segment", "part", "block"], max(12, min(4000, 2 * shards))
+        return questions.repartition(tasks, *at).groupBy(*at).cogroup(sides.repartition(tasks, *at).groupBy(*at)).applyInPandas(_search, "asked long, met long")
+
+    def add(self, rows: DataFrame) -> dict:
+        """Check a batch against the history and itself, and make it part of the history; returns its line of the manifest."""
+        batch_rows(self.spark, 4000)
+        name = f"g{self.version:06d}-{uuid.uuid4().hex[:8]}"
+        rows = cut(shaped(rows), "rows")
+        rows = rows.withColumn("digest", F.xxhash64(_hashed(*_PROFILE))).withColumn("digest2", F.hash(_hashed(*_PROFILE)))
+        spot = F.xxhash64("key", "core", "words")
+        profiles = cut(rows.groupBy("digest", "digest2").agg(F.min("order").alias("node"), *(F.first(c).alias(c) for c in (*_PROFILE, "date", "laws", "source"))).withColumn("spot", spot), "profiles")
+        of = profiles.select("digest", "digest2", "node")
+        members = rows.select("digest", "digest2", "order", "row_id").join(of, ["digest", "digest2"]).select("node", "order", "row_id")
+        members.write.option("compression", "zstd").parquet(f"{self.folder}/{name}/members")
+        marks = rows.where("mark <> ''").select("digest", "digest2", "key", "mark").distinct().join(of, ["digest", "digest2"]).select("node", "key", "mark")
+        spots = cut(_vectors(profiles.groupBy("spot", "key").agg(*(F.first(c).alias(c) for c in ("core", "date", "laws", "source", "words")))), "spots")
+        fresh = self._store(name, profiles, marks, spots, [f"{name}/links"], [f"{name}/members"])
+        touched = self._touched(spots)
+        self.near = cut(self._meetings(spots, fresh, touched), "near")
+        self._links(fresh, touched).write.option("compression", "zstd").parquet(f"{self.folder}/{name}/links")
+        self._commit([*self.generations, fresh])
+        if len(self.generations) > self.fanout:
+            self.compact()
+        return fresh
+
+    def _links(self, fresh: dict, touched: dict[str, list[int]]) -> DataFrame:
+        """``(a, b)``: profiles of the batch with those of the history or of the batch that are the same ruling."""
+        mine = self._read(fresh, "profiles", _STORED)
+        old = [self._read(g, "profiles", _STORED, touched[g["name"]]) for g in self.generations]
+        every = functools.reduce(DataFrame.unionByName, old, mine)
+        held = F.struct(*_FIRM, "words", "quoted", "ref")
+        # Along the walks: spots that met, and each with itself.
+        met = self.near.select(F.col("asked").alias("s"), F.col("met").alias("t")).unionByName(mine.select(F.col("spot").alias("s"), F.col("spot").alias("t"))).distinct()
+        left = _sided(mine.select(F.col("spot").alias("s"), F.col("node").alias("a"), "guard", "penalty", "ref", held.alias("_a")), True).select("s", "a", "guard", "_p", "_r", "_a")
+        right = _sided(every.select(F.col("spot").alias("t"), F.col("node").alias("b"), "guard", "penalty", "ref", held.alias("_b")), False).select("t", "b", "guard", "_p", "_r", "_b")
+        walked = met.join(left, "s").join(right, ["t", "guard", "_p", "_r"]).where("a <> b").select("a", "b", F.lit(False).alias("marked"), "_a", "_b")
+        # What equality can settle no walk may miss: numbers of rulings, each spelling of a firm once.
+        group = ["key", "guard", "ref", *_FIRM, "penalty"]
+        numbered = every.where("ref <> ''").groupBy(*group).agg(F.min("node").alias("b"), F.first(held).alias("_b"))
+        asking = _sided(mine.where("ref <> ''").groupBy(*group).agg(F.min("node").alias("a"), F.first(held).alias("_a")), True).where("startswith(_r, 'K')").select("key", "guard", "_r", "_p", "a", "_a")
+        numbers = asking.join(_sided(numbered, False).where("startswith(_r, 'K')").select("key", "guard", "_r", "_p", "b", "_b"), ["key", "guard", "_r", "_p"]).where("a <> b").select("a", "b", F.lit(False).alias("marked"), "_a", "_b")
+        # And checksums, where one side has no wording.
+        own_marks = self._read(fresh, "marks", "node long, key long, mark string")
+        marks = functools.reduce(DataFrame.unionByName, [self._read(g, "marks", "node long, key long, mark string", touched[g["name"]]) for g in self.generations], own_marks)
+        side = lambda df, m, left, p: _sided(m.join(df.select("node", "guard", "penalty", "ref", held.alias(f"_{p}")), "node"), left).select("key", "mark", "guard", "_p", "_r", F.col("node").alias(p), f"_{p}")
+        silent = lambda df: df.where("words = ''")
+        on = ["key", "mark", "guard", "_p", "_r"]
+        sealed = side(silent(mine), own_marks, True, "a").join(side(every, marks, False, "b"), on).unionByName(side(mine, own_marks, True, "a").join(side(silent(every), marks, False, "b"), on)).where("a <> b").select("a", "b", F.lit(True).alias("marked"), "_a", "_b")
+        # Walks of both ends and the three channels may name a pair more than once: it is compared once, or twice where it is marked.
+        low = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "marked", F.when(F.col("a") < F.col("b"), F.col("_a")).otherwise(F.col("_b")).alias("_a"), F.when(F.col("a") < F.col("b"), F.col("_b")).otherwise(F.col("_a")).alias("_b"))
+        pairs = low(walked).unionByName(low(numbers)).unionByName(low(sealed)).dropDuplicates(["a", "b", "marked"])
+        # Profiles that the comparison cannot tell apart hang on the first of them, however many there are.
+        told = lambda df: df.where("ref <> ''").select("node", F.xxhash64(_hashed(*group)).alias("_h"), F.hash(_hashed(*group)).alias("_g"))
+        first = lambda df, *on: df.groupBy(*on).agg(F.min("node").alias("a"))
+        star = told(mine).join(first(told(every), "_h", "_g"), ["_h", "_g"]).select("a", F.col("node").alias("b"))
+        if old:
+            again = first(functools.reduce(DataFrame.unionByName, old), "digest", "digest2")
+            star = star.unionByName(mine.select("digest", "digest2", F.col("node").alias("b")).join(again, ["digest", "digest2"]).select("a", "b"))
+        return same_ruling(pairs).unionByName(star.where("a <> b")).distinct()
+
+    def compact(self) -> None:
+        """Make one generation of the newest ones, as many as are together no larger than twice the one before them.
+
+        The rows move and their graphs are built again; older, larger
+        generations stay as they are, so each row is moved about as often as
+        the history doubles.
+        """
+        some = [self.generations[-1]]
+        for g in reversed(self.generations[:-1]):
+            if len(some) > 1 and g["spots"] > 2 * sum(x["spots"] for x in some):
+                break
+            some.insert(0, g)
+        if len(some) < 2:
+            return
+        name = f"g{self.version:06d}-{uuid.uuid4().hex[:8]}"
+        union = lambda what, schema: functools.reduce(DataFrame.unionByName, [self._read(g, what, schema) for g in some])
+        spots = cut(union("spots", "spot long, key long, vector binary").dropDuplicates(["spot", "key"]), "spots")
+        made = self._store(name, union("profiles", _STORED), union("marks", "node long, key long, mark string"), spots, [x for g in some for x in g["links"]], [x for g in some for x in g["members"]])
+        self._commit([*(g for g in self.generations if g not in some), made])
+
+    def links(self) -> DataFrame:
+        return self.spark.read.schema("a long, b long").parquet(*(f"{self.folder}/{x}" for g in self.generations for x in g["links"]))
+
+    def members(self) -> DataFrame:
+        return self.spark.read.schema("node long, order long, row_id long").parquet(*(f"{self.folder}/{x}" for g in self.generations for x in g["members"]))
+
+    def repeats(self) -> DataFrame:
+        """``(first_row_id, row_id)`` of every row so far that reports a decision again."""
+        groups = names.components(self.links())
+        whole = self.members().join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("_first", F.coalesce("component", "node"))
+        return whole.where("order <> _first").select((F.col("_first").bitwiseAND(F.lit((1 << 44) - 1))).alias("first_row_id"), "row_id")
+
+
+_STORED = "node long, digest long, digest2 int, key long, guard int, kind string, core string, other string, trade string, given string, words string, quoted boolean, penalty double, ref string, seal string, spot long"
+
 
-    return compared.mapInPandas(exact, "a long, b long")
+def _new_history(spark: SparkSession, **k) -> History:
+    return History(spark, place(spark, "history"), **k)
 
 
-def repeats(actions: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def repeats(actions: DataFrame, **k) -> DataFrame:
     """``(first_row_id, row_id)``: each row that reports a decision again, with the earliest row of that decision.
 
-    Rows are ordered by batch and row id.  Null names, dates, quotes, laws or
-    penalties agree with nothing but nulls or, for penalties, with anything;
-    exact copies are always repeats; an empty table gives an empty result;
-    other columns are ignored.
+    The batches before the newest are loaded as history, then the newest is
+    checked against it.  Rows are ordered by batch and row id.  Null names,
+    dates, quotes, laws or sources agree with nothing but nulls, null penalties
+    with any; exact copies are always repeats; an empty table gives an empty
+    result; other columns are ignored.
     """
-    found, members = nodes(actions)
-    shapes = profiles(found)
-    near = candidates(spots(shapes), shard_rows=shard_rows)
-    groups = names.components(same_pairs(found, compared_pairs(found, shapes, near)).unionByName(stars(found, shapes)))
-    whole = members.join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("_first", F.coalesce("component", "node"))
-    return whole.where("order <> _first").select((F.col("_first").bitwiseAND(F.lit((1 << 44) - 1))).alias("first_row_id"), "row_id")
+    index = _new_history(actions.sparkSession, **k)
+    newest = actions.agg(F.max("batch_no")).first()[0]
+    index.add(actions.where(F.col("batch_no") < F.lit(newest)) if newest is not None else actions)
+    if newest is not None:
+        index.add(actions.where(F.col("batch_no") == F.lit(newest)))
+    return index.repeats()
 
 
 def accepted(actions: DataFrame) -> DataFrame:
@@ -444,31 +560,29 @@ def accepted(actions: DataFrame) -> DataFrame:
 
 
 def measured_recall(actions: DataFrame, every: int = 20) -> DataFrame:
-    """Recall of the graphs against exhaustive search: rows whose id is divisible by ``every`` ask all earlier rows of their source.
+    """Recall of the graphs on true repeats: rows whose id is divisible by ``every`` ask all rows.
 
-    Counts pairs of at least ``CLOSE`` similarity that exhaustive search finds, and how many of them the graphs return.
+    The truth is every pair of profiles of one source, date and laws that the
+    exact comparison accepts by its wording, looked for without any graph.
+    ``walked`` counts those that the walks met; ``linked`` those that the index
+    links, numbers and checksums included.
     """
-    found = spots(profiles(nodes(actions)[0]))
-    asked = found.where(F.col("node").bitwiseAND(F.lit((1 << 44) - 1)) % every == 0)
-    near = candidates(found, asked).select("later", "earlier").distinct().withColumn("_hit", F.lit(1))
-    # A stated query set against all rows, in blocks.
-    blocks = asked.select("source", "node", "key", "vector").withColumn("_b", F.pmod(F.xxhash64("node"), F.lit(16)).cast("int"))
-    rows = found.select(F.col("source").alias("source2"), F.col("node").alias("node2"), F.col("key").alias("key2"), F.col("vector").alias("vector2")).withColumn("_p", F.pmod(F.xxhash64("node2"), F.lit(16)).cast("int"))
-    left = blocks.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    right = rows.withColumn("_b2", F.explode(F.sequence(F.lit(0), F.lit(15))))
-
-    def exhaustive(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"later": np.zeros(0, np.int64), "earlier": np.zeros(0, np.int64), "similarity": np.zeros(0)})
-        rows, out = _pack(b["vector2"]).T, []
-        for at in range(0, len(a), 256):
-            part = a.iloc[at : at + 256]
-            s = _pack(part["vector"]) @ rows
-            i, j = np.nonzero((s >= CLOSE) & (part["key"].to_numpy()[:, None] == b["key2"].to_numpy()[None]))
-            x, y = part["node"].to_numpy()[i], b["node2"].to_numpy()[j]
-            keep = y < x
-            out.append(pd.DataFrame({"later": x[keep], "earlier": y[keep], "similarity": s[i, j][keep].astype(float)}))
-        return pd.concat(out)
-
-    truth = left.groupBy("source", "_b", "_p").cogroup(right.groupBy("source2", "_b2", "_p")).applyInPandas(exhaustive, "later long, earlier long, similarity double")
-    return truth.join(near, ["later", "earlier"], "left").agg(F.count("*").alias("pairs"), F.count("_hit").alias("found"), (F.count("_hit") / F.count("*")).alias("recall"))
+    index = _new_history(actions.sparkSession)
+    made = index.add(actions)
+    profiles = index._read(made, "profiles", _STORED)
+    asked = index.members().where(F.col("row_id") % every == 0).select("node").distinct()
+    held = F.struct(*_FIRM, "words", "quoted", F.lit("").alias("ref"))
+    left = _sided(profiles.join(asked, "node").where("words <> ''").select("key", "guard", F.col("node").alias("a"), "penalty", "ref", held.alias("_a")), True).select("key", "guard", "_p", "_r", "a", "_a")
+    right = _sided(profiles.where("words <> ''").select("key", "guard", F.col("node").alias("b"), "penalty", "ref", held.alias("_b")), False).select("key", "guard", "_p", "_r", "b", "_b")
+    # A stated query set against all rows, joined on the key.
+    truth = same_ruling(left.join(right, ["key", "guard", "_p", "_r"]).where("a <> b").select("a", "b", F.lit(False).alias("marked"), "_a", "_b")).distinct()
+    spots = profiles.select("node", "spot")
+    both = truth.join(spots.toDF("a", "s"), "a").join(spots.toDF("b", "t"), "b")
+    met = index.near.select("asked", "met").unionByName(index.near.select(F.col("met").alias("asked"), F.col("asked").alias("met"))).distinct()
+    met = met.toDF("s", "t").withColumn("_met", F.lit(True))
+    groups = names.components(index.links())
+    g = lambda p, q: groups.select(F.col("id").alias(p), F.col("component").alias(q))
+    whole = both.join(met, ["s", "t"], "left").join(g("a", "_ca"), "a", "left").join(g("b", "_cb"), "b", "left")
+    hit = (F.col("s") == F.col("t")) | F.coalesce("_met", F.lit(False))
+    other = F.col("s") != F.col("t")
+    return whole.agg(F.count("*").alias("pairs"), F.count_if(hit).alias("walked"), F.count_if(F.col("_ca") == F.col("_cb")).alias("linked"), F.count_if(other).alias("differing"), (F.try_divide(F.count_if(hit & other), F.count_if(other))).alias("recall"))

@@ -128,6 +128,44 @@ def test_a_first_row_behind_many_copies(spark):
     assert repeated(spark, data) == [(1, i) for i in range(2, 33)]
 
 
+@pytest.mark.parametrize("n", [5, 60])
+def test_rulings_of_one_day_that_differ_in_penalty(spark, n):
+    quote = "Only ten places left for carers in the new building so everyone can stop worrying"
+    data = [action(i, 1, quote=quote, penalty=1000.0 + i, url="https://x/latest", sha=f"{i:064x}") for i in range(n)]
+    data += [action(n + i, 2, quote=quote + " today", penalty=1000.0 + i, url="https://x/latest", sha=f"{n + i:064x}") for i in range(n)]
+    assert repeated(spark, data) == [(i, n + i) for i in range(n)]
+
+
+def test_batch_by_batch_with_compaction_equals_one_load(spark, tmp_path):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("bdfgklmnprstvz") + rnd.choice("aeiou") + rnd.choice("dfgklmnprstvxz") for _ in range(3))
+    cases = [(f"{word().title()} {word().title()} Clinic", " ".join(word() for _ in range(8)), f"2024-03-{k % 28 + 1:02d}") for k in range(40)]
+    data = []
+    for i in range(140):
+        name, quote, date = cases[rnd.randrange(40)]
+        data.append(action(i, 1 + i // 28, name, quote + (" more" if i % 3 == 0 else ""), date, "https://x/latest"))
+    df = spark.createDataFrame(data, ACTIONS)
+    index = history.History(spark, f"file://{tmp_path}/index", shard_rows=8, fanout=2)
+    for b in range(1, 6):
+        index.add(df.where(F.col("batch_no") == b))
+    # The manifest is read again as it was written, and compaction kept it short.
+    again = history.History(spark, f"file://{tmp_path}/index", shard_rows=8, fanout=2)
+    assert again.generations == index.generations and len(again.generations) <= 3
+    first = {}
+    for i, (_, _, _, _, _, name, quote, date, *_) in enumerate(data):
+        first.setdefault((name, date), i)
+    want = sorted((first[(d[5], d[7])], i) for i, d in enumerate(data) if first[(d[5], d[7])] != i)
+    assert sorted(map(tuple, again.repeats().collect())) == want == repeated(spark, data)
+
+
+def test_a_small_batch_opens_only_its_segments(spark, tmp_path):
+    data = [action(i, 1, date=f"20{10 + i % 12}-0{1 + i % 9}-1{i % 10}", quote=f"quote {i} of many", url="https://x/latest") for i in range(300)]
+    index = history.History(spark, f"file://{tmp_path}/index", shard_rows=8)
+    made = index.add(spark.createDataFrame(data, ACTIONS))
+    one = history.shaped(spark.createDataFrame([data[7]], ACTIONS)).select("key")
+    assert made["slices"] >= 16 and [len(x) for x in index._touched(one).values()] == [1]
+
+
 def test_graph_recall_against_exhaustive_search():
     rng = np.random.default_rng(1)
     v = rng.standard_normal((3000, history.DIMS)).astype(np.float32)
