@@ -15,16 +15,25 @@ _written: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    Read from ``spark.checkpoint.dir``; only where that is unset, as in local
-    tests, a temporary folder of this machine is set.
+    Read from ``spark.checkpoint.dir``; only where that is unset and the master
+    is local, as in tests, a temporary folder of this machine is set.
     """
     found = spark.conf.get(_CONF, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError(f"set {_CONF} to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quarrylight-")
         spark.conf.set(_CONF, found)
     return found
 
 
+def place(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared one; ``release`` deletes it with all that was written there."""
+    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    _written.append(path)
+    return path
+
+
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder as parquet and read it back.
 
@@ -32,14 +41,13 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     work before the cut, and a reader that needs few columns reads only those.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
-    _written.append(path)
+    path = place(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Delete the tables that ``cut`` wrote; call it once the results built on them have been written."""
+    """Delete the folders that ``place`` named and ``cut`` wrote; call it once the results built on them have been written."""
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     while _written:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
