@@ -30,8 +30,6 @@ from quarrylight.runtime import batch_rows
 SITES, FEWEST, MOST = 48, 6, 60
 #: Buckets of hashed words, dimensions of a word, hidden units in each direction, passes over the sample.
 BUCKETS, WORD, HIDDEN, EPOCHS = 4096, 16, 20, 10
-#: A page with more characters of body is no mere notice.
-LITTLE = 800
 #: Pages that are read side by side.
 BATCH = 256
 
@@ -280,7 +278,7 @@ def train(pages: DataFrame, domain: str = "domain", title: str = "title", text:
     rows = rows.where(F.col(domain).isin(picked)) if picked else smallest_hashes(rows, key, SITES * FEWEST)
     sample = [(r[1] or "", r[2], r[3]) for r in rows.select(key, domain, title, text).collect() if r[3].strip()]
     sample.sort(key=lambda r: (r[0], r[2], r[1] or ""))
-    judge = residue._judge()
+    judge = residue.Judge()
     labels = teach(sample)
     reader, model = Reader(), Labeller()
     read, known = [], []
@@ -308,7 +306,7 @@ def label(pages: DataFrame, model: Labeller, key: str = "page_id", title: str =
     def batches(rows):
         own = Labeller()
         own.p = shared.value
-        reader, judge = Reader(), residue._judge()
+        reader, judge = Reader(), residue.Judge()
         for batch in rows:
             keys, titles, texts = (c.to_pylist() for c in batch.columns)
             kept = [(k, t, x) for k, t, x in zip(keys, titles, texts) if x.strip("  \t\r\n")]
@@ -317,14 +315,13 @@ def label(pages: DataFrame, model: Labeller, key: str = "page_id", title: str =
             for (k, t, x), page, y in zip(kept, read, own.label(read)):
                 lines = x.split("\n")
                 drop = {n for n, p in zip(page[0], y) if p < 0.5}
-                # Only a page of little body can be a notice.
-                little = sum(len(lines[n - 1]) for n in page[0] if n not in drop) < LITTLE
-                found = judge(t, x, little)
-                if found and found[0]:
+                found = judge(t, x)
+                if found and (found[0] or found[1]):
                     continue
                 if found:
-                    rest = set(found[1])
-                    if sum(len(lines[n - 1]) for n in page[0] if n not in drop and lines[n - 1].replace("\u00a0", " ") in rest) <= residue.SPARE:
+                    # A notice, unless a line of the body is content.
+                    content = set(found[2])
+                    if not any(lines[n - 1].replace("\u00a0", " ") in content for n in page[0] if n not in drop):
                         continue
                 out.append((k, sorted(drop), "\n".join(z for n, z in enumerate(lines, 1) if n not in drop)))
             cols = list(zip(*out)) if out else [[]] * 3

@@ -1,9 +1,11 @@
 """Template residue and error-page text (problem 7).
 
-Lines are counted by host in their letters-only form.  Evidence is looked for
-in the title and in each line; a page whose residual, that is the text without
-the host's recurrent lines, holds nothing but a notice is excluded, and so is a
-page with an unfilled placeholder, a tool's default wording or filler text.
+Lines are counted by host in their letters-only form, and those that recur over
+its addresses are boilerplate.  What is left, the residual, is looked through
+for evidence: an unfilled placeholder, a tool's default wording or filler text
+excludes a page; an error, blocking, login, maintenance or script notice does
+if no sentence of the residual is content.  Evidence that is mentioned, in
+quotation marks or by a sentence about templates, is none.
 """
 
 from __future__ import annotations
@@ -29,8 +31,10 @@ PLACEHOLDERS = (
     r"%[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*%",
     r"\*\|[A-Z0-9_:]{2,40}\|\*",
     r"\[\[[+*~$!%]?[\w.\-]{2,60}\]\]",
-    r"\[(?:insert|your|enter|add|company|client|first|last|city|date|name|phone|address|placeholder)[ _a-z]{0,40}\]",
-    r"(?:__|@@)[A-Z][A-Z_]{2,30}(?:__|@@)",
+    r"\[(?:[Ii]nsert|[Yy]our|[Ee]nter|[Aa]dd|[Tt]own|[Yy]ear|[Cc]ompany|[Cc]lient|[Cc]ustomer|[Ff]irst|[Ll]ast|[Cc]ity|[Dd]ate|[Nn]ame|[Pp]hone|[Aa]ddress|[Pp]age|[Ss]ite|[Pp]ractice|[Ff]irm|[Tt]itle|[Pp]laceholder|INSERT|YOUR|ENTER|ADD|COMPANY|CLIENT|CITY|DATE|NAME|PHONE|ADDRESS|PAGE|SITE|TITLE|PLACEHOLDER)[ _a-zA-Z]{0,40}\]",
+    r"(?:__|@@|##)[A-Z][A-Z_]{2,30}(?:__|@@|##)",
+    r"(?<![\w={,])\{\d{1,2}\}",
+    r"\[/?(?:vc|et_pb|fusion|av|wp)_[a-z_]+[^\]\n]{0,120}\]|\[/?(?:caption|gallery|contact-form-7|shortcode)\b[^\]\n]{0,120}\]",
     r"\bundefined\b.{0,40}\bNaN\b",
     r"\[object Object\]",
 )
@@ -41,7 +45,8 @@ FILLER = (
     r"\b(?:dolor sit amet|consectetur adipiscing|sed do eiusmod|incididunt ut labore|ut enim ad minim|quis nostrud|duis aute irure|excepteur sint|nullam quis risus|vestibulum id ligula|mollit anim id est)\b",
     r"\byour (?:text|content|headline|title|tagline) (?:goes |comes )?here\b",
     r"double-click (?:here )?to edit",
-    r"click (?:here )?to edit this",
+    r"click (?:here )?to (?:edit this|add your own|change this)",
+    r"add your (?:own )?(?:text|content) (?:here|and edit)|\bedit me\b",
     r"\bTODO: ?\w",
     r"\bX{4,} X{4,}\b",
     r"replace this (?:copy|text|content)",
@@ -54,23 +59,22 @@ FILLER = (
     r"just another (?:\w+ )?(?:site|weblog|blog)",
 )
 
-#: Titles that a tool wrote, whole.
+#: Titles that only a tool writes, whole.
 DEFAULT_TITLES = (
     r"untitled(?: document| page| \d+)?",
     r"new page(?: \d+)?",
     r"(?:home|homepage|welcome)? ?[-|–] ?just another (?:\w+ )?site",
+    r"(?:your )?(?:page|site|company) (?:title|name)(?: goes)? here",
     r"page title",
-    r"document",
     r"title(?: here| goes here)",
     r"sample page",
-    r"index",
-    r"undefined(?: ?[-|–] ?.*)?",
-    r"null(?: ?[-|–] ?.*)?",
-    r"nan(?: ?[-|–] ?.*)?",
-    r"(?:your )?(?:site|company|page) (?:name|title)(?: here)?",
+    r"(?:undefined|null|nan)(?: ?[-|–] ?.*)?",
     r"default (?:web site )?(?:page|title)",
 )
 
+#: Titles that a tool or a person may have written; they count where there is no content.
+DOUBTFUL_TITLES = (r"document", r"index", r"(?:your )?(?:site|company|page) (?:name|title)", r"home ?page", r"title")
+
 #: The sentences of error, blocking, login, maintenance and script notices.
 NOTICES = (
     r"^\W*(?:error )?[45]\d\d\W*$",
@@ -97,7 +101,7 @@ NOTICES = (
     r"account (?:has been|is|was) suspended",
     r"(?:site|domain|page) (?:has been|is|was) (?:suspended|parked|for sale)",
     r"(?:we'll|we will|we’ll) be (?:right )?back",
-    r"(?:under|down for|undergoing|scheduled) (?:construction|maintenance)",
+    r"(?:under|down for|undergoing|scheduled|planned|essential|routine) (?:(?:planned|scheduled|essential|routine) )?(?:construction|maintenance)",
     r"^\W*coming soon",
     r"index of /",
     r"backend fetch failed|guru meditation",
@@ -115,130 +119,156 @@ NOTICES = (
     r"zugriff verweigert|accès refusé|acceso denegado",
 )
 
-#: Lines that accompany a notice.
+#: Sentences that accompany a notice.
 COMPANIONS = (
-    r"try again|contact (?:the webmaster|your hosting|the administrator|support)|back to (?:the )?(?:homepage|home|start)|go (?:back|home)",
-    r"check back|come back (?:soon|later)|please wait|this process is automatic|reload|refresh",
+    r"try again|contact (?:the webmaster|your hosting|the administrator|support|us)|back to (?:the )?(?:homepage|home|start)|go (?:back|home)|return to",
+    r"check back|come back (?:soon|later)|please wait|this process is automatic|reload|refresh|will be redirected",
     r"^\W*(?:trace|reference|request id|ray id|incident|error code|xid)\b",
-    r"cache server|parent directory|last modified|allow",
-    r"thank you for your patience|thanks for your patience|apolog",
+    r"cache server|parent directory|last modified|allow|generated by|apache|nginx|\bport \d+",
+    r"thank you for your patience|thanks for your patience|apolog|inconvenience|working on it|as soon as possible",
+    r"check the (?:address|url|link|spelling)|mistyped|out of date link|use the (?:menu|search)|search (?:the|our) site",
+    r"versuchen sie|später (?:noch einmal|erneut)|zur startseite|überprüfen sie|bitte (?:wenden|laden|prüfen)",
+    r"réessayer|plus tard|page d'accueil|retour à|vérifiez|veuillez",
+    r"inténtelo|más tarde|página de inicio|volver a|compruebe|por favor",
+)
+
+#: Sentences of site furniture, which are no content even where a host has too few pages to show it.
+FURNITURE = (
+    r"cookie|consent|small files on your device|privacy|your (?:device|choices|settings)|accept all",
+    r"©|all rights reserved|registered (?:in|office|with)|company number|vat (?:no|number)|authorised and regulated|regulated by|liability|website may be|calls may be|(?:is|are) not advice|terms (?:and|&) conditions",
+    r"newsletter|in your inbox|subscribe|no spam|share this|follow us|print this|email a friend|helpful\?",
+    r"\w@\w|\(at\)|\[at\]",
 )
 
 #: Each placeholder needs one of these signs, each filler and each notice one of these stems in lower case.
 #: They must let through whatever the patterns match, as the tests check for every branch.
-SIGNS = ("{{", "{%", "<%", "<?", "${", "#{", "%", "*|", "[", "__", "@@", "undefined")
+SIGNS = ("{", "<%", "<?", "%", "*|", "[", "__", "@@", "##", "undefined")
 FILLER_STEMS = (
     "lorem ipsum", "dolor sit", "consectetur", "sed do eiusmod", "incididunt", "ad minim", "quis nostrud", "duis aute", "excepteur", "quis risus", "vestibulum id", "mollit anim",
-    " here", "to edit", "todo:", "xxxx", "replace this", "this is a", "this is your", "your new", "edit or delete", "dummy", "placeholder", "sample", "filler", "hello world", "just another",
+    " here", "to edit", "to add", "to change", "add your", "edit me", "todo:", "xxxx", "replace this", "this is a", "this is your", "your new", "edit or delete", "dummy", "placeholder", "sample", "filler", "hello world", "just another",
 )
 NOTICE_STEMS = (
     "error", "not found", "be found", "t found", "forbidden", "unauthori", "unavailable", "bad gateway", "bad request", "404", "403", "500", "502", "503", "sorry", "may have been", "went wrong", "denied", "permission", "has expired", "timed out", "log in", "login", "sign in", "signin", "log-in", "sign-in", "logged in", "loggedin", "gateway time", "server met", "server encountered",
-    "javascript", "scripts", "enable cookies", "require cookies", "requires cookies", "need cookies", "needs cookies", "turn on cookies", "activate cookies", "checking your", "checking the", "checking if", "a human", "you are human", "a robot", "captcha", "suspended", "parked", "for sale", "be back", "be right back", "under construction", "r maintenance", "for construction", "undergoing", "scheduled", "coming soon", "index of /", "fetch failed", "guru meditation", "uncaught", "warning:", "notice:", "traceback", "not supported", "out of date", "too old", "requested ", "too many requests", "rate limit", "blocked", "unable to",
+    "javascript", "scripts", "enable cookies", "require cookies", "requires cookies", "need cookies", "needs cookies", "turn on cookies", "activate cookies", "checking your", "checking the", "checking if", "a human", "you are human", "a robot", "captcha", "suspended", "parked", "for sale", "be back", "be right back", "construction", "maintenance", "undergoing", "scheduled", "coming soon", "index of /", "fetch failed", "guru meditation", "uncaught", "warning:", "notice:", "traceback", "not supported", "out of date", "too old", "requested ", "too many requests", "rate limit", "blocked", "unable to",
     "nicht gefunden", "angeforderte", "existiert", "introuvable", "non trouv", "existe", "no encontrada", "ha encontrado", "erreur", "wartung", "en maintenance", "mantenimiento", "verweigert", "refusé", "denegado",
 )
 
 #: The one notice without a stem: a status alone on its line.
 STATUS_LINE = r"(?m)^[^\w\n]*[45]\d\d[^\w\n]*$"
 
-#: A line of this length that is no notice is content.
-CONTENT_LINE = 90
-#: A longer line is content, whatever it says.
-LONGEST_NOTICE = 240
-#: Characters of unexplained residual that a page of notices may have.
-SPARE = 160
-#: The same where the title is a notice too.
-SPARE_TITLED = 1200
-#: A line on so many addresses of a host is furniture.
-RECURRENT = 3
+#: A sentence is content from so many words on if it has an end mark, or from twice as many if it has none but runs in lower case.
+CONTENT_WORDS = 6
+#: A line on so many addresses of a host is boilerplate for notices; one with a placeholder only if it also stands on this share of them.
+RECURRENT, RECURRENT_SHARE = 3, 0.2
 
 
 def _any(patterns: tuple[str, ...], flags: int = re.IGNORECASE) -> re.Pattern:
     return re.compile("(?:" + "|".join(patterns) + ")", flags)
 
 
-def _judge():
-    """A function ``(title, text) -> (placeholder, lines left)`` or None without evidence."""
-    folded, exact, filler = _any(PLACEHOLDERS[:7]), _any(PLACEHOLDERS[7:], 0), _any(FILLER)
-    titles = re.compile("^(?:" + "|".join(DEFAULT_TITLES) + ")$", re.IGNORECASE)
-    notices, companions = _any(NOTICES), _any(COMPANIONS)
-    quoted = re.compile("“[^”\n]{0,120}”|«[^»\n]{0,120}»|„[^“\n]{0,120}“|\"[^\"\n]{0,120}\"")
-    signs, words, stems, longest, status = SIGNS, FILLER_STEMS, NOTICE_STEMS, LONGEST_NOTICE, re.compile(STATUS_LINE)
+#: Words of a sentence that speaks about placeholders instead of leaving one.
+_ABOUT = r"\b(?:placeholders?|templates?|variables?|syntax|merge (?:tags?|fields?)|shortcodes?|snippets?|mark-?up|curly|braces|brackets|source code|tokens?|write|type|such as|for example|e\.g\.)\b"
+
+
+class Judge:
+    """Reads one page; patterns are compiled once for each worker."""
+
+    def __init__(self):
+        self.folded, self.exact, self.filler = _any(PLACEHOLDERS[:7]), _any(PLACEHOLDERS[7:], 0), _any(FILLER)
+        self.titles, self.doubtful = (re.compile("^(?:" + "|".join(x) + ")$", re.IGNORECASE) for x in (DEFAULT_TITLES, DOUBTFUL_TITLES))
+        self.notices, self.explained = _any(NOTICES), _any(NOTICES + COMPANIONS + FURNITURE)
+        self.quoted = re.compile("“[^”\n]{0,120}”|«[^»\n]{0,120}»|„[^“\n]{0,120}“|\"[^\"\n]{0,120}\"|`[^`\n]{0,120}`")
+        self.about, self.sentence, self.status = re.compile(_ABOUT, re.IGNORECASE), re.compile(r"(?<=[.!?…])\s+"), re.compile(STATUS_LINE)
+        self.word = re.compile(r"[^\W\d_]{2,}")
 
+    @staticmethod
     def holding(text: str, low: str, marks: tuple[str, ...], words: tuple[str, ...]):
         """The lines that hold one of the marks, or of the words in lower case."""
         marks, words = [x for x in marks if x in text], [x for x in words if x in low]
         if marks or words:
             for line in text.split("\n"):
-                folded_line = line.lower()
-                if any(x in line for x in marks) or any(x in folded_line for x in words):
+                folded = line.lower()
+                if any(x in line for x in marks) or any(x in folded for x in words):
                     yield line
 
-    def residue(text: str, low: str) -> bool:
-        for line in holding(text, low, signs, ()):
-            line = quoted.sub(" ", line)
-            if any(x in line for x in signs) and (folded.search(line) or exact.search(line)):
-                return True
-        return any(filler.search(quoted.sub(" ", line)) for line in holding(text, low, (), words))
+    def left(self, line: str) -> bool:
+        """Whether a line holds a placeholder or filler that is left over, not spoken of."""
+        line = self.quoted.sub(" ", line)
+        if any(x in line for x in SIGNS):
+            for s in self.sentence.split(line):
+                bare = self.exact.sub(" ", self.folded.sub(" ", s))
+                if bare != s and not self.about.search(bare):
+                    return True
+        return bool(self.filler.search(line))
 
-    def judge(title: str | None, text: str, notes_too: bool = True):
+    def residue(self, text: str, low: str) -> list[str]:
+        """The lines with what a template or tool left."""
+        return [line for line in dict.fromkeys(self.holding(text, low, SIGNS, FILLER_STEMS)) if self.left(line)]
+
+    def content(self, line: str) -> bool:
+        """Whether a sentence of the line is neither a notice, nor what goes with one, nor furniture."""
+        return any(self.runs(s.strip()) and not self.explained.search(s) for s in self.sentence.split(line))
+
+    def runs(self, s: str) -> bool:
+        """Whether it reads as a sentence; menus, addresses and headings do not."""
+        words = self.word.findall(s)
+        if s.endswith((".", "!", "?", "…", "”", '"', "»", "…]", ":")):
+            return len(words) >= CONTENT_WORDS
+        return len(words) >= 2 * CONTENT_WORDS and sum(w[0].islower() for w in words) * 2 > len(words)
+
+    def __call__(self, title: str | None, text: str) -> tuple[bool, list[str], list[str] | None] | None:
+        """``(residue in the title, lines with residue, lines with content)``; the last is None without a notice, all is None without evidence."""
         title = (title or "").replace("\u00a0", " ").strip()
         text = text.replace("\u00a0", " ")
         low = text.lower()
-        if titles.match(title) or residue(title, title.lower()) or residue(text, low):
-            return True, []
-        if not notes_too:
+        titled = bool(self.titles.match(title) or self.residue(title, title.lower()))
+        lines = self.residue(text, low)
+        noticed = bool(self.doubtful.match(title) or self.notices.search(title)) or any(self.notices.search(x) for x in self.holding(text, low, (), NOTICE_STEMS)) or bool(self.status.search(text))
+        if not (titled or lines or noticed):
             return None
-        notes = {line for line in holding(text, low, (), stems) if len(line) < longest and notices.search(line)}
-        if status.search(text):
-            notes |= {line for line in text.split("\n") if len(line) < longest and status.search(line)}
-        if not notes:
-            return None
-        lines = [x for x in text.split("\n") if x and not x.isspace() and x not in notes]
-        titled = [""] if notices.search(title) else []
-        return False, titled + [x for x in lines if len(x) >= longest or not companions.search(x)]
-
-    return judge
+        return titled, lines, [x for x in text.split("\n") if self.content(x)] if noticed else None
 
 
 def _evidence_batches(batches):
-    judge = _judge()
+    judge = Judge()
     for batch in batches:
         keys, hosts, titles, texts = (c.to_pylist() for c in batch.columns)
         out = [(k, h, *f) for k, h, t, x in zip(keys, hosts, titles, texts) if (f := judge(t, x))]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], batch.schema.field(0).type), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.bool_()), pa.array([r[3] for r in out], pa.list_(pa.string()))], names=["_k", "_s", "_ph", "_rest"])
+        types = [batch.schema.field(0).type, pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["_k", "_s", "_titled", "_residue", "_content"])
 
 
 def evidence(pages: DataFrame, key: str = "page_id", host: str = "domain", address: str = "url", title: str = "title", text: str = "text") -> DataFrame:
-    """One row per page with evidence: ``key``, ``kind`` and ``residual_chars``.
-
-    ``kind`` is ``placeholder`` (an unfilled placeholder, default wording or
-    filler in title or text, unless it stands in quotation marks) or ``notice``
-    (what is left of the text without the host's recurrent lines holds only a
-    notice and what goes with it).  A page with null or blank text is never
-    reported, whatever its title.  Repeated rows are judged one by one; a null
-    host is a host of its own; an empty table gives no rows; other columns are
-    ignored.
+    """One row per page with evidence: ``key`` and ``kind``.
+
+    ``kind`` is ``placeholder`` (an unfilled placeholder, a tool's default
+    wording or filler text in the title, or in a line that is no boilerplate of
+    the host) or ``notice`` (the text holds a notice, or the title is one or
+    may be a tool's, and no sentence outside the host's recurrent lines is
+    content).  A page with null or blank text is never reported, whatever its
+    title.  Repeated rows are judged one by one; a null host is a host of its
+    own; an empty table gives no rows; other columns are ignored.
     """
     p = pages.select(F.col(key).alias("_k"), F.coalesce(host, F.lit("\u0000")).alias("_s"), F.xxhash64(F.coalesce(F.col(address), F.lit("\u0000"))).alias("_u"), F.col(title).alias("_title"), F.col(text).alias("_t"))
     p = p.where(F.col("_t").rlike(r"[^\s\u00a0]"))
-    # Counting covers every line of every page: distinct addresses by host and normal form.
-    every = exploded(p, "_t", "_s", "_u").select("_s", "_u", letters("line").alias("_n")).where("_n <> ''").select(F.xxhash64("_s", "_n").alias("_h"), "_u")
-    recurrent = every.distinct().groupBy("_h").agg(F.count("*").alias("_docs")).where(F.col("_docs") >= RECURRENT).select("_h")
+    # Counting covers every line of every page: distinct addresses by host and normal form, summed before they are compared.
+    every = exploded(p, "_t", "_s", "_u").select("_s", "_u", letters("line").alias("_n")).where("_n <> ''").select(F.xxhash64("_s", "_n").alias("_h"), "_s", "_u")
+    counts = every.groupBy("_h", "_u").agg(F.first("_s").alias("_s")).groupBy("_h").agg(F.count("*").alias("_docs"), F.first("_s").alias("_s")).where(F.col("_docs") >= RECURRENT)
+    sizes = p.groupBy("_s", "_u").agg(F.lit(1).alias("_one")).groupBy("_s").agg(F.count("*").alias("_all"))
+    recurrent = counts.join(sizes, "_s").select("_h", (F.col("_docs") >= F.col("_all") * RECURRENT_SHARE).alias("_everywhere"))
     batch_rows(pages.sparkSession, 2000)
     kind = pages.schema[key].dataType.simpleString()
     # Cut, as both kinds read it: the texts pass through Python once.
-    judged = cut(p.select("_k", "_s", "_title", "_t").mapInArrow(_evidence_batches, f"_k {kind}, _s string, _ph boolean, _rest array<string>"), "residue")
-    sure = judged.where("_ph").select(F.col("_k").alias(key), F.lit("placeholder").alias("kind"), F.lit(0).cast("long").alias("residual_chars"))
+    judged = cut(p.select("_k", "_s", "_title", "_t").mapInArrow(_evidence_batches, f"_k {kind}, _s string, _titled boolean, _residue array<string>, _content array<string>").withColumn("_row", F.monotonically_increasing_id()), "residue")
     # A page's identity here is its row, so repeated keys are not merged by chance.
-    maybe = judged.where("not _ph").withColumn("_row", F.monotonically_increasing_id()).select("_row", "_k", "_s", F.explode_outer("_rest").alias("_line"))
-    maybe = maybe.select("_row", "_k", F.xxhash64("_s", letters("_line")).alias("_h"), F.coalesce(F.length("_line"), F.lit(0)).alias("_len"), (letters("_line") == "").alias("_blank"))
-    left = F.when(F.col("_known").isNull() & ~F.coalesce("_blank", F.lit(True)), F.col("_len")).otherwise(0)
-    # An empty line in front says that the title is a notice as well, which allows for furniture of hosts with few pages.
-    rest = maybe.join(recurrent.withColumn("_known", F.lit(True)), "_h", "left").groupBy("_row", "_k").agg(F.sum(left).alias("residual_chars"), F.max(left).alias("_longest"), F.max(F.col("_len") == 0).alias("_titled"))
-    spare = F.when(F.col("_titled"), SPARE_TITLED).otherwise(SPARE)
-    longest = F.when(F.col("_titled"), LONGEST_NOTICE).otherwise(CONTENT_LINE)
-    only = rest.where((F.col("_longest") < longest) & (F.col("residual_chars") <= spare)).select(F.col("_k").alias(key), F.lit("notice").alias("kind"), F.col("residual_chars").cast("long"))
-    return sure.unionByName(only)
+    lines = judged.select("_row", "_s", F.explode(F.concat(F.transform("_residue", lambda x: F.struct(x.alias("line"), F.lit(True).alias("left"))), F.transform(F.coalesce("_content", F.array().cast("array<string>")), lambda x: F.struct(x.alias("line"), F.lit(False).alias("left"))))).alias("_x"))
+    lines = lines.select("_row", F.xxhash64("_s", letters("_x.line")).alias("_h"), F.col("_x.left").alias("_left"), (letters("_x.line") == "").alias("_bare"))
+    met = lines.join(recurrent, "_h", "left").groupBy("_row").agg(
+        F.bool_or(F.col("_left") & (F.col("_bare") | ~F.coalesce("_everywhere", F.lit(False)))).alias("_residual"),
+        F.bool_or(~F.col("_left") & F.col("_everywhere").isNull()).alias("_holds"))
+    whole = judged.join(met, "_row", "left")
+    why = F.when(F.col("_titled") | F.coalesce("_residual", F.lit(False)), "placeholder").when(F.col("_content").isNotNull() & ~F.coalesce("_holds", F.lit(False)), "notice")
+    return whole.select(F.col("_k").alias(key), why.alias("kind")).where("kind is not null")
 
 
 def usable(pages: DataFrame, key: str = "page_id", **columns: str) -> DataFrame:
