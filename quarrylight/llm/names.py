@@ -7,8 +7,11 @@ has.  Cores are compared by a pigeonhole segment join: a core that may have k
 edits is cut into k + 1 segments, of which at least one survives; substrings of
 the other cores are looked up, shifted by as many places as the edits allow, in
 the inverted index of segments; pairs that meet are verified with an edit
-distance banded by k.  Linked cores form components; within one, persons part
-by given name.
+distance banded by k.  An exchange of neighbours is one edit, but may hurt two
+segments where it lies across a cut; so each core is cut in k + 1 ways whose
+cuts differ, and in one of them no exchange lies across.  Linked cores form
+components that no chain may stretch: what is too far from a component's hub
+starts one of its own.  Within one, persons part by given name.
 """
 
 from __future__ import annotations
@@ -67,8 +70,16 @@ _TRADE_SET = frozenset(TRADE)
 
 
 def edits(length: int) -> int:
-    """The edits that a core of this length may have, an exchange of neighbours being two."""
-    return 3 if length >= 30 else 2 if length >= 9 else 1 if length >= 5 else 0
+    """The edits that a core of this length may have, an exchange of neighbours being one."""
+    return 3 if length >= 30 else 2 if length >= 9 else 1 if length >= 3 else 0
+
+
+#: Cores below this length may differ by an exchange or a letter doubled or left out, not by another letter.
+STRICT_BELOW = 5
+#: Index entries of one segment key that a task takes; hotter keys are split.
+HOT = 4000
+#: A core must lie within so many links' edits of its component's hub; one more allows for exchanges, which count as two here.
+RADIUS = 2
 
 
 def _fold(s: str) -> str:
@@ -154,9 +165,9 @@ def parse(name: str, cache: dict) -> tuple[str, str, str, str, str, str] | None:
     firm = bool(trade or legal)
     if not firm:
         at = [i for i, w in enumerate(words) if w in SHORT_GIVEN or len(w) == 1]
-        if not at and len(words) >= 3:
-            # A mistyped given name stands first or, after a comma, last.
-            at = [i for i in (0, len(words) - 1) if any(_near(words[i], g, 1 if len(g) < 7 else 2) for g in FULL_NAMES)]
+        if not at and len(words) >= 2:
+            # A mistyped given name stands first or, after a comma, last; of two words it must be close.
+            at = [i for i in (0, len(words) - 1) if len(words[i]) > 4 and any(_near(words[i], g, 1 if len(g) < 7 or len(words) == 2 else 2) for g in FULL_NAMES)]
         if at and len(words) > 1:
             w = words.pop(at[0])
             given = SHORT_GIVEN.get(w) or ((w,) if len(w) == 1 else tuple(g for g in FULL_NAMES if _near(w, g, 1 if len(g) < 7 else 2)))
@@ -178,10 +189,29 @@ def _parse_batches(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["name", "kind", "core", "other", "trade", "legal", "given"])
 
 
-_EDITS = "CASE WHEN {0} >= 30 THEN 3 WHEN {0} >= 9 THEN 2 WHEN {0} >= 5 THEN 1 ELSE 0 END"
-#: Start and length of segment _i of a form of length _l that is cut into _k + 1 segments; the last ones take what is left over.
-_START = "1 + (_i - 1) * (_l DIV (_k + 1)) + greatest(0, _i - 1 - (_k + 1 - _l % (_k + 1)))"
-_SIZE = "_l DIV (_k + 1) + IF(_i > _k + 1 - _l % (_k + 1), 1, 0)"
+_EDITS = "CASE WHEN {0} >= 30 THEN 3 WHEN {0} >= 9 THEN 2 WHEN {0} >= 3 THEN 1 ELSE 0 END"
+#: The ways of cutting: by how many places the cuts are moved; the first k + 1 are used.
+_WAYS = "slice(array(0, 1, -1, 2), 1, _k + 1)"
+#: Where segment _i of a form of length _l begins that is cut into _k + 1 segments, and where the next one does.
+_CUT = "IF({0} <= 1, 1, IF({0} > _k + 1, _l + 1, 1 + ({0} - 1) * (_l DIV (_k + 1)) + greatest(0, {0} - 1 - (_k + 1 - _l % (_k + 1))) + _w))"
+
+
+def _segments(df: DataFrame) -> DataFrame:
+    """Every segment of lengths ``_l``, in every way of cutting: its place ``_p`` and length ``_z``."""
+    cut_up = df.withColumn("_w", F.explode(F.expr(_WAYS))).withColumn("_i", F.explode(F.expr("sequence(1, _k + 1)")))
+    return cut_up.withColumn("_p", F.expr(_CUT.format("_i"))).withColumn("_z", F.expr(_CUT.format("(_i + 1)")) - F.col("_p")).where("_z > 0")
+
+
+def _verified(pairs: DataFrame) -> DataFrame:
+    """The pairs ``(id, id2, form, core, k)`` that are within k edits; most are settled by the banded distance without exchanges."""
+    sure, open_ = pairs.where("levenshtein(form, core, k) >= 0"), pairs.where("levenshtein(form, core, k) < 0 and levenshtein(form, core, 2 * k) >= 0")
+
+    def batches(parts):
+        for batch in parts:
+            keep = [_near(a, b, k) for a, b, k in zip(*(batch.column(c).to_pylist() for c in ("form", "core", "k")))]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return sure.unionByName(open_.mapInArrow(batches, open_.schema))
 
 
 def links(cores: DataFrame) -> DataFrame:
@@ -194,23 +224,59 @@ def links(cores: DataFrame) -> DataFrame:
     forms = cores.select("id", "kind", "trade", F.explode(F.array_distinct(F.filter(F.array("core", "other"), lambda x: x != ""))).alias("form"))
     groups = F.when(F.col("trade") == "", F.array(F.lit(""))).otherwise(F.array("trade", F.lit("*")))
     index = (
-        forms.withColumn("_l", F.length("form")).withColumn("_k", F.expr(_EDITS.format("_l"))).withColumn("_i", F.explode(F.expr("sequence(1, _k + 1)"))).withColumn("_g", F.explode(groups))
-        .select("id", "form", F.col("_k"), F.expr(f"xxhash64(kind, _g, _l, _i, substring(form, {_START}, {_SIZE}))").alias("_key"))
+        _segments(forms.withColumn("_l", F.length("form")).withColumn("_k", F.expr(_EDITS.format("_l")))).withColumn("_g", F.explode(groups))
+        .select("id", "form", F.col("_k"), F.expr("xxhash64(kind, _g, _l, _w, _i, substring(form, _p, _z))").alias("_key"))
     )
     # The probes: for each length and segment, the substrings that can be that segment after k edits.
     asked = F.when(F.col("trade") == "", F.array(F.lit(""), F.lit("*"))).otherwise(F.array("trade", F.lit("")))
+    lengths = cores.select("id", "kind", "trade", "core").withColumn("_n", F.length("core")).withColumn("_e", F.expr(_EDITS.format("_n"))).withColumn("_l", F.explode(F.expr("sequence(greatest(1, _n - _e), _n + _e)"))).withColumn("_k", F.expr(_EDITS.format("_l")))
     probes = (
-        cores.select("id", "kind", "trade", "core").withColumn("_n", F.length("core")).withColumn("_e", F.expr(_EDITS.format("_n")))
-        .withColumn("_l", F.explode(F.expr("sequence(greatest(1, _n - _e), _n + _e)"))).withColumn("_k", F.expr(_EDITS.format("_l"))).withColumn("_i", F.explode(F.expr("sequence(1, _k + 1)")))
-        .withColumn("_p", F.expr(_START)).withColumn("_z", F.expr(_SIZE)).withColumn("_d", F.expr("_n - _l"))
+        _segments(lengths).withColumn("_d", F.expr("_n - _l"))
         .withColumn("_from", F.expr("greatest(1, _p - (_i - 1), _p + _d - (_k + 1 - _i))")).withColumn("_to", F.expr("least(_n - _z + 1, _p + (_i - 1), _p + _d + (_k + 1 - _i))"))
         .where("_from <= _to").withColumn("_at", F.explode(F.expr("sequence(_from, _to)"))).withColumn("_g", F.explode(asked))
-        .select(F.col("id").alias("id2"), "core", F.col("_e"), F.expr("xxhash64(kind, _g, _l, _i, substring(core, _at, _z))").alias("_key"))
-    )
-    met = index.join(probes.distinct(), "_key").where("id <> id2").where(F.expr("levenshtein(form, core, least(_k, _e)) >= 0"))
+        .select(F.col("id").alias("id2"), "core", F.col("_e"), F.expr("xxhash64(kind, _g, _l, _w, _i, substring(core, _at, _z))").alias("_key"))
+    ).distinct()
+    # A segment that very many cores share is split: its index entries by id, and its probes go to every part.
+    index = cut(index, "segments")
+    hot = index.groupBy("_key").agg(F.ceil(F.count("*") / HOT).cast("int").alias("_parts")).where("_parts > 1")
+    hot = F.broadcast(hot) if hot.limit(10_001).count() <= 10_000 else hot
+    index = index.join(hot, "_key", "left").withColumn("_part", F.pmod("id", F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    probes = probes.join(hot, "_key", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    met = index.join(probes, ["_key", "_part"]).where("id <> id2").select("id", "id2", "form", "core", F.least("_k", "_e").alias("k"))
+    # Short ones must have the same letters; all must share enough of them, which is cheaper to see than the distance.
+    same = "IF(least(length(form), length(core)) >= {0}, true, array_sort(array_distinct(split(form, ''))) = array_sort(array_distinct(split(core, ''))))"
+    met = _verified(met.where("levenshtein(form, core, 2 * k) >= 0").where(same.format(STRICT_BELOW)))
     return met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
+def balls(cores: DataFrame, edges: DataFrame, most_rounds: int = 12) -> DataFrame:
+    """``(id, component)`` of all ends of ``edges``, without chains.
+
+    The hub of a component is its core with the most links, the lower id on
+    ties.  Cores further from it than ``RADIUS`` links may reach are taken out
+    and form components among themselves, and so on until all are near a hub.
+    """
+    done, left = None, cut(edges, "links")
+    near = lambda a, b: F.expr(f"levenshtein({a}, {b}, {RADIUS + 1} * CASE WHEN length({a}) >= 30 THEN 3 WHEN length({a}) >= 9 THEN 2 ELSE 1 END) >= 0")
+    for _ in range(most_rounds):
+        found = components(left)
+        degree = left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("_n"))
+        hubs = found.join(degree, "id").groupBy("component").agg(F.max_by("id", F.struct("_n", -F.col("id"))).alias("_hub"))
+        side = lambda p: cores.select(F.col("id").alias(f"_{p}"), F.col("core").alias(f"{p}_core"), F.col("other").alias(f"{p}_other"))
+        whole = found.join(hubs, "component").join(side("hub"), "_hub").join(side("own").withColumnRenamed("_own", "id"), "id")
+        whole = cut(whole.select("id", F.col("_hub").alias("component"), (near("hub_core", "own_core") | near("hub_core", "own_other") | near("hub_other", "own_core")).alias("_near")), "balls")
+        kept = whole.where("_near").select("id", "component")
+        done = kept if done is None else done.unionByName(kept)
+        far = whole.where("not _near").select("id")
+        if far.isEmpty():
+            return done
+        # Ends without a partner among the far ones stand alone, under their own id.
+        rest = left.join(far.withColumnRenamed("id", "a"), "a", "left_semi").join(far.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")
+        done = done.unionByName(far.join(rest.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_anti").select("id", F.col("id").alias("component")))
+        left = cut(rest, "links")
+    raise RuntimeError(f"components did not settle around hubs within {most_rounds} rounds")
+
+
 def components(edges: DataFrame, most_rounds: int = 30) -> DataFrame:
     """``(id, component)`` of all ends of ``edges(a, b)``: the least id that can be reached.
 
@@ -239,11 +305,13 @@ def entities(names: DataFrame) -> DataFrame:
     table gives an empty result.
     """
     batch_rows(names.sparkSession, 5000)
-    distinct = names.select("name").where("name is not null").distinct()
+    spark = names.sparkSession
+    # Little to read but much to compute: the tasks are not left to their sizes in bytes.
+    distinct = names.select("name").where("name is not null").distinct().repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "name")
     parsed = cut(distinct.mapInArrow(_parse_batches, "name string, kind string, core string, other string, trade string, legal string, given string"), "names")
     key = F.xxhash64("kind", "core", "other", "trade")
     cores = cut(parsed.select(key.alias("id"), "kind", "core", "other", "trade").distinct(), "cores")
-    found = components(links(cores))
+    found = balls(cores, links(cores))
     whole = parsed.withColumn("id", key).join(found, "id", "left").withColumn("entity", F.coalesce("component", "id"))
     # Initials and shared short forms take the one full given name of their component that they fit.
     full = whole.where("kind = 'p' and length(given) > 1 and instr(given, '|') = 0").groupBy("entity").agg(F.collect_set("given").alias("_full"))
@@ -252,6 +320,16 @@ def entities(names: DataFrame) -> DataFrame:
     return whole.join(full, "entity", "left").select("name", "kind", "trade", "entity", given.alias("given"))
 
 
+def members(names: DataFrame) -> DataFrame:
+    """``(name, entity, given, representative)``: every stored name with one spelling that stands for its entity, the longest and then the first.
+
+    The compact form of the result: as many rows as names, however many spellings an entity has.
+    """
+    e = cut(entities(names), "entities")
+    chosen = e.groupBy("entity", "given").agg(F.max_by("name", F.struct(F.length("name"), "name")).alias("representative"))
+    return e.join(chosen, ["entity", "given"]).select("name", "entity", "given", "representative")
+
+
 def pairs(names: DataFrame) -> DataFrame:
     """``(name_a, name_b)``: every pair of different stored names of one entity, the smaller one first by code point."""
     e = cut(entities(names), "entities")

@@ -24,6 +24,11 @@ def p1_entities(spark: SparkSession, sf: str) -> DataFrame:
     return names.entities(_names(spark, sf))
 
 
+def p1_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Every stored name with the spelling that stands for its entity."""
+    return names.members(_names(spark, sf))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pages whose text was cut off."""
     return truncation.truncated(table(spark, sf, "site_pages")).where("truncated").select("page_id")
@@ -135,7 +140,7 @@ def p10_scores(spark: SparkSession, sf: str) -> DataFrame:
     return stuffing.scores(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p2_found, p2_rates, p3_found, p3_body, p4_found, p4_accepted, p4_recall, p5_found, p5_redacted, p6_found, p6_clean, p7_found, p7_usable, p8_found, p8_items, p9_mix, p9_shares, p9_exact, p10_found, p10_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p1_members, p2_found, p2_rates, p3_found, p3_body, p4_found, p4_accepted, p4_recall, p5_found, p5_redacted, p6_found, p6_clean, p7_found, p7_usable, p8_found, p8_items, p9_mix, p9_shares, p9_exact, p10_found, p10_scores)}
 
 _P6_LINES = r"""
 lines AS (

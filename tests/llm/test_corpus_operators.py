@@ -31,15 +31,17 @@ def test_persons_and_their_relatives(spark):
 
 
 def edit(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row = row, [i]
-        for j, y in enumerate(b, 1):
-            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-    return row[-1]
+    """Edit distance with an exchange of neighbours as one edit, each letter touched once."""
+    d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
 
 
-def test_segment_join_finds_every_close_pair(spark):
+def test_segment_join_finds_every_close_pair(spark, monkeypatch):
     rnd = random.Random(3)
     cores = []
     for _ in range(60):
@@ -47,13 +49,60 @@ def test_segment_join_finds_every_close_pair(spark):
         for _ in range(3):
             w = list(base)
             for _ in range(rnd.randrange(4)):
-                k, op = rnd.randrange(len(w)), rnd.randrange(3)
-                w[k : k + 1] = [[], [rnd.choice("abcd")], [w[k], rnd.choice("abcd")]][op]
+                k, op = rnd.randrange(len(w)), rnd.randrange(4)
+                w[k : k + 1] = [[], [rnd.choice("abcd")], [w[k], rnd.choice("abcd")], [w[k]]][op]
+                if op == 3 and k + 1 < len(w):
+                    w[k], w[k + 1] = w[k + 1], w[k]
                 w = w or ["a"]
             cores.append("".join(w))
-    data = [(i, "f", c, "", "") for i, c in enumerate(cores)]
-    want = {(i, j) for i, a in enumerate(cores) for j, b in enumerate(cores) if i < j and edit(a, b) <= min(names.edits(len(a)), names.edits(len(b)))}
-    assert {tuple(r) for r in names.links(spark.createDataFrame(data, "id long, kind string, core string, other string, trade string")).collect()} == want
+    data = spark.createDataFrame([(i, "f", c, "", "") for i, c in enumerate(cores)], "id long, kind string, core string, other string, trade string")
+    close = lambda a, b: edit(a, b) <= min(names.edits(len(a)), names.edits(len(b))) and (min(len(a), len(b)) >= names.STRICT_BELOW or set(a) == set(b))
+    want = {(i, j) for i, a in enumerate(cores) for j, b in enumerate(cores) if i < j and close(a, b)}
+    assert {tuple(r) for r in names.links(data).collect()} == want
+    # Hot segments that are split find the same.
+    monkeypatch.setattr(names, "HOT", 2)
+    assert {tuple(r) for r in names.links(data).collect()} == want
+
+
+def test_typing_slips(spark):
+    pairs = [("Smith Dental", "Smtih Dental"), ("Lee Dental", "Leee Dental"), ("Michael Brown", "Micheal Brown")]
+    assert found_pairs(spark, [x for p in pairs for x in p] + ["Leo Dental", "Smythe Dental", "Michelle Green"]) == set(pairs)
+
+
+def test_recall_on_names_that_no_list_holds(spark):
+    """Firms of made-up trades and persons of made-up surnames, each mistyped in one place."""
+    rnd = random.Random(11)
+    syllable = lambda: rnd.choice("bcdfghjklmnprstvw") + rnd.choice("aeiou")
+    word = lambda n: "".join(syllable() for _ in range(n)).title()
+
+    def slip(x):
+        k = rnd.randrange(1, len(x) - 2)
+        return [x[:k] + x[k + 1 :], x[:k] + x[k] + x[k:], x[:k] + x[k + 1] + x[k] + x[k + 2 :], x[:k] + rnd.choice("aeiou") + x[k + 1 :]][rnd.randrange(4)]
+
+    want = set()
+    for i in range(120):
+        name = f"{word(3)} {word(2)} Kontor" if i % 2 else f"{rnd.choice(['Michael', 'Deborah', 'Edward'])} {word(4)}"
+        first, rest = name.split(" ", 1)
+        other = f"{slip(first)} {rest}" if i % 3 == 0 else f"{first} {slip(rest)}"
+        if other != name:
+            want.add(tuple(sorted((name, other))))
+    got = found_pairs(spark, [x for p in want for x in p])
+    assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.9 * len(got)
+
+
+def test_no_chain_outgrows_its_hub(spark):
+    """Each core is one edit from the next; a component reaches no further than two links from its hub."""
+    letters = "bcdfghjklmnp"
+    cores = ["".join("z" if j < i else c for j, c in enumerate(letters)) for i in range(len(letters) + 1)]
+    df = spark.createDataFrame([(i, "f", c, "", "") for i, c in enumerate(cores)], "id long, kind string, core string, other string, trade string")
+    got = {r.id: r.component for r in names.balls(df, names.links(df)).collect()}
+    assert set(got) == set(range(len(cores))) and len(set(got.values())) > 1
+    assert all(edit(cores[i], cores[h]) <= (names.RADIUS + 1) * 2 for i, h in got.items())
+
+
+def test_members_are_as_many_as_names(spark):
+    got = names.members(spark.createDataFrame([(x,) for x in SAME], "name string")).collect()
+    assert len(got) == len(SAME) and {r.representative for r in got} == {"Bálvuxtus-Keddatlut Solicitors PLC | Duncombe"}
 
 
 def test_components_of_a_chain(spark):
