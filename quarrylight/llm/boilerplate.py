@@ -19,7 +19,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.llm import residue
@@ -291,6 +291,18 @@ def train(pages: DataFrame, domain: str = "domain", title: str = "title", text:
     return model
 
 
+def save(spark: SparkSession, model: Labeller, path: str) -> None:
+    """Write a fitted labeller, a row for each of its arrays."""
+    rows = [(name, list(v.shape), v.astype(np.float32).tobytes()) for name, v in model.p.items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, bytes binary").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> Labeller:
+    model = Labeller()
+    model.p = {r["name"]: np.frombuffer(bytes(r["bytes"]), np.float32).reshape(r["shape"]).copy() for r in spark.read.parquet(path).collect()}
+    return model
+
+
 def label(pages: DataFrame, model: Labeller, key: str = "page_id", title: str = "title", text: str = "text") -> DataFrame:
     """``(key, furniture, body)``: line numbers of furniture, and the text that is left.
 

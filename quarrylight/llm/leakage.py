@@ -8,14 +8,18 @@ items are hashed; a document's windows are joined with them, which finds every
 stretch of 30 words with at most five edits, since five edits leave at least
 one run of five words.  The slots of the matched windows are then compared:
 equal, consistently exchanged (a re-parameterised item) or in conflict; and an
-exact check on the words themselves decides.
+exact check on the words themselves decides.  An item re-told with other names
+and numbers, whose words alone would not show it, is told by its canonical
+words and by every slot being exchanged for one value throughout.
 
 The items are a stated query set.  They are sent to the workers in blocks of
-bounded size, one pass over the documents for each block.
+bounded size, one pass over the documents for each block; a block is dropped
+from memory once its pass has been written.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 import unicodedata
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.runtime import batch_rows, received, share
+from quarrylight.runtime import batch_rows, cut, received, share
 
 #: Words in a row that make a leak, and the words and edits of an inexact one.
 RUN, STRETCH, ONE_IN = 12, 30, 6
@@ -36,6 +40,8 @@ WINDOW = 5
 MIN_DISTINCT = 11
 #: Triples of words that a stretch of 30 words with five edits keeps at least, and the diagonals of one band.
 MIN_TRIPLES, BAND = 13, 24
+#: Words of a template window that must be no placeholders, and diagonals that a re-told item may stray.
+LITERAL, STRAY = 3, 8
 #: Characters of items in one block that is sent to the workers.
 BLOCK_CHARS = 4_000_000
 
@@ -142,11 +148,17 @@ class Index:
                 self.code.setdefault(self.canonical(x), len(self.code))
         self.words = {x: self.code[self.canonical(x)] for x in plain} | {x: self.code[c] for x, c in self.slots.items() if c in self.code}
         keys, where = [], []
+        slots = {self.code[c] for c in "#~@" if c in self.code}
         for n, w in enumerate(self.texts):
             h = self.hashes(w)
+            # Windows that are mostly placeholders stand in any text.
+            bare = np.array([self.words[x] not in slots for x in w], np.int64)
+            if len(h):
+                h = np.where(np.convolve(bare, np.ones(WINDOW, np.int64), "valid") >= LITERAL, h, -1)
             keys.append(h)
             where.append(np.stack([np.full(len(h), n), np.arange(len(h))], 1))
         keys, where = (np.concatenate(x) if x else np.zeros((0,), np.int64) for x in (keys, where))
+        where, keys = (where[keys >= 0], keys[keys >= 0]) if len(keys) else (where, keys)
         order = np.argsort(keys, kind="stable")
         self.keys, self.where = keys[order], where[order] if len(order) else np.zeros((0, 2), np.int64)
         self.triples = [_triples(w) for w in self.texts]
@@ -155,9 +167,9 @@ class Index:
         return self.slots.get(word) or ("#" if word.isdigit() else word)
 
     def hashes(self, w: list[str]) -> np.ndarray:
-        """A hash for each window, -1 where a word is in no item."""
-        get, number = self.words.get, self.code.get("#", -1)
-        c = np.array([c if (c := get(x)) is not None else number if x.isdecimal() else -1 for x in w], np.int64)
+        """A hash for each window; a word that is in no item may stand for a name that an item has, -1 where none has one."""
+        get, number, name = self.words.get, self.code.get("#", -1), self.code.get("@", -1)
+        c = np.array([c if (c := get(x)) is not None else number if x.isdecimal() else name for x in w], np.int64)
         n = len(c) - WINDOW + 1
         if n <= 0:
             return np.zeros(0, np.int64)
@@ -194,6 +206,9 @@ class Index:
         found, own = [], _triples(w)
         for i in np.unique(n).tolist():
             run = runs.get(i, 0)
+            if run < RUN and (told := self._retold(w, self.texts[i], p[n == i], q[n == i])):
+                found.append((self.ids[i], "template", run, *told))
+                continue
             if run < RUN and len(self.triples[i].keys() & own.keys()) < MIN_DISTINCT:
                 continue
             pairs = list(zip(p[n == i].tolist(), q[n == i].tolist()))
@@ -239,6 +254,20 @@ class Index:
             best = max(best, _longest(steps))
         return best
 
+    def _retold(self, w: list[str], item: list[str], p: np.ndarray, q: np.ndarray) -> tuple[int, int] | None:
+        """Canonical words and slots exchanged, where most of a stretch's words are slots' or the same and each slot went to one value."""
+        if len(q) < (STRETCH - WINDOW) // 2:
+            return None
+        d = p - q
+        near = np.abs(d - int(np.median(d))) <= STRAY
+        covered = np.unique((q[near][:, None] + np.arange(WINDOW)).ravel())
+        if len(covered) < STRETCH:
+            return None
+        exchanged, consistent = self._slots(w, item, list(zip(p[near].tolist(), q[near].tolist())))
+        same = sum(item[k + j] == w[i + j] for i, k in zip(p[near].tolist(), q[near].tolist()) for j in range(WINDOW))
+        # Texts that follow the item word by word are judged by their words.
+        return (len(covered), exchanged) if consistent and exchanged > len(covered) // ONE_IN and same < WINDOW * int(near.sum()) else None
+
     @staticmethod
     def _slots(w: list[str], item: list[str], pairs: list[tuple[int, int]]) -> tuple[int, bool]:
         """How many slot values were exchanged, and whether each value went to one other value throughout."""
@@ -278,7 +307,9 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     """``(doc_id, item_id, kind, run, stretch, slots)`` for each item that a document holds.
 
     ``kind`` is ``verbatim`` (at least 12 words in a row), ``reparameterised``
-    or ``edited`` (at least 30 words with at most one in six changed).  Null or
+    or ``edited`` (at least 30 words with at most one in six changed), or
+    ``template`` (more is changed, but only names, numbers and units, and each
+    of them to one value throughout).  Null or
     blank texts on either side hold nothing; repeated rows are reported for
     each row; of items with the same text each is reported.  Empty tables give
     an empty result; other columns are ignored.
@@ -288,17 +319,6 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     kind, item_kind = documents.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     schema = f"{key} {kind}, {item_key} {item_kind}, kind string, run int, stretch int, slots int"
     docs = documents.select(F.col(key), F.col(text).alias("_t")).where("_t is not null")
-    # The query set goes to the workers in blocks; only one block is held here at a time.
-    blocks, block, size = [], [], 0
-    for row in items.select(item_key, item_text).where(F.col(item_text).isNotNull()).toLocalIterator():
-        block.append((row[0], row[1]))
-        size += len(row[1])
-        if size >= BLOCK_CHARS:
-            blocks.append(share(spark, Index(block)))
-            block, size = [], 0
-    if block or not blocks:
-        blocks.append(share(spark, Index(block)))
-
     def search(shared):
         def batches(rows):
             index = received(shared)
@@ -312,10 +332,23 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
         return docs.mapInArrow(batches, schema)
 
-    found = search(blocks[0])
-    for shared in blocks[1:]:
-        found = found.unionByName(search(shared))
-    return found
+    # One block is held at a time: what it finds is written before the next one is built.
+    found, block, size = [], [], 0
+
+    def passed(block, last: bool) -> None:
+        shared = share(spark, Index(block))
+        found.append(search(shared) if last and not found else cut(search(shared), "leaks"))
+        if not last or len(found) > 1:
+            shared.destroy()
+
+    for row in items.select(item_key, item_text).where(F.col(item_text).isNotNull()).toLocalIterator():
+        if size >= BLOCK_CHARS:
+            passed(block, False)
+            block, size = [], 0
+        block.append((row[0], row[1]))
+        size += len(row[1])
+    passed(block, True)
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 _ARROW = {"bigint": "int64", "int": "int32", "string": "string"}

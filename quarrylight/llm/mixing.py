@@ -24,6 +24,8 @@ from quarrylight.runtime import batch_rows, cut
 #: Buckets of one level; two levels part a source into BUCKETS ** 2 slices.
 BUCKETS = 1024
 LEVELS = 3
+#: How far the share of a source with enough text may lie from its target.
+TOLERANCE = 0.002
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how that public vocabulary parts a text before it joins bytes.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -51,23 +53,44 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER, text: str = "
     return documents.select(*rest, text).mapInArrow(batches, schema)
 
 
+def _total(sources: list[tuple[float, int, int]], size: str) -> int:
+    """The tokens of the mix, from each source's share, its tokens, and its tokens with repeats."""
+    if not sources:
+        return 0
+    if size == "whole":
+        return sum(n for _, n, _ in sources)
+    low = min(cap / w for w, _, cap in sources)
+    if size == "exact":
+        return int(low)
+    # What is missing of the short ones raises the others' shares by missing / (1 - missing), the largest most.
+    missing = lambda total: sum(max(0.0, w - cap / total) for w, _, cap in sources)
+    most = TOLERANCE / (TOLERANCE + max(w for w, _, _ in sources))
+    high = max(low, float(sum(cap for _, _, cap in sources)))
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if missing(mid) <= most else (low, mid)
+    return int(low)
+
+
 def _digit(level: int):
     """The hash's digit of one level, in base BUCKETS."""
     return F.shiftright("_hash", 10 * level).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, size: str = "balanced") -> tuple[DataFrame, DataFrame]:
     """The mix as ``(key, source, n_tokens, uses)`` and its report by source.
 
-    Without ``total_tokens`` the mix is as large as all records of its sources
-    together; ``exact=True`` makes it as large as it can be with every target
-    reached, leaving aside sources without any text.  A record is used
-    ``uses`` times, never more than its source's ``max_repeats``.  A source
-    that has too little stays below its share, and the report says so; shares
-    of targets whose source has no text are given to nobody.  Null and blank
-    texts have no tokens and are not used; repeated rows are records of their
-    own; a source without a target, or with a null name, takes no part.  Empty
-    tables give an empty mix.
+    Sources without text or without a target, and null names, take no part; the
+    targets of the others are brought to a sum of one (``feasible_share``).
+    Without ``total_tokens`` the mix is, by ``size``, ``balanced``: the largest
+    in which every source with enough text is within ``TOLERANCE`` of its
+    feasible share, the rest being reported as ``short``; ``exact``: the largest
+    in which none is short; or ``whole``: as large as all records of its sources
+    together, which leaves more of them short and the others above their
+    shares.  A record is used ``uses`` times, never
+    more than its source's ``max_repeats``; a source's size is met up to half a
+    record.  Null and blank texts have no tokens and are not used; repeated rows
+    are records of their own.  Empty tables give an empty mix.
     """
     spark = documents.sparkSession
     t = targets.select("source", F.col("target_share").cast("double").alias("target_share"), F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)).alias("max_repeats")).where("source is not null")
@@ -78,13 +101,15 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     sized = cut(token_counts(hashed, tokenizer, text), "sizes")
     by_bucket = sized.groupBy("source", _digit(LEVELS - 1).alias("_b")).agg(F.sum("n_tokens").alias("_sum"))
     have = by_bucket.groupBy("source").agg(F.sum("_sum").alias("available"))
-    plan = t.join(have, "source", "left").na.fill(0, ["available"])
-    if total_tokens is None and not exact:
-        total_tokens = plan.agg(F.sum("available").alias("m")).first()["m"] or 0
-    elif total_tokens is None:
-        reach = plan.where("available > 0 and target_share > 0 and max_repeats > 0").agg(F.min(F.col("available") * F.col("max_repeats") / F.col("target_share")).alias("m")).first()["m"]
-        total_tokens = int(reach or 0)
-    plan = plan.withColumn("budget", F.least(F.floor(F.col("target_share") * F.lit(total_tokens)), F.col("available") * F.col("max_repeats")))
+    plan = cut(t.join(have, "source", "left").na.fill(0, ["available"]), "targets")
+    supplied = (F.col("available") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)
+    # A row for each target, no larger than the table of targets.
+    caps = [(r["target_share"], r["available"], r["available"] * r["max_repeats"]) for r in plan.where(supplied).collect()]
+    scale = sum(w for w, _, _ in caps) or 1.0
+    plan = plan.withColumn("feasible_share", F.when(supplied, F.col("target_share") / F.lit(scale)).otherwise(0.0))
+    if total_tokens is None:
+        total_tokens = _total([(w / scale, n, cap) for w, n, cap in caps], size)
+    plan = plan.withColumn("budget", F.least(F.round(F.col("feasible_share") * F.lit(total_tokens)).cast("long"), F.col("available") * F.col("max_repeats")))
     # Whole repeats of everything, and what is left for some records once more.
     plan = plan.withColumn("whole", F.when(F.col("available") > 0, F.expr("budget div available")).otherwise(0)).withColumn("_left", F.col("budget") - F.col("whole") * F.col("available"))
     plan = plan.withColumn("_more", F.col("whole") < F.col("max_repeats"))
@@ -101,7 +126,10 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
             F.max("_limit").alias("_base"),
             F.coalesce(F.max(F.when(F.col("_upto") <= F.col("_left"), F.col("_upto"))), F.lit(0)).alias("_used"),
             F.min(F.when(F.col("_upto") > F.col("_left"), F.col("_b"))).alias("_edge"),
+            F.min(F.when(F.col("_upto") > F.col("_left"), F.col("_upto"))).alias("_beyond"),
         )
+        if not level:  # the boundary record itself is taken where that comes nearer
+            fits = fits.withColumn("_edge", F.when(F.col("_beyond") - F.col("_left0") < F.col("_left0") - F.col("_used"), F.col("_edge") + 1).otherwise(F.col("_edge")))
         # Without a boundary bucket everything below the next slice fits.
         bound = fits.select("source", (F.col("_left0") - F.col("_used")).alias("_left"), (F.col("_base") + F.coalesce(F.col("_edge").cast("long"), F.lit(BUCKETS).cast("long")) * F.lit(1 << shift)).alias("_limit"))
         if level:
@@ -110,9 +138,9 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     chosen = sized.join(_hint(plan.select("source", "whole")), "source").join(_hint(bound.select("source", "_limit")), "source", "left")
     chosen = chosen.withColumn("uses", (F.col("whole") + F.when(F.col("_hash") < F.coalesce("_limit", F.lit(0)), 1).otherwise(0)).cast("int")).where("uses > 0").select(key, "source", "n_tokens", "uses")
     used = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("used_tokens"), F.max("uses").alias("most_uses"), F.count("*").alias("records"))
-    report = plan.select("source", "target_share", "max_repeats", "available").join(used, "source", "left").na.fill(0, ["used_tokens", "most_uses", "records"])
+    report = plan.select("source", "target_share", "feasible_share", "max_repeats", "available").join(used, "source", "left").na.fill(0, ["used_tokens", "most_uses", "records"])
     # One window over the sources' totals, a row for each target.
-    report = report.withColumn("_total", F.sum("used_tokens").over(Window.partitionBy(F.lit(1)))).withColumn("actual_share", F.when(F.col("_total") > 0, F.col("used_tokens") / F.col("_total")).otherwise(0.0)).withColumn("short", F.col("actual_share") < F.col("target_share") - 0.001).drop("_total")
+    report = report.withColumn("_total", F.sum("used_tokens").over(Window.partitionBy(F.lit(1)))).withColumn("actual_share", F.when(F.col("_total") > 0, F.col("used_tokens") / F.col("_total")).otherwise(0.0)).withColumn("short", F.col("actual_share") < F.col("target_share") - TOLERANCE).drop("_total")
     return chosen, report
 
 

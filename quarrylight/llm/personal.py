@@ -55,12 +55,14 @@ _NAME_LEFT = re.compile(r"(?:(?:^|^\W*)By|\b(?:[Pp]osted|[Ww]ritten|[Rr]eviewed|
 _NAME_RIGHT = re.compile(rf"^(?:, \d{{1,2}} (?:{_MONTH})|, (?:{_MONTH})| [–-] [A-Z]| moved to| by name| countersigned| and kept|[’']s | \((?:[A-Z]|passport|social|born|aged)|, (?:Flat|Unit|Apt|\d)| signed| wrote| will call| for their help|[,”] who |,” (?:says|said))")
 _TITLE_WORDS = frozenset(t.lower() for t in TITLES)
 _LEFT_WORDS = frozenset("by contact for says said to met signed dear of c/o regards author name manager director officer".split())
+#: Particles within names.
+_PARTICLES = re.compile(r" (?:(?:de|del|de la|de las|de los|la|da|das|do|dos|di|du|von|van|van der|van den|von der|zu|zur|ter|ten|bin|ibn|al|el|y|e) )+")
 _PERSON_RIGHT = re.compile(r"^(?: moved to| countersigned| and kept| by name| for their help|, who | signed)")
 _ROLE_RIGHT = re.compile(r"^ [–-] [A-Z]")
 _PLACE_LEFT = re.compile(r"\b(?:in|near|from|around|across|outside|[Tt]he) $")
 
 _EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]+(?:@| ?[\[(](?:at|AT)[\])] ?)[\w-]+(?:(?:\.| ?[\[(](?:dot|DOT)[\])] ?)[\w-]+)+")
-_DIGITS = re.compile(r"(?<![\w.,£$€#-])(?:\+ ?|\()?\d[\d ().\-/]{5,22}\d(?![\w£$€%]|[.,-]\d)")
+_DIGITS = re.compile(r"(?<![\w.,£$€#-])(?:\+ ?|\()?\d[\d ().\-/]{3,30}\d(?![\w£$€%]|[.,-]\d)")
 _LETTERED = re.compile(r"(?<![\w-])(?:[A-Z]{1,3} ?\d[\d ]{4,9}\d(?: ?[A-D](?![\w-]))?|\d{7,8}-?[A-Z])(?![\w-])")
 _PHONE_STRICT = re.compile(r"(?:(?:\+|00)\d{1,3}[ .\-]?)?(?:\(0\) ?|\(?0?\d{2,5}\)?[ .\-])?\d{2,6}(?:[ .\-]\d{2,4}){0,4}$|0\d{9,10}$|\+\d{9,14}$")
 _PHONE_LEFT = re.compile(r"(?:\b(?:[Pp]hone|[Tt]el|[Tt]elephone|[Cc]all|[Cc]all us|[Tt]ext|[Rr]ing|[Mm]obile|[Ff]ax|[Ff]on|[Hh]otline|[Nn]umber|phone on|[Tt]eléfono|[Tt]éléphone|WhatsApp|T|M)[.:]? ?(?:on |us on |us at |at )?| \| |^)$")
@@ -76,7 +78,7 @@ _ADDRESS = re.compile(
 _ADDRESS_ELSEWHERE = re.compile(
     r"(?<![\w£$€.,-])\d{1,4}(?: ?(?:bis|ter))?,? (?:rue|avenue|boulevard|place|chemin|allée|impasse) [\w'’ -]{3,40}|\b[A-ZÄÖÜ][\wäöüß-]+(?:straße|strasse|weg|gasse|platz|allee) \d{1,4}[a-z]?\b|\b(?:Calle|Avenida|Plaza|Paseo) [A-ZÁÉÍÓÚÑ][\wáéíóúñ ]{2,30}, ?\d{1,4}"
 )
-_POSTCODE = re.compile(r"^\.?(?:, ?(?:Suite|Apt|Unit|Floor) \w+)?,? ?[A-ZÀ-Þ][\w'’ -]{2,30}?,? ?(?:[A-Z]{1,2}\d[\dA-Z]? ?\d[A-Z]{2}|\d{5}(?:-\d{4})?)\b")
+_POSTCODE = re.compile(r"^\.?(?:, ?(?:Suite|Apt|Unit|Floor) \w+)?,? ?[A-ZÀ-Þ][\w'’-]+(?:[ -](?:[A-ZÀ-Þ][\w'’-]*|on|upon|under|le|la|de|sur|am|an|der)){0,4},? ?(?:[A-Z]{1,2}\d[\dA-Z]? ?\d[A-Z]{2}|\d{5}(?:-\d{4})?)\b")
 _TOWN = re.compile(r"^\.?(?:, ?(?:Suite|Apt|Unit|Floor) \w+)?, ?[A-ZÀ-Þ][\w'’]{2,}(?: [A-ZÀ-Þ][\w'’]{2,})?")
 _ADDRESS_LEFT = re.compile(r"(?:moved to|held at|lives at|living at|address(?: is|:)|based at|visit us at| at|sent to|, |^) ?$")
 _DIGIT, _NUMBERED, _LETTER_DIGIT = re.compile(r"\d"), re.compile(r"\d[A-Za-z]?,? [A-ZÀ-Þ]"), re.compile(r"[A-Z] ?\d|\d-?[A-Z]")
@@ -134,13 +136,23 @@ def _names(line: str, local: str):
             continue
         # The parts that follow, parted by single blanks.
         parts, end = [w], b
-        j = i
+        j, surnames = i, 0
         if not initial and i + 1 < len(caps) and line[b : caps[i + 1][0]] == ", " and caps[i + 1][2].lower() in FIRST_NAMES and (titled or named or w.isupper()) and not first:
             j, end, parts = i + 1, caps[i + 1][1], [w, caps[i + 1][2]]
-        while j + 1 < len(caps) and len(parts) < 3 and line[end : caps[j + 1][0]] == " ":
-            nxt = caps[j + 1][2]
-            if len(parts) > 1 and len(parts[-1]) > 2:
+        linked = False
+        while j + 1 < len(caps):
+            nxt, gap = caps[j + 1][2], line[end : caps[j + 1][0]]
+            # Particles join parts; after one, or after several given names, a second surname may follow.
+            particle = bool(_PARTICLES.fullmatch(gap))
+            if not particle and gap != " ":
                 break
+            given = parts[-1].lower() in FIRST_NAMES
+            if not particle and len(parts) > 1 and len(parts[-1]) > 2 and not given and not linked:
+                break
+            if not particle and linked and (nxt.lower() in COMMON_CAPITALS or _place(nxt) or len(parts) > 1 and not given and surnames > 1):
+                break
+            linked = linked or particle
+            surnames = 1 if particle or given or len(parts[-1]) <= 2 else surnames + 1
             if nxt.lower() in FIRM_ENDS or nxt in STREETS:
                 parts.append("Limited")
                 break
@@ -180,7 +192,7 @@ def _line_spans(line: str, local: str) -> list[tuple]:
             post = _POSTCODE.match(right)
             town = post or _TOWN.match(right)
             out.append(("address", m.start(), m.end() + (town.end() if town else 0), _signs(True, bool(post), True if town else 0, bool(_ADDRESS_LEFT.search(left)), -1 if re.search(r"(?i:page|chapter|no\.|between \d{4} and|£)\s*$", left) else 0), "f" if m.group()[0].isalpha() else "n"))
-            taken.append((m.start(), m.end()))
+            taken.append((m.start(), m.end() + (town.end() if town else 0)))
         for pattern, lettered in ((_DIGITS, False), (_LETTERED, True)) if _LETTER_DIGIT.search(line) else ((_DIGITS, False),):
             for m in pattern.finditer(line):
                 a, b = m.start(), m.end()
@@ -191,12 +203,10 @@ def _line_spans(line: str, local: str) -> list[tuple]:
                     continue
                 n = sum(c.isdigit() for c in value)
                 left, right = line[max(0, a - 44) : a], line[b : b + 24]
-                if n < 6 or n > 16:
-                    continue
                 id_left, not_id, strict_id = bool(_ID_LEFT.search(left)), bool(_NOT_ID.search(left)), bool(_ID_STRICT.match(value))
                 if strict_id or id_left:
                     out.append(("id_number", a, b, _signs(strict_id or -1, id_left, -1 if not_id else 0, -1 if _PHONE_LEFT.search(left) and not id_left else 0), "l" if lettered else "d"))
-                if not lettered and n >= 7:
+                if not lettered and n >= (5 if _PHONE_LEFT.search(left) else 7):
                     strict = bool(_PHONE_STRICT.match(value)) and (9 <= n <= 14)
                     lead = value[0] in "+(" or value.startswith("0")
                     out.append(("phone", a, b, _signs(strict or -1, bool(_PHONE_LEFT.search(left)), -1 if _NOT_PHONE.search(left) or id_left else 0, lead or -1, bool(re.match(r",? ?(?:ext|x)\b| \| ", right))), "+" if value[0] == "+" else "(" if value[0] == "(" else "0" if value[0] == "0" else "d"))
@@ -295,38 +305,68 @@ def classifier(rows: list[tuple[str, str, int]], steps: int = 300) -> dict[tuple
     return {(v, s): float(q) for (v, s, _), q in zip(rows, p)}
 
 
-def find(texts: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``(origin, row_key, kind, start_at, end_at, probability)`` of each value in ``texts(origin, row_key, text)``.
-
-    Positions count characters from 1; ``end_at`` is the position after the
-    last one.  Null and blank texts hold nothing; repeated rows are reported
-    for each row; a value is looked for within its line.  An empty table gives
-    an empty result; other columns are ignored.
-    """
-    spark = texts.sparkSession
-    batch_rows(spark, 1000)
-    rows = texts.select(F.col("origin").cast("string"), F.col("row_key").cast("long"), "text").where("text is not null")
-    candidates = cut(rows.mapInArrow(_candidate_batches, _SCHEMA), "spans")
-    # The table of patterns is bounded by the labelers and shapes, not by the corpus.
+def _table(candidates: DataFrame) -> list[tuple[str, str, str, float]]:
+    """The probability of each kind, votes and shape; bounded by the labelers and shapes, not by the corpus."""
     patterns = candidates.groupBy("kind", "votes", "shape").count().collect()
     table = []
     for kind in KINDS:
         own = sorted((r["votes"], r["shape"], r["count"]) for r in patterns if r["kind"] == kind)
         table += [(kind, v, s, p) for (v, s), p in classifier(own).items()] if own else []
-    known = spark.createDataFrame(table, "kind string, votes string, shape string, probability double")
+    return table
+
+
+def _candidates(texts: DataFrame) -> DataFrame:
+    batch_rows(texts.sparkSession, 1000)
+    rows = texts.select(F.col("origin").cast("string"), F.col("row_key").cast("long"), "text").where("text is not null")
+    return cut(rows.mapInArrow(_candidate_batches, _SCHEMA), "spans")
+
+
+def find(texts: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``(origin, row_key, kind, start_at, end_at, probability)`` of each value in ``texts(origin, row_key, text)``.
+
+    Positions count characters from 1; ``end_at`` is the position after the
+    last one.  Of values that overlap the more probable one stays.  Null and
+    blank texts hold nothing; rows with one key are one text; a value is looked
+    for within its line.  An empty table gives an empty result; other columns
+    are ignored.
+    """
+    candidates = _candidates(texts)
+    known = texts.sparkSession.createDataFrame(_table(candidates), "kind string, votes string, shape string, probability double")
     judged = candidates.join(F.broadcast(known), ["kind", "votes", "shape"]).where(F.col("probability") >= threshold)
-    # One kind for one place.
-    best = Window.partitionBy("origin", "row_key", "start_at").orderBy(F.desc("probability"), "kind")
-    return judged.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("origin", "row_key", "kind", "start_at", "end_at", "probability")
-
-
-def redact(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """The texts with a typed placeholder such as ``[EMAIL]`` in place of each value; the rest is left as it was."""
-    spans = found.groupBy("origin", "row_key").agg(F.array_sort(F.collect_set(F.struct("start_at", "end_at", "kind"))).alias("_spans"))
-    piece = "substring(text, acc.at, s.start_at - acc.at)"
-    redacted = F.expr(
-        f"""aggregate(_spans, named_struct('at', 1, 'out', ''),
-            (acc, s) -> IF(s.start_at < acc.at, acc, named_struct('at', s.end_at, 'out', concat(acc.out, {piece}, '[', upper(s.kind), ']'))),
-            acc -> concat(acc.out, substring(text, acc.at)))"""
-    )
-    return texts.join(spans, ["origin", "row_key"], "left").withColumn("text", F.when(F.col("_spans").isNull() | F.col("text").isNull(), F.col("text")).otherwise(redacted)).drop("_spans")
+    # Of spans that overlap the more probable one stays; a text's spans are few and lie in order.
+    best = Window.partitionBy("origin", "row_key").orderBy("start_at", F.desc("probability"), "kind", "end_at")
+    beaten = (F.lag("end_at").over(best) > F.col("start_at")) & (F.lag("probability").over(best) >= F.col("probability")) | (F.lead("start_at").over(best) < F.col("end_at")) & (F.lead("probability").over(best) > F.col("probability"))
+    return judged.withColumn("_beaten", F.coalesce(beaten, F.lit(False))).where("not _beaten").select("origin", "row_key", "kind", "start_at", "end_at", "probability")
+
+
+def redacted(texts: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The texts with a typed placeholder such as ``[EMAIL]`` in place of each value; the rest is left as it was.
+
+    Texts do not move: once the small table of probabilities is known, each is
+    read again where it lies.  All columns are kept; a null text stays null.
+    """
+    spark = texts.sparkSession
+    known = spark.sparkContext.broadcast({(k, v, s): p for k, v, s, p in _table(_candidates(texts)) if p >= threshold})
+    at = texts.columns.index("text")
+
+    def batches(rows):
+        cache: dict = {}
+        for batch in rows:
+            out = [redact(t, spans_of(t, cache), known.value) if t else t for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+
+    return texts.mapInArrow(batches, texts.schema)
+
+
+def redact(text: str, spans: list[tuple], known: dict) -> str:
+    """One text with placeholders; of spans that overlap the more probable one stays."""
+    sure = sorted((-known[k, v, s], a, b, k) for k, a, b, v, s in spans if (k, v, s) in known)
+    taken: list[tuple[int, int, str]] = []
+    for _, a, b, kind in sure:
+        if all(b <= x or y <= a for x, y, _ in taken):
+            taken.append((a, b, kind))
+    out, done = [], 1
+    for a, b, kind in sorted(taken):
+        out += [text[done - 1 : a - 1], f"[{kind.upper()}]"]
+        done = b
+    return "".join([*out, text[done - 1 :]])

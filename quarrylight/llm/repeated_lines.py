@@ -1,19 +1,19 @@
 """Lines repeated across the documents of one source (problem 6).
 
-Each line becomes a 64-bit pair of hashes of its letters.  One shuffle brings
-the lines of one (source, hash) together; two windows over that one sort count
-the distinct addresses, so neither the counting nor the join back shuffles the
-lines a second time.  A line occurs about once per document, so the most
-frequent line is a small part of all lines even where one source holds a
-third of the documents; windows spill.
+Each line becomes a 96-bit pair of hashes of its source and letters.  Distinct
+addresses are counted by two aggregates, first for line and address together,
+then for the line, so that no task holds a line that stands on every page of a
+large source.  The frequent ones are joined back to the lines; a source's share
+of all rows makes a skewed join key at worst, which AQE splits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.llm.lines import exploded, letters
+from quarrylight.runtime import cut
 
 MIN_DOCUMENTS = 10
 
@@ -31,13 +31,15 @@ def repeated_lines(pages: DataFrame, min_documents: int = MIN_DOCUMENTS, min_sha
     rows = pages.select(F.col(key).alias("_k"), F.coalesce(F.col(source), F.lit("\u0000")).alias("_s"), F.xxhash64(F.coalesce(F.col(address), F.lit("\u0000"))).alias("_u"), F.col(text).alias("_t")).where("_t is not null")
     lines = exploded(rows, "_t", "_k", "_s", "_u").withColumn("_n", letters("line")).where("_n <> ''")
     hashed = lines.select(F.col("_k").alias(key), "line_no", "_u", F.xxhash64("_s", "_n").alias("_h"), F.hash("_n", "_s").alias("_g"), *([F.xxhash64("_s").alias("_d")] if min_share > 0 else []))
-    same = Window.partitionBy("_h", "_g")
-    counted = hashed.withColumn("_r", F.dense_rank().over(same.orderBy("_u"))).withColumn("n_documents", F.max("_r").over(same))
+    # Numbers only from here on; cut, as counting and joining back both read them.
+    hashed = cut(hashed, "lines")
+    once = hashed.groupBy("_h", "_g", "_u").agg(*([F.first("_d").alias("_d")] if min_share > 0 else [F.lit(1).alias("_one")]))
+    counted = once.groupBy("_h", "_g").agg(F.count("*").alias("n_documents"), *([F.first("_d").alias("_d")] if min_share > 0 else []))
     found = counted.where(F.col("n_documents") >= min_documents)
     if min_share > 0:
         sizes = rows.select(F.xxhash64("_s").alias("_d"), "_u").distinct().groupBy("_d").agg(F.count("*").alias("_all"))
         found = found.join(sizes, "_d").where(F.col("n_documents") >= F.col("_all") * min_share)
-    return found.select(key, "line_no")
+    return hashed.join(found.select("_h", "_g"), ["_h", "_g"]).select(key, "line_no")
 
 
 def without_lines(pages: DataFrame, drop: DataFrame, key: str = "page_id", text: str = "text") -> DataFrame:

@@ -10,8 +10,10 @@ quotation marks or by a sentence about templates, is none.
 
 from __future__ import annotations
 
+import bisect
 import re
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -145,11 +147,11 @@ FURNITURE = (
 SIGNS = ("{", "<%", "<?", "%", "*|", "[", "__", "@@", "##", "undefined")
 FILLER_STEMS = (
     "lorem ipsum", "dolor sit", "consectetur", "sed do eiusmod", "incididunt", "ad minim", "quis nostrud", "duis aute", "excepteur", "quis risus", "vestibulum id", "mollit anim",
-    " here", "to edit", "to add", "to change", "add your", "edit me", "todo:", "xxxx", "replace this", "this is a", "this is your", "your new", "edit or delete", "dummy", "placeholder", "sample", "filler", "hello world", "just another",
+    "text here", "content here", "headline here", "title here", "tagline here", "goes here", "comes here", "here to", "to edit", "click to", "add your", "edit me", "todo:", "xxxx", "replace this", "this is a", "this is your", "your new", "edit or delete", "dummy", "placeholder", "sample", "filler", "hello world", "just another",
 )
 NOTICE_STEMS = (
-    "error", "not found", "be found", "t found", "forbidden", "unauthori", "unavailable", "bad gateway", "bad request", "404", "403", "500", "502", "503", "sorry", "may have been", "went wrong", "denied", "permission", "has expired", "timed out", "log in", "login", "sign in", "signin", "log-in", "sign-in", "logged in", "loggedin", "gateway time", "server met", "server encountered",
-    "javascript", "scripts", "enable cookies", "require cookies", "requires cookies", "need cookies", "needs cookies", "turn on cookies", "activate cookies", "checking your", "checking the", "checking if", "a human", "you are human", "a robot", "captcha", "suspended", "parked", "for sale", "be back", "be right back", "construction", "maintenance", "undergoing", "scheduled", "coming soon", "index of /", "fetch failed", "guru meditation", "uncaught", "warning:", "notice:", "traceback", "not supported", "out of date", "too old", "requested ", "too many requests", "rate limit", "blocked", "unable to",
+    "error 3", "error 4", "error 5", "error3", "error4", "error5", "error:", "error :", "error  ", "server error", "expected error", "internal error", "fatal error", "error establishing", "error has", "error occurred", "not found", "be found", "t found", "forbidden", "unauthori", "unavailable", "bad gateway", "bad request", "404", "403", "500", "502", "503", "sorry", "may have been", "went wrong", "denied", "permission", "has expired", "timed out", "log in", "login", "sign in", "signin", "log-in", "sign-in", "logged in", "loggedin", "gateway time", "server met", "server encountered",
+    "javascript", "scripts", "enable cookies", "require cookies", "requires cookies", "need cookies", "needs cookies", "turn on cookies", "activate cookies", "checking your", "checking the", "checking if", "a human", "you are human", "a robot", "captcha", "suspended", "parked", "for sale", "be back", "be right back", "under construction", "for construction", "under maintenance", "for maintenance", "undergoing", "scheduled", "planned ", "essential maintenance", "essential construction", "essential essential", "essential routine", "routine maintenance", "routine construction", "routine essential", "routine routine", "coming soon", "index of /", "fetch failed", "guru meditation", "uncaught", "warning:", "notice:", "traceback", "not supported", "out of date", "too old", "requested ", "too many requests", "rate limit", "blocked", "unable to",
     "nicht gefunden", "angeforderte", "existiert", "introuvable", "non trouv", "existe", "no encontrada", "ha encontrado", "erreur", "wartung", "en maintenance", "mantenimiento", "verweigert", "refusé", "denegado",
 )
 
@@ -180,16 +182,30 @@ class Judge:
         self.quoted = re.compile("“[^”\n]{0,120}”|«[^»\n]{0,120}»|„[^“\n]{0,120}“|\"[^\"\n]{0,120}\"|`[^`\n]{0,120}`")
         self.about, self.sentence, self.status = re.compile(_ABOUT, re.IGNORECASE), re.compile(r"(?<=[.!?…])\s+"), re.compile(STATUS_LINE)
         self.word = re.compile(r"[^\W\d_]{2,}")
-
-    @staticmethod
-    def holding(text: str, low: str, marks: tuple[str, ...], words: tuple[str, ...]):
-        """The lines that hold one of the marks, or of the words in lower case."""
-        marks, words = [x for x in marks if x in text], [x for x in words if x in low]
-        if marks or words:
-            for line in text.split("\n"):
-                folded = line.lower()
-                if any(x in line for x in marks) or any(x in folded for x in words):
-                    yield line
+        kinds: dict[str, int] = {}
+        for words, kind in ((SIGNS, 1), (FILLER_STEMS, 1), (NOTICE_STEMS, 2)):
+            for w in words:
+                kinds[w] = kinds.get(w, 0) | kind
+        self.stems = ahocorasick.Automaton()
+        for w, kind in kinds.items():
+            self.stems.add_word(w, kind)
+        self.stems.make_automaton()
+
+    def holding(self, text: str) -> tuple[list[str], list[str]]:
+        """The lines that may hold residue, and those that may hold a notice: one pass over the text finds all stems."""
+        low = text.lower()
+        hits = list(self.stems.iter(low))
+        if not hits:
+            return [], []
+        lines, ends, at = text.split("\n"), [], 0
+        for x in low.split("\n"):
+            at += len(x) + 1
+            ends.append(at)
+        found: dict[int, int] = {}
+        for end, kind in hits:
+            i = bisect.bisect_right(ends, end)
+            found[i] = found.get(i, 0) | kind
+        return [lines[i] for i, kind in sorted(found.items()) if kind & 1], [lines[i] for i, kind in sorted(found.items()) if kind & 2]
 
     def left(self, line: str) -> bool:
         """Whether a line holds a placeholder or filler that is left over, not spoken of."""
@@ -201,10 +217,6 @@ class Judge:
                     return True
         return bool(self.filler.search(line))
 
-    def residue(self, text: str, low: str) -> list[str]:
-        """The lines with what a template or tool left."""
-        return [line for line in dict.fromkeys(self.holding(text, low, SIGNS, FILLER_STEMS)) if self.left(line)]
-
     def content(self, line: str) -> bool:
         """Whether a sentence of the line is neither a notice, nor what goes with one, nor furniture."""
         return any(self.runs(s.strip()) and not self.explained.search(s) for s in self.sentence.split(line))
@@ -220,10 +232,12 @@ class Judge:
         """``(residue in the title, lines with residue, lines with content)``; the last is None without a notice, all is None without evidence."""
         title = (title or "").replace("\u00a0", " ").strip()
         text = text.replace("\u00a0", " ")
-        low = text.lower()
-        titled = bool(self.titles.match(title) or self.residue(title, title.lower()))
-        lines = self.residue(text, low)
-        noticed = bool(self.doubtful.match(title) or self.notices.search(title)) or any(self.notices.search(x) for x in self.holding(text, low, (), NOTICE_STEMS)) or bool(self.status.search(text))
+        maybe, notes = self.holding(title)
+        titled = bool(self.titles.match(title)) or any(self.left(x) for x in maybe)
+        noticed = bool(self.doubtful.match(title) or self.status.search(title)) or any(self.notices.search(x) for x in notes)
+        maybe, notes = self.holding(text)
+        lines = [x for x in dict.fromkeys(maybe) if self.left(x)]
+        noticed = noticed or any(self.notices.search(x) for x in notes) or bool(self.status.search(text))
         if not (titled or lines or noticed):
             return None
         return titled, lines, [x for x in text.split("\n") if self.content(x)] if noticed else None

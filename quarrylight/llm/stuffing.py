@@ -8,9 +8,10 @@ scored: where its perplexity under the model is far above that of prose, or
 far below it, the stretch is no prose.  A text of mostly such stretches is
 spam, even if a sentence stands among them.
 
-The model is fitted on a bounded sample (``SAMPLE``) of texts that look like
-prose; its table has a fixed size.  The limits are quantiles of the scores of
-the sample's stretches, and every text is scored whole.
+The trigrams are counted over all texts that look like prose, and the limits
+are quantiles of the scores of all their stretches; both tables have a fixed
+size, whatever the corpus.  Texts are read once, into a byte or two for each
+token; counting, scoring and judging read these codes.
 """
 
 from __future__ import annotations
@@ -24,19 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.sampling import smallest_hashes
-from quarrylight.runtime import batch_rows, received, share
+from quarrylight.runtime import batch_rows, cut, received, share
 
-#: Texts in the sample that the model is fitted on.
-SAMPLE = 3000
 #: Tokens of a stretch.
 STRETCH = 24
 #: A text is spam from this share of tokens in stretches that are no prose.
 MOSTLY = 0.6
-#: Texts with fewer tokens are not judged.
-LEAST = 12
-#: Quantiles of the sample's stretches that bound prose, and the margins beyond them in nats for each token.
-LOW, HIGH, LOW_MARGIN, HIGH_MARGIN = 0.001, 0.995, 0.2, 0.35
+#: Tokens from which a line counts as a sentence.  A text below it, whose score says little, is spam only if this share
+#: of its words besides are links, tags or words said before or again.
+LEAST, LISTED = 12, 0.5
+#: Quantiles of the stretches of prose that bound it, and the margins beyond them in nats for each token.
+LOW, HIGH, LOW_MARGIN, HIGH_MARGIN = 0.001, 0.998, 0.2, 0.35
 #: A word is repeated all over a text from this count and share of its words, and rules it from the second share.
 REPEATED, REPEATED_SHARE, RULING_SHARE = 4, 0.02, 0.05
 
@@ -48,6 +47,7 @@ FUNCTION_WORDS = (
     "el los las una unos y o del al con por para se su sus lo que es son no como más este esta pero sin"
 ).split()
 
+_FUNCTION = frozenset(FUNCTION_WORDS)
 _TOKEN = re.compile(r"https?://\S+|www\.\S+|#\w+|[^\W\d_]+(?:['’-][^\W\d_]+)*|\d[\d.,:]*|\n+|[^\w\s]")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
 _HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
@@ -117,6 +117,13 @@ class Coder:
         return np.array(out, np.int64)
 
 
+def listed(text: str) -> float:
+    """The share of a text's words that are links, tags or words which occur more than once, function words aside."""
+    words = [w.lower() for w in _TOKEN.findall(_HIDDEN.sub("", html.unescape(_TAG.sub("", text)))) if w[0].isalnum() or w[0] == "#"]
+    count = Counter(words)
+    return sum(w.startswith(("#", "http", "www.")) or count[w] > 1 and w not in _FUNCTION for w in words) / max(1, len(words))
+
+
 def looks_like_prose(codes: np.ndarray, coder: Coder) -> bool:
     """Texts for the sample: a good share of function words, sentence marks, and few repeated words."""
     n = len(codes)
@@ -131,27 +138,33 @@ def looks_like_prose(codes: np.ndarray, coder: Coder) -> bool:
 class Model:
     """Trigrams over classes, smoothed by bigrams and unigrams (Witten-Bell)."""
 
-    def __init__(self, texts: list[str], coder: Coder | None = None):
+    def __init__(self, counts: list[tuple[int, int]] = (), coder: Coder | None = None):
         self.coder = coder or Coder()
         v = len(self.coder.names)
-        sample = [c for c in map(self.coder.code, texts) if looks_like_prose(c, self.coder)]
-        tri, bi, uni = np.zeros((v, v, v), np.float32), np.zeros((v, v), np.float32), np.ones(v, np.float32)
-        for c in map(self._sentences, sample):
-            p = np.concatenate(([0, 0], c))
-            np.add.at(tri, (p[:-2], p[1:-1], p[2:]), 1)
-        bi, uni = tri.sum(0), uni + tri.sum((0, 1))
+        tri = np.zeros(v * v * v, np.float32)
+        if len(counts):
+            at, n = np.array(counts, np.int64).T
+            tri[at] = n
+        tri = tri.reshape(v, v, v)
+        bi, uni = tri.sum(0), np.ones(v, np.float32) + tri.sum((0, 1))
         uni = uni / uni.sum()
         kinds = (bi > 0).sum(-1, keepdims=True)
         bi = (bi + (kinds + 1) * uni) / (bi.sum(-1, keepdims=True) + kinds + 1)
         kinds = (tri > 0).sum(-1, keepdims=True)
         tri = (tri + (kinds + 1) * bi[None]) / (tri.sum(-1, keepdims=True) + kinds + 1)
         self.cost = -np.log(tri).astype(np.float32)
-        scores = [self.stretches(p)[0] for c in sample if len(p := self._sentences(c)) >= LEAST]
-        scores = np.concatenate(scores) if scores else np.array([0.0, 20.0])
-        self.low, self.high = float(np.quantile(scores, LOW)) - LOW_MARGIN, float(np.quantile(scores, HIGH)) + HIGH_MARGIN
+        self.low, self.high = -LOW_MARGIN, 20.0
+
+    def bound(self, bins: list[tuple[int, int]]) -> None:
+        """Set the limits from the histogram of the scores of prose, in bins of ``BIN`` nats."""
+        if bins:
+            at, n = np.array(sorted(bins), np.int64).T
+            share = np.cumsum(n) / n.sum()
+            limit = lambda q: float(at[np.searchsorted(share, q)]) * BIN
+            self.low, self.high = limit(LOW) - LOW_MARGIN, limit(HIGH) + BIN + HIGH_MARGIN
 
     def _sentences(self, codes: np.ndarray) -> np.ndarray:
-        """The lines that run as sentences; lists of links or labels in the sample must teach nothing."""
+        """The lines that run as sentences; lists of links or labels must teach nothing."""
         line = self.coder.number["line"]
         parts = np.split(codes, np.flatnonzero(codes == line))
         return np.concatenate([np.zeros(0, np.int64), *(p for p in parts if len(p) >= LEAST and (p >= self.coder.first_function).mean() >= 0.15)])
@@ -167,36 +180,75 @@ class Model:
             starts, sizes = starts[:-1], np.append(sizes[:-2], sizes[-2] + sizes[-1])
         return np.add.reduceat(cost, starts) / sizes, sizes
 
-    def judge(self, text: str) -> tuple[float, float, float] | None:
-        """Mean cost, and the shares of tokens in stretches far above and far below prose."""
-        codes = self.coder.code(text)
-        if len(codes) < LEAST:
+    def judge(self, codes: np.ndarray) -> tuple[float, float, float] | None:
+        """Mean cost, and the shares of tokens in stretches far above and far below prose; None without a token."""
+        if not len(codes):
             return None
         score, size = self.stretches(codes)
         total = size.sum()
         return float((score * size).sum() / total), float(size[score > self.high].sum() / total), float(size[score < self.low].sum() / total)
 
 
-def scores(documents: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """``(key, perplexity, high_share, low_share, spam)`` for each text that is long enough to be judged.
+#: Width of a bin of scores, in nats for each token.
+BIN = 0.005
 
-    Null, blank and very short texts give no row; repeated rows are judged one
-    by one and alike; an empty table gives an empty result; other columns are
-    ignored.
+
+def scores(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, perplexity, high_share, low_share, spam)`` for each text with a token.
+
+    Null and blank texts give no row; a text of fewer than ``LEAST`` tokens is
+    one stretch and must be a list by its words as well.  Repeated rows are
+    judged one by one and alike; an empty table gives an empty result; other
+    columns are ignored.
     """
     spark = documents.sparkSession
     batch_rows(spark, 1000)
-    docs = documents.select(F.col(key), F.col(text).alias("_t")).where("_t is not null")
-    picked = sorted(r["_t"] for r in smallest_hashes(docs, key, sample).collect())
-    model = share(spark, Model(picked))
     kind = documents.schema[key].dataType.simpleString()
 
+    def coded(rows):
+        coder = Coder()
+        for batch in rows:
+            texts = batch.column(1).to_pylist()
+            codes = [coder.code(t) for t in texts]
+            lists = [len(c) >= LEAST or listed(t) >= LISTED for c, t in zip(codes, texts)]
+            prose = [looks_like_prose(c, coder) for c in codes]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.astype(np.uint16).tobytes() for c in codes], pa.binary()), pa.array(prose, pa.bool_()), pa.array(lists, pa.bool_())], names=["_k", "_codes", "_prose", "_lists"])
+
+    docs = cut(documents.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where("_t is not null").mapInArrow(coded, f"_k {kind}, _codes binary, _prose boolean, _lists boolean"), "codes")
+    read = lambda batch, i: [np.frombuffer(c, np.uint16).astype(np.int64) for c in batch.column(i).to_pylist()]
+    prose = docs.where("_prose").select("_codes")
+
+    def trigrams(rows):
+        own = Model.__new__(Model)
+        own.coder = Coder()
+        v = len(own.coder.names)
+        for batch in rows:
+            parts = [np.concatenate(([0, 0], own._sentences(c))) for c in read(batch, 0)]
+            at = np.concatenate([np.zeros(0, np.int64), *((p[:-2] * v + p[1:-1]) * v + p[2:] for p in parts)])
+            ids, n = np.unique(at, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], names=["at", "n"])
+
+    # As many rows as there are trigrams of classes at most.
+    model = Model([(r["at"], r["n"]) for r in prose.mapInArrow(trigrams, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()])
+    first = share(spark, model)
+
+    def spread(rows):
+        own = received(first)
+        for batch in rows:
+            found = [own.stretches(p)[0] for c in read(batch, 0) if len(p := own._sentences(c)) >= LEAST]
+            ids, n = np.unique((np.concatenate([np.zeros(0), *found]) / BIN).astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], names=["at", "n"])
+
+    model.bound([(r["at"], r["n"]) for r in prose.mapInArrow(spread, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()])
+    low, high = model.low, model.high
+
     def batches(rows):
-        own = received(model)
+        own = received(first)
+        own.low, own.high = low, high
         for batch in rows:
-            out = [(k, *j) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (j := own.judge(t))]
-            cols = list(zip(*out)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field(0).type), *(pa.array(c, pa.float64()) for c in cols[1:])], names=[key, "cost", "high_share", "low_share"])
+            out = [(k, one, *j) for k, c, one in zip(batch.column(0).to_pylist(), read(batch, 1), batch.column(2).to_pylist()) if (j := own.judge(c))]
+            cols = list(zip(*out)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field(0).type), pa.array(cols[1], pa.bool_()), *(pa.array(c, pa.float64()) for c in cols[2:])], names=["_k", "_lists", "cost", "high_share", "low_share"])
 
-    judged = docs.mapInArrow(batches, f"{key} {kind}, cost double, high_share double, low_share double")
-    return judged.select(key, F.exp("cost").alias("perplexity"), "high_share", "low_share", (F.col("high_share") + F.col("low_share") > MOSTLY).alias("spam"))
+    judged = docs.select("_k", "_codes", "_lists").mapInArrow(batches, f"_k {kind}, _lists boolean, cost double, high_share double, low_share double")
+    return judged.select(F.col("_k").alias(key), F.exp("cost").alias("perplexity"), "high_share", "low_share", (F.col("_lists") & (F.col("high_share") + F.col("low_share") > MOSTLY)).alias("spam"))

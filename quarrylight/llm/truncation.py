@@ -32,12 +32,15 @@ LABEL_LINES = 5
 LABEL_WORDS = 6
 #: Words from which a last line without known context counts as running prose.
 PROSE_WORDS = 12
+#: Letters of a last word that are part of its key.
+HEAD = 3
 
 #: Marks for omitted text that may follow a cut, at the very end.
 OMISSION = r"(?<![\\s\\x{00a0}])[\\s\\x{00a0}]*+(?:\\.\\.\\.|…|\\[\\s*(?:\\.\\.\\.|…|cut|truncated|more)?\\s*\\]?|\\((?:\\.\\.\\.|…|cut|truncated|more)\\)?)[\\s\\x{00a0}]*$"
 
-#: Bits of the filters that keep work off rows no ending asks for; their size is fixed, whatever the input's.
-FILTER_BITS = 1 << 22
+#: Bits for each ending, and the least and most bits, of the filters that keep work off rows no ending asks for.  They only
+#: save work: rows that pass by chance are dropped by the joins.
+BITS_EACH, LEAST_BITS, MOST_BITS = 32, 1 << 16, 1 << 26
 
 _SQL = {
     # Blank ends go; a text of blanks has no ending.
@@ -47,10 +50,9 @@ _SQL = {
     # The ending of each text: its last line, and the words of it before any mark for omitted text.
     "t_finals": r"""
         SELECT _k, _line, _marked, _w, size(_w) AS _m, coalesce(get(_w, size(_w) - 1), '') AS _word
-        FROM (SELECT _k, _line, _marked,
-                     filter(split(IF(_marked, regexp_replace(_line, '{omission}', ''), _line), ' +'), w -> w <> '') AS _w
+        FROM (SELECT _k, _line, _marked, {words:IF(_marked, regexp_replace(_line, '{omission}', ''), _line)} AS _w
               FROM (SELECT _k, _line, _line RLIKE '{omission}' AS _marked
-                    FROM (SELECT _k, trim(replace(substring_index(_t, '\n', -1), ' ', ' ')) AS _line FROM t_texts WHERE _t <> '')))""",
+                    FROM (SELECT _k, {clean:substring_index(_t, '\n', -1)} AS _line FROM t_texts WHERE _t <> '')))""",
     "t_open": r"""
         SELECT *, NOT (_closed OR _prose AND _m >= {long}) AS _asks,
                IF(_closed OR _prose AND _m >= {long}, NULL, xxhash64({form})) AS _f,
@@ -61,7 +63,8 @@ _SQL = {
                      right(_word, 1) IN ({closers}) AND NOT (_marked AND right(_word, 1) = ')') AS _closed,
                      _line RLIKE '[.!?] \\p{Lu}' AS _prose
               FROM t_finals)""",
-    "t_asked": r"""SELECT DISTINCT _c, _x FROM t_open WHERE NOT _closed AND _x <> ''""",
+    # A last word may be a fragment: its first letters are part of the key that it shares with longer words.
+    "t_asked": r"""SELECT DISTINCT _c, _x, left(_x, {head}) AS _h FROM t_open WHERE NOT _closed AND _x <> ''""",
     "t_contexts": r"""SELECT pmod(_c, {bits}) AS _p FROM t_open WHERE NOT _closed""",
     "t_openings": r"""SELECT pmod(_g, {bits}) AS _p FROM t_open WHERE _asks""",
     # One bit for each asked value: an array of fixed length.
@@ -75,7 +78,7 @@ _SQL = {
     "t_trigrams": r"""
         SELECT _c, _word, get(_w, _j + 1) AS _next
         FROM (SELECT xxhash64(coalesce(get(_w, _j - 2), '<s>'), coalesce(get(_w, _j - 1), '<s>')) AS _c, _word, _j, _w, _final
-              FROM (SELECT split(lower(replace(replace(trim(_line), ' ', ' '), '  ', ' ')), ' ') AS _w, _final FROM t_lines) LATERAL VIEW posexplode(_w) AS _j, _word)
+              FROM (SELECT {words:lower({clean:_line})} AS _w, _final FROM t_lines) LATERAL VIEW posexplode(_w) AS _j, _word)
         WHERE bit_get((SELECT _bits FROM t_contextbits)[CAST(pmod(_c, {bits}) DIV 64 AS INT)], CAST(pmod(_c, {bits}) % 64 AS INT)) = 1
               AND NOT (_final AND get(_w, _j + 1) IS NULL)""",
     # Third word, and whether the sentence or label ends with it; bars and bullets part labels.
@@ -90,13 +93,14 @@ _SQL = {
                sum(IF(c._x = a._x, c._inner, 0L)) AS _inner, sum(IF(c._x = a._x, c._outer, 0L)) AS _outer,
                sum(IF(c._x = a._x, c._trails, 0L)) AS _trails,
                sum(IF(c._x = a._x, 0L, c._inner + c._outer)) AS _longer
-        FROM t_asked a JOIN t_counts c ON a._c = c._c AND startswith(c._x, a._x)
+        FROM t_asked a JOIN (SELECT *, explode(transform(sequence(1, least({head}, length(_x))), n -> left(_x, n))) AS _h FROM t_counts) c
+             ON a._c = c._c AND a._h = c._h AND startswith(c._x, a._x)
         GROUP BY a._c, a._x""",
     # Whole lines, apart from names and numbers: how often they stand inside texts, and at their ends.
     "t_forms": r"""
         SELECT _f, sum(_inside) AS _inside, count(*) AS _lines
         FROM (SELECT xxhash64({form}) AS _f, 1L AS _inside
-              FROM (SELECT trim(replace(_line, ' ', ' ')) AS _line, {opening} AS _g FROM t_lines WHERE NOT _final)
+              FROM (SELECT _line, {opening} AS _g FROM (SELECT {clean:_line} AS _line FROM t_lines WHERE NOT _final))
               WHERE bit_get((SELECT _bits FROM t_openingbits)[CAST(pmod(_g, {bits}) DIV 64 AS INT)], CAST(pmod(_g, {bits}) % 64 AS INT)) = 1
               UNION ALL SELECT _f, 0L AS _inside FROM t_open WHERE _asks)
         GROUP BY _f""",
@@ -117,10 +121,10 @@ _SQL = {
         FROM t_judged j LEFT JOIN t_forms f ON j._f = f._f""",
 }
 
-#: A line's form: e-mail addresses become E, words with digits 9, names C; a counter in brackets at its end goes.
-_FORM = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(_line, '(?<! ) *+\\(\\d+\\)$', ''), '(?<![^ ])[^ ]+@[^ ]+', 'E'), '(?<![\\p{L}\\p{N}])[\\p{L}\\p{N}]*\\p{N}[\\p{L}\\p{N}]*', '9'), '(?<=.)\\b\\p{Lu}[\\p{L}\'’]*', 'C')"
+#: A line's form: a counter in brackets at its end goes, e-mail addresses become E, words with digits 9, names after the first word C.
+_FORM = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(_line, '(?<! ) *+\\(\\d+\\)$', ''), '(?<![^ ])[^ ]+@[^ ]+', 'E'), '(?<![\\p{L}\\p{N}])[\\p{L}\\p{N}]*\\p{N}[\\p{L}\\p{N}]*', '9'), '(?<=[^\\p{L}\\p{N}_])\\p{Lu}[\\p{L}\'’]*', 'C')"
 
-#: An array of FILTER_BITS / 64 longs with a bit for every value of a view.
+#: An array of longs with a bit for every value of a view.
 _BITMAP = r"""
     SELECT transform(array_sort(collect_list(struct(_i, _v))), e -> e._v) AS _bits
     FROM (SELECT CAST(r.id AS INT) AS _i, coalesce(g._v, 0L) AS _v
@@ -128,8 +132,11 @@ _BITMAP = r"""
                (SELECT _p DIV 64 AS _i, bit_or(shiftleft(1L, CAST(_p % 64 AS INT))) AS _v FROM {view} GROUP BY _p DIV 64) g
           ON r.id = g._i)"""
 
-#: What a line and its form's other lines mostly share, at little cost: their first letters and the number of blanks.
-_OPENING = r"xxhash64(left(ltrim(_line), 3), octet_length(trim(_line)) - octet_length(replace(trim(_line), ' ', '')))"
+#: What lines of one form share, at little cost: a first word of letters, and a second one in lower case; a counter at the end is no word.
+_OPENING = r"xxhash64(IF(split_part(_bare, ' ', 1) RLIKE '^\\p{L}+$' AND split_part(_bare, ' ', 1) <> 'E', split_part(_bare, ' ', 1), ''), IF(split_part(_bare, ' ', 2) RLIKE '^\\p{Ll}+$', split_part(_bare, ' ', 2), ''))".replace("_bare", r"IF(right(_line, 1) = ')', regexp_replace(_line, '(?<! ) *+\\(\\d+\\)$', ''), _line)")
+
+#: One rule for cleaning and splitting a line, inside texts and at their ends.
+_RULES = ((re.compile(r"\{clean:([^{}]*)\}"), lambda m: f"trim(replace({m[1]}, '\u00a0', ' '))"), (re.compile(r"\{words:((?:[^{}]|\{omission\})*)\}"), lambda m: f"split(trim(replace({m[1]}, '  ', ' ')), ' ')"))
 
 _VALUES = {
     "{opening}": _OPENING,
@@ -137,7 +144,6 @@ _VALUES = {
     "{form}": _FORM,
     "{strip}": r".,;:!?)”\"»›…\'’",
     "{closers}": r"'.', '!', '?', '»', '”', '\"', '›', ')', '|', '…'",
-    "{bits}": str(FILTER_BITS),
     "{min_seen}": str(MIN_SEEN),
     "{max_terminal}": str(MAX_TERMINAL),
     "{prose_words}": str(PROSE_WORDS),
@@ -145,8 +151,7 @@ _VALUES = {
     "{sure}": str(SURE_SEEN),
     "{recurs}": str(LABEL_LINES),
     "{label_words}": str(LABEL_WORDS),
-    "{bitmap:t_contexts}": _BITMAP.replace("{words}", str(FILTER_BITS // 64)).replace("{view}", "t_contexts"),
-    "{bitmap:t_openings}": _BITMAP.replace("{words}", str(FILTER_BITS // 64)).replace("{view}", "t_openings"),
+    "{head}": str(HEAD),
 }
 
 
@@ -159,8 +164,11 @@ def truncated(pages: DataFrame, key: str = "page_id", text: str = "text") -> Dat
     """
     spark = pages.sparkSession
     rows = {"t_input": pages.selectExpr(f"`{key}` AS _k", f"`{text}` AS _t").where("_t IS NOT NULL")}
+    values = dict(_VALUES)
     for name, sql in _SQL.items():
-        for what, value in _VALUES.items():
+        for pattern, by in _RULES:
+            sql = pattern.sub(by, sql)
+        for what, value in values.items():
             sql = sql.replace(what, value)
         used = {x: rows[x] for x in set(re.findall(r"\bt_[a-z]+\b", sql))}
         # spark.sql names DataFrames in braces; all other braces are doubled.
@@ -168,6 +176,8 @@ def truncated(pages: DataFrame, key: str = "page_id", text: str = "text") -> Dat
         rows[name] = spark.sql(sql, **used)
         if name == "t_open":  # read five times below, and no larger than one line for each text
             rows[name] = cut(rows[name], "endings")
+            bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * rows[name].count()).bit_length()))
+            values |= {f"{{bitmap:{x}}}": _BITMAP.replace("{words}", str(bits // 64)).replace("{view}", x) for x in ("t_contexts", "t_openings")} | {"{bits}": str(bits)}
     return rows["t_cut"].withColumnRenamed("_k", key)
 
 

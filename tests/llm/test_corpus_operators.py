@@ -265,6 +265,21 @@ def test_longest_part_against_brute_force():
         assert leakage._longest(steps) == want
 
 
+def test_an_item_retold_with_other_names_and_numbers(spark):
+    item = "A visitor paid 40 pounds for 3 maps in Ostrava on Monday, and the clerk in Ostrava kept 12 of the coins while the guard counted 7 lamps near the gate of the old mill before Tobias closed it at 9 in the evening for repairs."
+    other = item.replace("40", "85").replace("3 maps", "6 maps").replace("Ostrava", "Lisbon").replace("Monday", "Friday").replace("12", "31").replace("7", "5").replace("Tobias", "Edmund").replace("at 9", "at 4")
+    torn = item.replace("paid 40", "paid 85").replace("in Ostrava on", "in Lisbon on").replace("in Ostrava kept", "in Geneva kept").replace("3 maps", "6 maps").replace("12", "31").replace("7", "5").replace("Tobias", "Edmund")
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = {r.doc_id: r.kind for r in leakage.leaks(df([(0, PROSE + other), (1, PROSE * 9), (2, torn)], "doc_id long, text string"), df([(5, item)], "item_id long, item_text string")).collect()}
+    assert 0 in got and 1 not in got and got.get(2) != "template"
+
+
+def test_items_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "BLOCK_CHARS", 10)
+    other = ITEM.replace("levy", "toll").replace("seaweed", "timber")
+    assert leaked(spark, PROSE + ITEM, PROSE + "nothing", items=("x", ITEM, "y " * 30, other))[:1] == [(0, 1)]
+
+
 def test_reparameterised_items_are_told_apart(spark):
     d = spark.createDataFrame([(0, ITEM.replace("nine", "seven"))], "doc_id long, text string")
     it = spark.createDataFrame([(0, ITEM)], "item_id long, item_text string")
@@ -289,20 +304,35 @@ def targets(spark, *rows):
 
 def test_shares_and_caps(spark):
     docs = documents(spark, {"a": [20] * 300, "b": [20] * 100, "c": [20] * 5, "no target": [50] * 40})
-    chosen, report = mixing.mix(docs, targets(spark, ("a", 0.5, 1), ("b", 0.4, 3), ("c", 0.1, 4), ("missing", 0.0, 2)))
+    chosen, report = mixing.mix(docs, targets(spark, ("a", 0.5, 1), ("b", 0.4, 3), ("c", 0.1, 4), ("missing", 0.0, 2)), size="whole")
     r = {x.source: x for x in report.collect()}
     total = sum(x.available for x in r.values())
-    assert abs(r["a"].used_tokens - 0.5 * total) <= 21 and abs(r["b"].used_tokens - 0.4 * total) <= 21
+    assert abs(r["a"].used_tokens - 0.5 * total) <= 11 and abs(r["b"].used_tokens - 0.4 * total) <= 11
     assert r["c"].most_uses == 4 and r["c"].short and r["missing"].used_tokens == 0
     rows = chosen.collect()
     assert max(x.uses for x in rows if x.source == "c") == 4 and not any(x.source == "no target" for x in rows)
     assert sum(x.n_tokens * x.uses for x in rows) == sum(x.used_tokens for x in r.values())
 
 
-def test_exact_mix_and_nested_budgets(spark):
+def test_balanced_and_exact_mix(spark):
+    docs = documents(spark, {"a": [5, 9, 2] * 900, "b": [7, 3] * 900, "c": [4] * 100, "d": []})
+    t = targets(spark, ("a", 0.55, 1), ("b", 0.3, 3), ("c", 0.05, 1), ("d", 0.1, 2))
+    for size in ("exact", "balanced"):
+        r = {x.source: x for x in mixing.mix(docs, t, size=size)[1].collect()}
+        assert abs(r["a"].feasible_share - 0.55 / 0.9) < 1e-9 and r["d"].used_tokens == 0 and r["d"].short
+        assert all(abs(r[s].actual_share - r[s].feasible_share) <= mixing.TOLERANCE + 0.001 for s in "ab")
+        assert r["c"].used_tokens == r["c"].available
+    assert sum(x.used_tokens for x in mixing.mix(docs, t, size="exact")[1].collect()) < sum(x.used_tokens for x in mixing.mix(docs, t)[1].collect())
+
+
+def test_the_boundary_record_is_the_nearer_one(spark):
+    docs = documents(spark, {"a": [100] * 50})
+    got = [mixing.mix(docs, targets(spark, ("a", 1.0, 1)), total_tokens=n)[1].first().used_tokens for n in (40, 60, 240, 260)]
+    assert [round(x / got[1]) for x in got] == [0, 1, 2, 3]
+
+
+def test_nested_budgets(spark):
     docs, t = documents(spark, {"a": [10] * 400, "b": [10] * 40}), targets(spark, ("a", 0.6, 1), ("b", 0.4, 2))
-    report = {x.source: x for x in mixing.mix(docs, t, exact=True)[1].collect()}
-    assert abs(report["a"].actual_share - 0.6) < 0.02 and abs(report["b"].actual_share - 0.4) < 0.02
     small, large = ({x.doc_id for x in mixing.mix(docs, t, total_tokens=n)[0].where("source = 'a'").collect()} for n in (500, 2000))
     assert small < large
 
@@ -339,11 +369,11 @@ def prose(rnd):
 
 def test_spam_against_held_out_labels(spark):
     rnd = random.Random(8)
-    spam = ["cheap dentist near me best dentist London top dentist free quote dentist " * 12, "\n".join(f"http://x-{i}.example/cheap-dentist" for i in range(60)), "Tags: " + " ".join(f"#dentist{i}" for i in range(80)), "We keep a plain approach. " + ", ".join(f"dentist cheap Town{i}" for i in range(60))]
+    spam = ["cheap dentist near me best dentist London top dentist free quote dentist " * 12, "\n".join(f"http://x-{i}.example/cheap-dentist" for i in range(60)), "Tags: " + " ".join(f"#dentist{i}" for i in range(80)), "We keep a plain approach. " + ", ".join(f"dentist cheap Town{i}" for i in range(60)), "cheap shoes cheap shoes cheap boots cheap shoes", "#sale #shoes #boots #cheap #deal"]
     kept = [prose(rnd) + prose(rnd) + prose(rnd) + "\n\nSee also\nhttps://a.example/x\nhttps://b.example/y", prose(rnd) + "\nFees: £10, £20, £30.", None, "", "Hi there"]
     data = [prose(rnd) for _ in range(300)] + kept + spam
     df = spark.createDataFrame([(i, t, 1.0) for i, t in enumerate(data)], "doc_id long, text string, cost double")
     got = {r.doc_id for r in stuffing.scores(df).where("spam").select("doc_id").collect()}
-    assert got >= set(range(305, 309)) and not got & set(range(300, 305))
+    assert got >= set(range(305, 311)) and not got & set(range(300, 305))
     assert len(got & set(range(300))) <= 6
     assert stuffing.scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0

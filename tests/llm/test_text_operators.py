@@ -186,6 +186,8 @@ PERSONAL = [
     ("The file shows the passport number as ZW3732936; Mrs Yardewold countersigned it.", {"id_number": "ZW3732936", "name": "Yardewold"}),
     ("Company number 30451103. VAT no. GB 487 7951 40", {}),
     ("Order reference 1549-216-4508 covers the sample batch 433 756 2133.", {}),
+    ("Contact: Maria del Carmen Lopez Garcia, 3 May", {"name": "Maria del Carmen Lopez Garcia"}),
+    ("Posted by Johan van der Berg – Partner", {"name": "Johan van der Berg"}),
     ("Fenwick Vale Hall and the Market Trust met in Copper Vale.", {}),
 ]
 
@@ -201,12 +203,18 @@ def test_personal_data(spark):
 
 def test_redaction_keeps_the_rest(spark):
     df = texts(spark, *["Call us: (01632) 960 497 today.\nE-mail: a@b.example"] * 9, None, "", "x" * 100_000, "a" * 50_000 + "@")
-    out = personal.redact(df, personal.find(df)).orderBy("row_key").collect()
+    out = personal.redacted(df).orderBy("row_key").collect()
     assert out[0].text == "Call us: [PHONE] today.\nE-mail: [EMAIL]" and out[0].kind == "clash"
     assert out[9].text is None and out[10].text == "" and out[11].text == "x" * 100_000
     assert personal.find(texts(spark)).count() == 0
 
 
+def test_names_of_many_parts_leave_nothing_in_clear(spark):
+    df = texts(spark, *["Signed by Maria del Carmen Lopez Garcia and kept on file."] * 20, *["Ask for Dr Helena Brackshaw, please."] * 20)
+    out = {r.text for r in personal.redacted(df).collect()}
+    assert "Signed by [NAME] and kept on file." in out
+
+
 def test_reliabilities_tell_labelers_apart():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.4
