@@ -32,3 +32,24 @@ def quorum(votes: DataFrame, keys: list[str], family: str, anchor: str, vote: st
 def proved_absent(asked: DataFrame, rows: DataFrame, notes: DataFrame, keys: list[str]) -> DataFrame:
     """What was asked for, has no row, and has a note that nothing was found: a missing row alone proves nothing."""
     return asked.join(rows.select(*keys).distinct(), keys, "left_anti").join(notes.select(*keys).distinct(), keys, "left_semi")
+
+
+def closure(edges: DataFrame, child: str, parent: str, most_rounds: int = 16) -> DataFrame:
+    """``(child, ancestor, depth)`` of a vocabulary's edges, which must have no cycle; paths double in each round.
+
+    For tables of terms, which are small; a graph of rows needs ``components``.
+    """
+    paths = edges.select(F.col(child).alias("child"), F.col(parent).alias("ancestor"), F.lit(1).alias("depth"))
+    for _ in range(most_rounds):
+        longer = paths.alias("a").join(paths.alias("b"), F.col("a.ancestor") == F.col("b.child")).select("a.child", "b.ancestor", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
+        more = paths.unionByName(longer).distinct()
+        if more.count() == paths.count():
+            return paths
+        paths = edges.sparkSession.createDataFrame(more.collect(), "child string, ancestor string, depth int")
+    raise ValueError("the edges have a cycle")
+
+
+def verdict(label: Column, evidence: Column, disproof: Column, least: int) -> Column:
+    """``violation``, ``pass`` or ``needs_review``: a pass needs a disproof of some length that stands in the evidence word for word, case aside."""
+    proved = (F.length(F.trim(disproof)) >= least) & F.contains(F.lower(evidence), F.lower(F.trim(disproof)))
+    return F.when(label == "breach", "violation").when((label == "no_breach") & proved, "pass").otherwise("needs_review")

@@ -58,3 +58,17 @@ def host_suffix(df: DataFrame, host: str, suffixes: DataFrame, suffix: str) -> D
     hosts = df.select(host).where(F.col(host).isNotNull()).distinct()
     each = hosts.select(host, F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))).alias(suffix))
     return df.join(each.join(small(suffixes), suffix, "left_semi").select(host).distinct(), host, "left_semi")
+
+
+def quotes_in_pages(claims: DataFrame, pages: DataFrame, key: str, address: str, quote: str, text: str, least: int) -> DataFrame:
+    """``(key, code)`` of claimed quotes: joined with the stored pages by address, then looked for once white space and case are set aside.
+
+    Equal pages of one address are compared once; a quote below ``least`` characters proves nothing.
+    """
+    from quarrylight.functions.text import squeeze
+
+    stored = pages.select(F.col(address).alias("_a"), F.lower(squeeze(text)).alias("_t")).distinct()
+    asked = claims.select(key, F.col(address).alias("_a"), F.col(quote).alias("_q"), F.lower(squeeze(quote)).alias("_n"))
+    met = asked.join(stored, "_a", "left").groupBy(key, "_q").agg(F.count("_t").alias("_pages"), F.bool_or(F.contains("_t", F.col("_n"))).alias("_in"))
+    short = F.col("_q").isNull() | (F.length(F.trim("_q")) < least)
+    return met.select(key, F.when(short, "too short").when(F.col("_pages") == 0, "page not found").when(F.coalesce("_in", F.lit(False)), "verified").otherwise("quote not found").alias("code"))

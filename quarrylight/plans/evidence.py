@@ -66,12 +66,6 @@ def applicability_reasons(spark, sf):
     return _gated(spark, sf).groupBy("reason").agg(F.count("*").alias("pairs"))
 
 
-@query("""SELECT r.law_id FROM law_rules r WHERE NOT EXISTS (SELECT 1 FROM enforcement_actions a WHERE list_contains(a.law_ids, r.law_id) AND a.jurisdiction = r.jurisdiction)""")
-def displacement_anti(spark, sf):
-    used = table(spark, sf, "enforcement_actions").select("jurisdiction", F.explode("law_ids").alias("law_id")).distinct()
-    return table(spark, sf, "law_rules").select("law_id", "jurisdiction").join(used, ["law_id", "jurisdiction"], "left_anti").select("law_id")
-
-
 CELLS = (("dental", "UK", "served"), ("*", "UK", "planned"), ("care", "US", "served"), ("legal", "EU", "planned"))
 
 
@@ -187,12 +181,6 @@ def artifact_verify(spark, sf):
     return table(spark, sf, "enforcement_actions").select("row_id", F.coalesce(why, F.lit("ok")).alias("code"))
 
 
-@query("""SELECT event_id, CASE event_type WHEN 'purchase' THEN 'violation' WHEN 'view' THEN CASE WHEN contains(props, '"k": 1') THEN 'pass' ELSE 'needs_review' END ELSE 'needs_review' END AS state FROM events""")
-def verdict_parse(spark, sf):
-    e = F.col("event_type")
-    return table(spark, sf, "events").select("event_id", F.when(e == "purchase", "violation").when((e == "view") & F.col("props").contains('"k": 1'), "pass").otherwise("needs_review").alias("state"))
-
-
 @query("""SELECT o_custkey AS task, count(DISTINCT o_orderpriority) AS families, count(DISTINCT o_orderpriority) >= 3 AND bool_or(o_orderpriority = '1-URGENT') AND bool_and(o_orderstatus <> 'P') AS agreed FROM orders GROUP BY o_custkey""")
 def jury_quorum(spark, sf):
     votes = table(spark, sf, "orders").select(F.col("o_custkey").alias("task"), F.col("o_orderpriority").alias("family"), (F.col("o_orderpriority") == "1-URGENT").alias("anchor"), F.when(F.col("o_orderstatus") == "P", "veto").otherwise("breach").alias("vote"))

@@ -55,12 +55,12 @@ def stopword_density(spark, sf):
 
 @query(f"""WITH w AS (SELECT doc_id, lower(lang) AS tag, {_TOKENS} AS w FROM documents WHERE text IS NOT NULL),
 d AS (SELECT doc_id, tag, len(w) AS n, len(list_filter(w, lambda x: list_contains({_STOP}, x))) AS stops FROM w)
-SELECT doc_id, CASE WHEN n < 60 THEN 'undecided' WHEN stops * 100 >= n * 15 THEN 'en' WHEN stops * 100 <= n * 5 THEN coalesce(nullif(tag, 'en'), 'und') ELSE 'undecided' END AS language FROM d""")
+SELECT doc_id, CASE WHEN n < 60 THEN 'undecided' WHEN stops * 1000 >= n * 20 THEN 'en' WHEN stops * 1000 <= n * 5 THEN coalesce(nullif(tag, 'en'), 'und') ELSE 'undecided' END AS language FROM d""")
 def language_gate(spark, sf):
     w = table(spark, sf, "documents").where("text is not null").select("doc_id", F.lower("lang").alias("tag"), T.words("text").alias("w"))
     stop = F.array(*map(F.lit, T.STOPWORDS))
     d = w.select("doc_id", "tag", F.size("w").alias("n"), F.size(F.filter("w", lambda x: F.array_contains(stop, x))).alias("stops"))
-    language = F.when(F.col("n") < 60, "undecided").when(F.col("stops") * 100 >= F.col("n") * 15, "en").when(F.col("stops") * 100 <= F.col("n") * 5, F.coalesce(F.nullif(F.col("tag"), F.lit("en")), F.lit("und"))).otherwise("undecided")
+    language = F.when(F.col("n") < 60, "undecided").when(F.col("stops") * 1000 >= F.col("n") * 20, "en").when(F.col("stops") * 1000 <= F.col("n") * 5, F.coalesce(F.nullif(F.col("tag"), F.lit("en")), F.lit("und"))).otherwise("undecided")
     return d.select("doc_id", language.alias("language"))
 
 
@@ -146,13 +146,6 @@ def byte_boundary_map(spark, sf):
     return s.select("doc_id", "sent_idx", (F.col("_upto") - F.col("_size") - 1).alias("byte_start"), (F.col("_upto") - 1).alias("byte_end"), F.sha2("sentence", 256).alias("span_sha256"))
 
 
-@query("""WITH s AS (SELECT row_id, contains(summary, entity_name) AS named, contains(summary, source) AS sourced FROM enforcement_actions)
-SELECT row_id, CASE WHEN NOT named THEN 'name drifted' WHEN NOT sourced THEN 'source drifted' ELSE 'holds' END AS replay FROM s""")
-def replay_incidents(spark, sf):
-    named, sourced = F.col("summary").contains(F.col("entity_name")), F.col("summary").contains(F.col("source"))
-    return table(spark, sf, "enforcement_actions").select("row_id", F.when(~named, "name drifted").when(~sourced, "source drifted").otherwise("holds").alias("replay"))
-
-
 @query(r"""SELECT page_id, len(regexp_extract_all(lower(text), '(^|[^a-z0-9_])(fee|fees)([^a-z0-9_]|$)')) AS fees, regexp_matches(lower(text), '(fee|fees).{0,60}£') AS priced FROM site_pages WHERE text IS NOT NULL""")
 def near_word(spark, sf):
     low = F.lower("text")
