@@ -50,14 +50,14 @@ _SQL = {
     # The ending of each text: its last line, and the words of it before any mark for omitted text.
     "t_finals": r"""
         SELECT _k, _line, _marked, _w, size(_w) AS _m, coalesce(get(_w, size(_w) - 1), '') AS _word
-        FROM (SELECT _k, _line, _marked, {words:IF(_marked, regexp_replace(_line, '{omission}', ''), _line)} AS _w
+        FROM (SELECT _k, _line, _marked, {words:trim(IF(_marked, regexp_replace(_line, '{omission}', ''), _line))} AS _w
               FROM (SELECT _k, _line, _line RLIKE '{omission}' AS _marked
                     FROM (SELECT _k, {clean:substring_index(_t, '\n', -1)} AS _line FROM t_texts WHERE _t <> '')))""",
     "t_open": r"""
         SELECT *, NOT (_closed OR _prose AND _m >= {long}) AS _asks,
                IF(_closed OR _prose AND _m >= {long}, NULL, xxhash64({form})) AS _f,
                IF(_closed OR _prose AND _m >= {long}, NULL, {opening}) AS _g
-        FROM (SELECT _k, _marked, _m, _line,
+        FROM (SELECT _k, _marked, _m, _line, {bare} AS _bare,
                      xxhash64(coalesce(lower(get(_w, _m - 3)), '<s>'), coalesce(lower(get(_w, _m - 2)), '<s>')) AS _c,
                      lower(trim(TRAILING '{strip}' FROM _word)) AS _x,
                      right(_word, 1) IN ({closers}) AND NOT (_marked AND right(_word, 1) = ')') AS _closed,
@@ -100,7 +100,9 @@ _SQL = {
     "t_forms": r"""
         SELECT _f, sum(_inside) AS _inside, count(*) AS _lines
         FROM (SELECT xxhash64({form}) AS _f, 1L AS _inside
-              FROM (SELECT _line, {opening} AS _g FROM (SELECT {clean:_line} AS _line FROM t_lines WHERE NOT _final))
+              -- Generated columns are computed once; the filter would have them again for each place it names them.
+              FROM (SELECT _line AS _raw FROM t_lines WHERE NOT _final) LATERAL VIEW inline(array(named_struct('_line', {clean:_raw}))) AS _line
+                   LATERAL VIEW inline(array(named_struct('_bare', {bare}))) AS _bare LATERAL VIEW inline(array(named_struct('_g', {opening}))) AS _g
               WHERE bit_get((SELECT _bits FROM t_openingbits)[CAST(pmod(_g, {bits}) DIV 64 AS INT)], CAST(pmod(_g, {bits}) % 64 AS INT)) = 1
               UNION ALL SELECT _f, 0L AS _inside FROM t_open WHERE _asks)
         GROUP BY _f""",
@@ -132,14 +134,21 @@ _BITMAP = r"""
                (SELECT _p DIV 64 AS _i, bit_or(shiftleft(1L, CAST(_p % 64 AS INT))) AS _v FROM {view} GROUP BY _p DIV 64) g
           ON r.id = g._i)"""
 
-#: What lines of one form share, at little cost: a first word of letters, and a second one in lower case; a counter at the end is no word.
-_OPENING = r"xxhash64(IF(split_part(_bare, ' ', 1) RLIKE '^\\p{L}+$' AND split_part(_bare, ' ', 1) <> 'E', split_part(_bare, ' ', 1), ''), IF(split_part(_bare, ' ', 2) RLIKE '^\\p{Ll}+$', split_part(_bare, ' ', 2), ''))".replace("_bare", r"IF(right(_line, 1) = ')', regexp_replace(_line, '(?<! ) *+\\(\\d+\\)$', ''), _line)")
+#: What lines of one form share, at little cost: the number of blanks, a first word of letters, and a second and last one in
+#: lower case; forms leave these as they are, once the counter at the end is gone.
+_OPENING = (
+    r"xxhash64(octet_length(_bare) - octet_length(replace(_bare, ' ', '')), IF(substring_index(_bare, ' ', 1) RLIKE '^\\p{L}+$' AND substring_index(_bare, ' ', 1) <> 'E', substring_index(_bare, ' ', 1), ''), "
+    r"IF(instr(_bare, ' ') > 0 AND substring_index(substring_index(_bare, ' ', 2), ' ', -1) RLIKE '^\\p{Ll}+$', substring_index(substring_index(_bare, ' ', 2), ' ', -1), ''), "
+    r"IF(instr(_bare, ' ') > 0 AND substring_index(_bare, ' ', -1) RLIKE '^\\p{Ll}+$', substring_index(_bare, ' ', -1), ''))"
+)
+_BARE = r"IF(right(_line, 1) = ')', regexp_replace(_line, '(?<! ) *+\\(\\d+\\)$', ''), _line)"
 
 #: One rule for cleaning and splitting a line, inside texts and at their ends.
-_RULES = ((re.compile(r"\{clean:([^{}]*)\}"), lambda m: f"trim(replace({m[1]}, '\u00a0', ' '))"), (re.compile(r"\{words:((?:[^{}]|\{omission\})*)\}"), lambda m: f"split(trim(replace({m[1]}, '  ', ' ')), ' ')"))
+_RULES = ((re.compile(r"\{clean:([^{}]*)\}"), lambda m: f"trim(replace({m[1]}, '\u00a0', ' '))"), (re.compile(r"\{words:((?:[^{}]|\{omission\})*)\}"), lambda m: f"split(replace({m[1]}, '  ', ' '), ' ')"))
 
 _VALUES = {
     "{opening}": _OPENING,
+    "{bare}": _BARE,
     "{omission}": OMISSION,
     "{form}": _FORM,
     "{strip}": r".,;:!?)”\"»›…\'’",
