@@ -43,3 +43,8 @@ def span_hash(text: Column, start: Column, end: Column) -> Column:
 def content_key(*columns: Column) -> Column:
     """A key by content: nulls count, order of columns counts."""
     return F.substring(F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256), 1, 16)
+
+
+def canonical(*columns: Column | str) -> Column:
+    """Fields in one order, parted by bars, nulls written as a tilde."""
+    return F.concat_ws("|", *(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("~")) for c in columns))

@@ -27,13 +27,26 @@ def token_hits(texts: DataFrame, key: str, tokens: str, patterns: DataFrame, pat
 
 
 def best_name(queries: DataFrame, query_key: str, candidates: DataFrame, candidate_key: str, tokens: str, least: float) -> DataFrame:
-    """For each query the candidate of the highest token Jaccard, ties to the lower key; both sides have arrays of distinct tokens."""
-    q = queries.select(query_key, F.size(tokens).alias("_nq"), F.explode(tokens).alias("_t"))
-    c = candidates.select(candidate_key, F.size(tokens).alias("_nc"), F.explode(tokens).alias("_t"))
-    shared = q.join(c, "_t").groupBy(query_key, candidate_key, "_nq", "_nc").agg(F.count("*").alias("shared"))
-    scored = shared.withColumn("score", F.col("shared") / (F.col("_nq") + F.col("_nc") - F.col("shared"))).where(F.col("score") >= least)
-    w = Window.partitionBy(query_key).orderBy(F.desc("score"), candidate_key)
-    return scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(query_key, candidate_key, "score")
+    """For each query the candidate of the highest token Jaccard, ties to the lower key; both sides have arrays of distinct tokens.
+
+    Pairs meet by their rarest tokens only: a pair of at least ``least`` shares
+    one of the first ``n - ceil(least * n) + 1`` of each side's n tokens, when
+    tokens are ordered by how few candidates have them.  So words that all
+    names have bring nobody together.  With ``least`` of zero every shared
+    token counts.
+    """
+    q, c = queries.select(query_key, F.col(tokens).alias("_q")), candidates.select(candidate_key, F.col(tokens).alias("_c"))
+    rarity = c.select(F.explode("_c").alias("_t")).groupBy("_t").agg(F.count("*").alias("_f"))
+
+    def prefixes(df: DataFrame, key: str, words: str) -> DataFrame:
+        each = df.select(key, F.size(words).alias("_n"), F.explode(words).alias("_t")).join(rarity, "_t", "left")
+        w = Window.partitionBy(key).orderBy(F.coalesce("_f", F.lit(0)), "_t")
+        return each.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= F.col("_n") - F.ceil(F.lit(float(least)) * F.col("_n") - 1e-9) + F.lit(1 if least > 0 else 0)).select(key, "_t")
+
+    met = prefixes(q, query_key, "_q").join(prefixes(c, candidate_key, "_c"), "_t").select(query_key, candidate_key).distinct().join(q, query_key).join(c, candidate_key)
+    shared = F.size(F.array_intersect("_q", "_c"))
+    scored = met.withColumn("score", shared / (F.size("_q") + F.size("_c") - shared)).where(F.col("score") >= least)
+    return scored.groupBy(query_key).agg(F.min_by(F.struct(candidate_key, "score"), F.struct(-F.col("score"), F.col(candidate_key))).alias("_b")).select(query_key, "_b.*")
 
 
 def longest_prefix(df: DataFrame, column: str, prefixes: DataFrame, prefix: str, value: str, most: int) -> DataFrame:

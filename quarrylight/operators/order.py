@@ -23,10 +23,15 @@ def capped(df: DataFrame, keys: list[str], order: list[Column], cap: int) -> Dat
 
 
 def within_budget(df: DataFrame, keys: list[str], order: list[Column], size: Column, most_rows: int, most_size: int) -> DataFrame:
-    """Rows before the first that would exceed the rows or the total size; what follows it is left out even if small."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    over = (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) > most_rows) | (F.sum(size).over(w) > most_size)
-    return df.withColumn("_over", over.cast("int")).withColumn("_ever", F.max("_over").over(w)).where("_ever = 0").drop("_over", "_ever")
+    """Rows before the first that would exceed the rows or the total size; what follows it is left out even if small.
+
+    Only a key's first ``most_rows`` can matter, and a rank below a limit is
+    found before the shuffle, so a key may hold any number of rows.
+    """
+    few = df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= most_rows)
+    w = Window.partitionBy(*keys).orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
+    # Sizes are not negative: once over, the running total stays over.
+    return few.withColumn("_total", F.sum(size).over(w)).where(F.col("_total") <= most_size).drop("_n", "_total")
 
 
 def merged(df: DataFrame, keys: list[str], start: str, end: str, gap: float = 0) -> DataFrame:
@@ -37,12 +42,22 @@ def merged(df: DataFrame, keys: list[str], start: str, end: str, gap: float = 0)
     return numbered.groupBy(*keys, "_i").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("parts")).drop("_i")
 
 
-def islands(df: DataFrame, keys: list[str], start: str, end: str, reach: int) -> DataFrame:
-    """Rows with ``cluster``: 1, 2, ... for groups of intervals that touch within ``reach``."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    marked = df.withColumn("_b", F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+def islands(df: DataFrame, keys: list[str], start: str, end: str, reach: int, width: int = 4096) -> DataFrame:
+    """Rows with ``cluster``: 1, 2, ... for groups of intervals that touch within ``reach``.
+
+    A key may hold most rows: it is cut into ranges of ``start``, and what the
+    ranges before reach to, and how many clusters they began, is carried over
+    by a table with a row for each range.
+    """
+    parted = df.withColumn("_r", F.floor(F.col(start) / width))
+    before = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    reached = parted.groupBy(*keys, "_r").agg(F.max(end).alias("_e")).withColumn("_far", F.max("_e").over(before)).drop("_e")
+    inner = Window.partitionBy(*keys, "_r").orderBy(start, end)
+    marked = parted.join(reached, [*keys, "_r"]).withColumn("_b", F.greatest("_far", F.max(end).over(inner.rowsBetween(Window.unboundedPreceding, -1))))
     marked = marked.withColumn("_new", F.when(F.col("_b").isNull() | (F.col(start) - reach > F.col("_b")), 1).otherwise(0))
-    return marked.withColumn("cluster", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_b", "_new")
+    begun = marked.groupBy(*keys, "_r").agg(F.sum("_new").alias("_s")).withColumn("_o", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
+    own = F.sum("_new").over(inner.rowsBetween(Window.unboundedPreceding, 0))
+    return marked.withColumn("_own", own).join(begun, [*keys, "_r"]).withColumn("cluster", F.col("_own") + F.col("_o")).drop("_r", "_far", "_b", "_new", "_own", "_o")
 
 
 def latest(df: DataFrame, keys: list[str], order: Column, *values: str) -> DataFrame:

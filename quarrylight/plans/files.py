@@ -2,39 +2,35 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import functions as F
 
 from quarrylight.plans.registry import query
-from quarrylight.runtime import shared_dir
+from quarrylight.runtime import place
 from quarrylight.sources import files
 from quarrylight.sources.tables import table
 
 
-def _place(spark) -> str:
-    return os.path.join(shared_dir(spark), f"files-{uuid.uuid4().hex}")
-
-
 @query("SELECT row_id, id, penalty_amount FROM enforcement_actions WHERE offending_quote IS NOT NULL")
 def ndjson_roundtrip(spark, sf):
-    path = _place(spark)
+    path = place(spark, "files")
     files.append_ndjson(table(spark, sf, "enforcement_actions").select("row_id", "id", "penalty_amount", "offending_quote"), path)
     return files.ndjson(spark, path, "row_id long, id string, penalty_amount double, offending_quote string", "id", "offending_quote")[0].select("row_id", "id", "penalty_amount")
 
 
-@query("SELECT count(*) AS rejected, count(DISTINCT 'missing: offending_quote') AS reasons FROM enforcement_actions WHERE offending_quote IS NULL")
+@query("""SELECT problem, count(*) AS rejected FROM (SELECT CASE WHEN offending_quote IS NULL AND sha256 IS NULL THEN 'missing: offending_quote, sha256' WHEN offending_quote IS NULL THEN 'missing: offending_quote' ELSE 'missing: sha256' END AS problem FROM enforcement_actions WHERE offending_quote IS NULL OR sha256 IS NULL)
+GROUP BY problem UNION ALL SELECT 'not JSON', 2""")
 def ndjson_rejects(spark, sf):
-    path = _place(spark)
-    files.append_ndjson(table(spark, sf, "enforcement_actions").select("row_id", "id", "offending_quote"), path)
-    bad = files.ndjson(spark, path, "row_id long, id string, offending_quote string", "id", "offending_quote")[1]
-    return bad.agg(F.count("*").alias("rejected"), F.count_distinct("problem").alias("reasons"))
+    """Lines of a store that are broken or lack a field, counted by what is wrong."""
+    path = place(spark, "files")
+    files.append_ndjson(table(spark, sf, "enforcement_actions").select("row_id", "id", "offending_quote", "sha256"), path)
+    spark.createDataFrame([("{broken",), ("no line of JSON",)], "value string").write.mode("append").text(path)
+    bad = files.ndjson(spark, path, "row_id long, id string, offending_quote string, sha256 string", "id", "offending_quote", "sha256")[1]
+    return bad.groupBy("problem").agg(F.count("*").alias("rejected"))
 
 
 @query("SELECT DISTINCT domain AS url FROM site_bundles")
 def url_list_scan(spark, sf):
-    path = _place(spark)
+    path = place(spark, "files")
     hosts = table(spark, sf, "site_bundles").select("domain").distinct()
     hosts.select(F.concat(F.lit("  "), "domain").alias("value")).unionByName(spark.createDataFrame([("# a comment",), ("",)], "value string")).write.text(path)
     return files.url_list(spark, path)

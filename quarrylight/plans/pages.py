@@ -11,13 +11,17 @@ from quarrylight.operators import order, rollup
 from quarrylight.plans.registry import query
 from quarrylight.sources.tables import table
 
-_HTML = "concat('<html lang=\"en\"><head><title>', coalesce(title, ''), '</title><script>var a = \"</p>\";</script></head><body><nav><a href=\"', url, '\">Up</a></nav><!-- no --><p>', replace(coalesce(title, ''), '&', '&amp;'), '</p><a href=\"/next\">N</a><script>x(')"
+_HTML = (
+    "concat('<html', CASE WHEN page_idx % 5 = 4 THEN '' ELSE ' lang=\"en\"' END, '><head><title>', coalesce(title, ''), '</title><script>var a = \"</p>\";</script>', CASE WHEN page_idx % 2 = 0 THEN '<meta name=\"description\" content=\"x\">' ELSE '' END, "
+    "'</head><body><nav><a href=\"', url, '\">Up</a></nav><!-- no --><h1>', replace(coalesce(title, ''), '&', '&amp;'), '</h1><img src=\"a.png\"', CASE WHEN page_idx % 3 = 0 THEN '' ELSE ' alt=\"a\"' END, '><p>', replace(replace(coalesce(text, ''), '&', '&amp;'), chr(10), '</p><p>'), "
+    "'</p><footer>&copy; ', domain, ' <a href=\"/privacy\">Privacy</a></footer><a href=\"/next\">N</a><script>x(')"
+)
 #: Paths of pages by class, first match wins.
 PAGE_CLASSES = (("home", "^/$"), ("services", "(^|/)services(/|$)"), ("guide", "(^|/)guide(/|$)"), ("news", "(^|/)(news|blog)(/|$)"), ("about", "(^|/)about(/|$)"))
 
 
 def _html(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages with markup around their titles; the last script is never closed."""
+    """Whole pages with markup around their titles and texts; the last script is never closed."""
     return table(spark, sf, "site_pages").select("page_id", F.expr(_HTML).alias("html"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
-from quarrylight.operators import gates, match, order
+from quarrylight.operators import gates, match
 from quarrylight.plans.registry import query
 from quarrylight.plans.texts import _SENTENCES, _STOP, _TOKENS, _has, _sentences
 from quarrylight.sources.tables import table

@@ -24,6 +24,45 @@ def append_ndjson(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def rewrite_ndjson(df: DataFrame, path: str) -> None:
+    """Replace a store as a whole; the committer's rename makes it appear at once.  It must not be the path that ``df`` reads."""
+    df.write.mode("overwrite").json(path)
+
+
+def append_log(df: DataFrame, path: str, stage: str) -> None:
+    df.write.mode("append").partitionBy(stage).parquet(path)
+
+
+def log_of_stage(spark: SparkSession, path: str, schema: str, stage: str, wanted: str) -> DataFrame:
+    """Entries of one stage of a run log; the other stages' folders are not opened."""
+    return spark.read.schema(schema).parquet(path).where(F.col(stage) == wanted)
+
+
+def records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """``(schema.., shape, problem)`` of catalogues, a line each: a bare list, or an object with ``records``; a broken one is one row with its problem."""
+    raw = spark.read.text(path).where(F.trim("value") != "")
+    fields = ", ".join(f"{n}: {t}" for n, t in (x.split() for x in schema.split(", ")))
+    # A reader of lists takes an object for a list of one, so the first sign tells them apart.
+    bare = F.startswith(F.ltrim("value"), F.lit("["))
+    rows = F.when(bare, F.from_json("value", f"array<struct<{fields}>>")).otherwise(F.from_json("value", f"struct<records: array<struct<{fields}>>>").getField("records"))
+    shape = F.when(rows.isNull(), "broken").when(bare, "list").otherwise("wrapped")
+    return raw.select(F.explode_outer(rows).alias("r"), shape.alias("shape"), F.when(rows.isNull(), "not JSON").alias("problem")).select("r.*", "shape", "problem")
+
+
+def put_objects(df: DataFrame, path: str, folder: str, *content: str) -> None:
+    """Write each row under the key of its content; what is there already is not written again."""
+    new = sealed(df, folder, *content).dropDuplicates(["object_key"])
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        new = new.join(objects(spark, path, "object_key string").select("object_key"), "object_key", "left_anti").select(*new.columns)
+    new.write.mode("append").partitionBy(folder).parquet(path)
+
+
+def objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)
+
+
 def url_list(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a list without blanks and comments."""
     return spark.read.text(path).select(F.trim("value").alias("url")).where("url <> '' and not startswith(url, '#')")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quarrylight.runtime import shared_dir
+from quarrylight.runtime import place
 
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -52,7 +50,7 @@ def latest_state(events: DataFrame) -> DataFrame:
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over what is there and return its output; each batch goes to the shared folder."""
     spark = stream.sparkSession
-    base = os.path.join(shared_dir(spark), f"stream-{uuid.uuid4().hex}")
+    base = place(spark, "stream")
     write = lambda df, i: df.write.mode("overwrite").parquet(f"{base}/out/batch={i}")
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
