@@ -307,10 +307,11 @@ def entities(names: DataFrame) -> DataFrame:
     batch_rows(names.sparkSession, 5000)
     spark = names.sparkSession
     # Little to read but much to compute: the tasks are not left to their sizes in bytes.
-    distinct = names.select("name").where("name is not null").distinct().repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "name")
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    distinct = names.select("name").where("name is not null").distinct().repartition(tasks)
     parsed = cut(distinct.mapInArrow(_parse_batches, "name string, kind string, core string, other string, trade string, legal string, given string"), "names")
     key = F.xxhash64("kind", "core", "other", "trade")
-    cores = cut(parsed.select(key.alias("id"), "kind", "core", "other", "trade").distinct(), "cores")
+    cores = cut(parsed.select(key.alias("id"), "kind", "core", "other", "trade").distinct().repartition(tasks), "cores")
     found = balls(cores, links(cores))
     whole = parsed.withColumn("id", key).join(found, "id", "left").withColumn("entity", F.coalesce("component", "id"))
     # Initials and shared short forms take the one full given name of their component that they fit.
