@@ -170,7 +170,41 @@ often AS (
   SELECT domain, n FROM keyed WHERE n <> '' GROUP BY domain, n HAVING count(DISTINCT url) >= 10)
 """
 
+_OMITTED = r"[\s\x{00a0}]*(?:\.\.\.|…|\[\s*(?:\.\.\.|…|cut|truncated|more)?\s*\]?|\((?:\.\.\.|…|cut|truncated|more)\)?)[\s\x{00a0}]*$"
+_FORM = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(cl, ' *\(\d+\)$', ''), '(^| )[^ ]+@[^ ]+', '\1E', 'g'), '[\p{L}\p{N}]*\p{N}[\p{L}\p{N}]*', '9', 'g'), '([^\p{L}\p{N}_])\p{Lu}[\p{L}''’]*', '\1C', 'g')"
+_STRIP = "'.,;:!?)”\"»›…''’'"
+_CLOSERS = "('.', '!', '?', '»', '”', '\"', '›', ')', '|', '…')"
+_CLEAN = "trim(replace({0}, chr(160), ' '))"
+
+_P2_CUT = rf"""
+texts AS (SELECT page_id AS k, string_split(rtrim(text, ' ' || chr(10) || chr(9) || chr(13) || chr(160)), chr(10)) AS l FROM site_pages WHERE text IS NOT NULL),
+lasts AS (SELECT k, {_CLEAN.format('l[len(l)]')} AS cl FROM texts WHERE array_to_string(l, '') <> ''),
+marks AS (SELECT k, cl, regexp_matches(cl, '{_OMITTED}') AS marked FROM lasts),
+finals AS (SELECT k, cl, marked, string_split(replace(trim(CASE WHEN marked THEN regexp_replace(cl, '{_OMITTED}', '') ELSE cl END), '  ', ' '), ' ') AS w FROM marks),
+ends_ AS (SELECT k, cl, marked, len(w) AS m, CASE WHEN len(w) >= 3 THEN lower(w[len(w) - 2]) ELSE '<s>' END AS c1, CASE WHEN len(w) >= 2 THEN lower(w[len(w) - 1]) ELSE '<s>' END AS c2, coalesce(w[len(w)], '') AS word FROM finals),
+open_ AS (SELECT k, cl, marked, m, c1, c2, lower(rtrim(word, {_STRIP})) AS x, right(word, 1) IN {_CLOSERS} AND NOT (marked AND right(word, 1) = ')') AS closed, regexp_matches(cl, '[.!?] \p{{Lu}}') AS prose FROM ends_),
+asked AS (SELECT DISTINCT c1, c2, x FROM open_ WHERE NOT closed AND x <> ''),
+every AS (SELECT unnest(l) AS line, generate_subscripts(l, 1) = len(l) AS final FROM texts),
+worded AS (SELECT final, string_split(replace(lower({_CLEAN.format('line')}), '  ', ' '), ' ') AS w FROM every WHERE line <> ''),
+placed AS (SELECT final, w, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM worded),
+trigrams AS (SELECT CASE WHEN j >= 3 THEN w[j - 2] ELSE '<s>' END AS c1, CASE WHEN j >= 2 THEN w[j - 1] ELSE '<s>' END AS c2, word, w[j + 1] AS nxt FROM placed WHERE NOT (final AND w[j + 1] IS NULL)),
+counted AS (SELECT c1, c2, rtrim(word, {_STRIP}) AS x, nxt IS NULL AND right(word, 1) = '…' AS trails, right(word, 1) IN {_CLOSERS} OR nxt IS NULL OR nxt = '' OR left(nxt, 1) IN ('|', '•', '·', '–', '-', '>', '(') AS stops FROM trigrams SEMI JOIN (SELECT DISTINCT c1, c2 FROM asked) USING (c1, c2)),
+counts AS (SELECT c1, c2, x, count(*) FILTER (WHERE NOT stops) AS inner_, count(*) FILTER (WHERE stops) AS outer_, count(*) FILTER (WHERE trails) AS trails FROM counted WHERE x <> '' GROUP BY ALL),
+known AS (SELECT a.c1, a.c2, a.x, coalesce(sum(inner_) FILTER (WHERE c.x = a.x), 0) AS inner_, coalesce(sum(outer_) FILTER (WHERE c.x = a.x), 0) AS outer_, coalesce(sum(trails) FILTER (WHERE c.x = a.x), 0) AS trails, coalesce(sum(inner_ + outer_) FILTER (WHERE c.x <> a.x), 0) AS longer_
+  FROM asked a JOIN counts c ON a.c1 = c.c1 AND a.c2 = c.c2 AND starts_with(c.x, a.x) GROUP BY ALL),
+asks AS (SELECT *, {_FORM} AS f FROM open_ WHERE NOT (closed OR prose AND m >= {2 * truncation.PROSE_WORDS})),
+insides AS (SELECT {_FORM} AS f FROM (SELECT {_CLEAN.format('line')} AS cl FROM every WHERE line <> '' AND NOT final)),
+forms AS (SELECT f, sum(inside) AS inside, count(*) AS lines FROM (SELECT f, 1 AS inside FROM insides UNION ALL SELECT f, 0 FROM asks) GROUP BY f),
+judged AS (SELECT o.k, o.closed, o.marked, o.m, o.prose, a.f, coalesce(n.inner_, 0) AS i, coalesce(n.outer_, 0) AS o, coalesce(n.longer_, 0) AS l, coalesce(n.trails, 0) AS t FROM open_ o LEFT JOIN asks a ON a.k = o.k LEFT JOIN known n ON n.c1 = o.c1 AND n.c2 = o.c2 AND n.x = o.x),
+cut_ AS (SELECT j.k, CASE WHEN closed THEN false WHEN i + o = 0 AND l >= {truncation.MIN_SEEN} THEN true WHEN o = 0 AND i + l >= {truncation.SURE_SEEN} THEN true WHEN inside > 0 AND NOT marked OR lines >= {truncation.LABEL_LINES} AND m <= {truncation.LABEL_WORDS} THEN false
+  WHEN marked THEN t < {truncation.MIN_SEEN} WHEN m >= {truncation.PROSE_WORDS} AND prose THEN true WHEN i + l + o >= {truncation.MIN_SEEN} THEN o <= {truncation.MAX_TERMINAL} * (i + l + o) ELSE m >= {truncation.PROSE_WORDS} END AS truncated FROM judged j LEFT JOIN forms USING (f))
+"""
+
 ORACLE = {
+    "p2_found": f"WITH {_P2_CUT} SELECT k AS page_id FROM cut_ WHERE truncated",
+    "p2_rates": f"""WITH {_P2_CUT} SELECT b.snapshot_source, count(*) AS pages, count(*) FILTER (WHERE t.truncated) AS truncated_pages, count(*) FILTER (WHERE t.truncated) / count(*) AS rate,
+  count(*) FILTER (WHERE t.truncated AND b.truncated) AS declared_too, count(*) FILTER (WHERE t.truncated AND b.truncated IS NULL) AS undeclared
+FROM site_pages p JOIN site_bundles b USING (bundle_id) JOIN cut_ t ON t.k = p.page_id GROUP BY b.snapshot_source""",
     "p6_found": f"WITH {_P6_LINES} SELECT page_id, line_no FROM keyed JOIN often USING (domain, n)",
     "p6_clean": f"""WITH {_P6_LINES},
 kept AS (

@@ -65,8 +65,8 @@ _SQL = {
               FROM t_finals)""",
     # A last word may be a fragment: its first letters are part of the key that it shares with longer words.
     "t_asked": r"""SELECT DISTINCT _c, _x, left(_x, {head}) AS _h FROM t_open WHERE NOT _closed AND _x <> ''""",
-    "t_contexts": r"""SELECT pmod(_c, {bits}) AS _p FROM t_open WHERE NOT _closed""",
-    "t_openings": r"""SELECT pmod(_g, {bits}) AS _p FROM t_open WHERE _asks""",
+    "t_contexts": r"""SELECT _c & {mask} AS _p FROM t_open WHERE NOT _closed""",
+    "t_openings": r"""SELECT _g & {mask} AS _p FROM t_open WHERE _asks""",
     # One bit for each asked value: an array of fixed length.
     "t_contextbits": r"""{bitmap:t_contexts}""",
     "t_openingbits": r"""{bitmap:t_openings}""",
@@ -79,7 +79,7 @@ _SQL = {
         SELECT _c, _word, get(_w, _j + 1) AS _next
         FROM (SELECT xxhash64(coalesce(get(_w, _j - 2), '<s>'), coalesce(get(_w, _j - 1), '<s>')) AS _c, _word, _j, _w, _final
               FROM (SELECT {words:lower({clean:_line})} AS _w, _final FROM t_lines) LATERAL VIEW posexplode(_w) AS _j, _word)
-        WHERE bit_get((SELECT _bits FROM t_contextbits)[CAST(pmod(_c, {bits}) DIV 64 AS INT)], CAST(pmod(_c, {bits}) % 64 AS INT)) = 1
+        WHERE bit_get((SELECT _bits FROM t_contextbits)[CAST(shiftright(_c & {mask}, 6) AS INT)], CAST(_c & 63L AS INT)) = 1
               AND NOT (_final AND get(_w, _j + 1) IS NULL)""",
     # Third word, and whether the sentence or label ends with it; bars and bullets part labels.
     "t_counts": r"""
@@ -103,7 +103,7 @@ _SQL = {
               -- Generated columns are computed once; the filter would have them again for each place it names them.
               FROM (SELECT _line AS _raw FROM t_lines WHERE NOT _final) LATERAL VIEW inline(array(named_struct('_line', {clean:_raw}))) AS _line
                    LATERAL VIEW inline(array(named_struct('_bare', {bare}))) AS _bare LATERAL VIEW inline(array(named_struct('_g', {opening}))) AS _g
-              WHERE bit_get((SELECT _bits FROM t_openingbits)[CAST(pmod(_g, {bits}) DIV 64 AS INT)], CAST(pmod(_g, {bits}) % 64 AS INT)) = 1
+              WHERE bit_get((SELECT _bits FROM t_openingbits)[CAST(shiftright(_g & {mask}, 6) AS INT)], CAST(_g & 63L AS INT)) = 1
               UNION ALL SELECT _f, 0L AS _inside FROM t_open WHERE _asks)
         GROUP BY _f""",
     "t_judged": r"""
@@ -186,7 +186,7 @@ def truncated(pages: DataFrame, key: str = "page_id", text: str = "text") -> Dat
         if name == "t_open":  # read five times below, and no larger than one line for each text
             rows[name] = cut(rows[name], "endings")
             bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * rows[name].count()).bit_length()))
-            values |= {f"{{bitmap:{x}}}": _BITMAP.replace("{words}", str(bits // 64)).replace("{view}", x) for x in ("t_contexts", "t_openings")} | {"{bits}": str(bits)}
+            values |= {f"{{bitmap:{x}}}": _BITMAP.replace("{words}", str(bits // 64)).replace("{view}", x) for x in ("t_contexts", "t_openings")} | {"{mask}": f"{bits - 1}L"}
     return rows["t_cut"].withColumnRenamed("_k", key)
 
 
