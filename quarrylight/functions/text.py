@@ -108,8 +108,3 @@ def holds_number(c: Column | str, n: Column) -> Column:
     """Whether a number stands in the text as a whole token."""
     padded = F.concat(F.lit(" "), F.regexp_replace(c, "[^0-9]+", " "), F.lit(" "))
     return F.instr(padded, F.concat(F.lit(" "), n.cast("string"), F.lit(" "))) > 0
-
-
-def text_jaccard(a: Column, b: Column) -> Column:
-    """Shared words over all words of two word arrays; null if both are empty."""
-    return F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))

@@ -20,13 +20,6 @@ def winner(scores: DataFrame, keys: list[str], label: str, score: str, least: fl
     return top.withColumn(label, F.when(sure, F.col(label)))
 
 
-def dominant(df: DataFrame, keys: list[str], label: str, amount: str) -> DataFrame:
-    """The label with the largest total of each key, ties to the lower label, and that total."""
-    sums = df.groupBy(*keys, label).agg(F.sum(amount).alias("total"))
-    w = Window.partitionBy(*keys).orderBy(F.desc("total"), label)
-    return sums.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-
-
 def worst(df: DataFrame, keys: list[str], state: str, ranks: list[str]) -> DataFrame:
     """The last-listed state that occurs."""
     rank = F.array_position(F.array(*map(F.lit, ranks)), F.col(state))

@@ -76,21 +76,25 @@ def upsert_latest(spark, sf):
     return o.select("o_custkey", "o_orderkey", "o_totalprice")
 
 
-@query()
+@query("""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
 def stream_tumbling(spark, sf):
     from quarrylight.streaming import events as S
 
-    return S.drained(S.tumbling(S.source(spark, sf), "1 hour", "2 hours"), "append")
+    w = S.drained(S.tumbling(S.source(spark, sf), "1 hour", "2 hours"), "complete")
+    return w.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query()
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, session""")
 def stream_sessions(spark, sf):
     from quarrylight.streaming import events as S
 
-    return S.drained(S.sessions(S.source(spark, sf), "6 hours", "2 hours"), "append")
+    w = S.drained(S.sessions(S.source(spark, sf), "6 hours", "2 hours"), "complete")
+    return w.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
-@query()
+@query("SELECT user_id, max(event_id) AS last_id, max_by(event_type, event_id) AS last_event, count(*) AS events FROM events GROUP BY user_id")
 def stream_latest_state(spark, sf):
     from quarrylight.streaming import events as S
 

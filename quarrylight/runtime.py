@@ -54,9 +54,14 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(hadoop).delete(path, True)
 
 
-def batch_rows(spark: SparkSession, rows: int) -> None:
-    """Bound the rows of one Arrow batch, which bounds a Python worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Rows and bytes of one Arrow batch, for every operator, so that no plan depends on which was built last.
+BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the rows and bytes of Arrow batches, which bounds a Python worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def ship(module) -> None:

@@ -48,10 +48,22 @@ def latest_state(events: DataFrame) -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there and return its output; each batch goes to the shared folder."""
+    """Run a stream over what is there and return its output; each batch goes to the shared folder.
+
+    In ``append`` mode a window comes out once the watermark has passed it, so
+    those that are still open at the end of the input, and rows that came too
+    late, are missing; that is the mode for a stream that goes on.  In
+    ``complete`` mode every window of the input comes out, the open ones
+    included, and the last batch holds them all.  In ``update`` mode the last
+    batch that names a key holds its state.
+    """
     spark = stream.sparkSession
     base = place(spark, "stream")
-    write = lambda df, i: df.write.mode("overwrite").parquet(f"{base}/out/batch={i}")
+    write = lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{base}/out/batch_no={i}")
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{base}/out").drop("batch")
+    out = spark.read.schema(stream.schema.add("batch", "long").add("batch_no", "long")).parquet(f"{base}/out").drop("batch_no")
+    if mode == "complete":
+        last = out.agg(F.max("batch")).first()[0]
+        out = out.where(F.col("batch") == F.lit(last))
+    return out.drop("batch")

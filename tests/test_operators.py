@@ -144,6 +144,94 @@ def test_late_events_are_dropped_and_state_survives_disorder(spark, tmp_path):
     assert got.orderBy(F.desc("events")).first()[:3] == (7, 3, "click")
 
 
+def test_all_windows_of_the_input_come_out_and_append_holds_the_open_ones_back(spark, tmp_path):
+    from quarrylight.streaming import events as S
+
+    data = [(i, f"2024-01-01 {h:02d}:10:00", 7, "view", 1.0, "{}") for i, h in enumerate((0, 1, 5, 6))]
+    spark.createDataFrame(data, "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn("ts", F.to_timestamp("ts")).toPandas().to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    of = lambda mode: S.drained(S.tumbling(S.source(spark, str(tmp_path)), "1 hour", "2 hours"), mode).count()
+    assert of("complete") == 4 and of("append") < 4
+
+
+def test_best_name_by_rarest_words_equals_all_pairs(spark):
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(12)]
+    make = lambda n, p: [(f"{p}{i}", sorted({"common", *rnd.sample(words, rnd.randrange(1, 4))})) for i in range(n)]
+    q, c = make(40, "q"), make(60, "c")
+    for least in (0.0, 0.34, 0.5, 0.75, 1.0):
+        want = {}
+        for k, a in q:
+            best = min(((-len(set(a) & set(b)) / len(set(a) | set(b)), n) for n, b in c if set(a) & set(b)), default=None)
+            if best and -best[0] >= least:
+                want[k] = (best[1], round(-best[0], 9))
+        got = match.best_name(spark.createDataFrame(q, "q string, t array<string>"), "q", spark.createDataFrame(c, "c string, t array<string>"), "c", "t", least).collect()
+        assert {r.q: (r.c, round(r.score, 9)) for r in got} == want
+
+
+def test_islands_across_ranges_equal_one_pass(spark):
+    rnd = random.Random(6)
+    data = [(rnd.choice("ab"), s, s + rnd.choice((1, 2, 300)), i) for i, s in enumerate(rnd.sample(range(3000), 160))]
+    want = []
+    for k in "ab":
+        far, n = None, 0
+        for _, a, b, i in sorted(x for x in data if x[0] == k):
+            if far is None or a - 6 > far:
+                n += 1
+            far = b if far is None else max(far, b)
+            want.append((i, n))
+    got = order.islands(spark.createDataFrame(data, "k string, a int, b int, i int"), ["k"], "a", "b", 6, width=50)
+    assert rows(got.select("i", "cluster")) == sorted(want)
+
+
+def test_closure_of_a_vocabulary(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "c")], "k string, p string")
+    got = {(r.child, r.ancestor): r.depth for r in gates.closure(edges, "k", "p").collect()}
+    assert got == {("a", "b"): 1, ("a", "c"): 2, ("a", "d"): 3, ("b", "c"): 1, ("b", "d"): 2, ("c", "d"): 1, ("x", "c"): 1, ("x", "d"): 2}
+
+
+def test_verdicts_need_a_verbatim_disproof(spark):
+    df = spark.createDataFrame([("breach", "x", "x"), ("no_breach", "We show all Fees here", " all fees "), ("no_breach", "We show fees", "fees"), ("no_breach", "We show", "other words"), ("?", "We show all fees", "all fees"), ("no_breach", None, "all fees")], "l string, e string, d string")
+    assert [r[0] for r in df.select(gates.verdict(F.col("l"), F.col("e"), F.col("d"), 6)).collect()] == ["violation", "pass", "needs_review", "needs_review", "needs_review", "needs_review"]
+
+
+def test_quotes_are_looked_up_at_their_address(spark):
+    pages = spark.createDataFrame([("u1", "Some  text\nwith many words in it"), ("u1", "Another text"), ("u2", "x")], "url string, text string")
+    claims = spark.createDataFrame([(1, "u1", "TEXT with many"), (2, "u1", "no such words"), (3, "u9", "text with many"), (4, "u1", "text"), (5, "u1", None)], "id int, url string, q string")
+    assert rows(match.quotes_in_pages(claims, pages, "id", "url", "q", "text", 8)) == [(1, "verified"), (2, "quote not found"), (3, "page not found"), (4, "too short"), (5, "too short")]
+
+
+def test_robots_files(spark):
+    from quarrylight.sources import crawl
+
+    data = [(1, "User-agent: A\nUser-agent: B\nDisallow: /\n\nUser-agent: *\nDisallow: /x"), (2, "user-agent: *\ndisallow: / # all\n\nUser-Agent: a\nDisallow:"), (3, "User-agent: *\nDisallow: /\nAllow: /"), (4, None), (5, "")]
+    got = {(r.k, r.bot): r.blocked for r in crawl.blocked_bots(spark.createDataFrame(data, "k int, t string"), "k", "t", ("a", "c")).collect()}
+    assert got == {(1, "a"): True, (1, "c"): False, (2, "a"): False, (2, "c"): True, (3, "a"): False, (3, "c"): False, (4, "a"): False, (4, "c"): False, (5, "a"): False, (5, "c"): False}
+
+
+def test_catalogues_of_two_shapes_and_broken_ones(spark, tmp_path):
+    (tmp_path / "a.txt").write_text('[{"id": "a"}, {"id": "b", "name": "n"}]\n{"records": [{"id": "c"}]}\n{oops\n\n[]\n')
+    got = files.records(spark, str(tmp_path), "id string, name string").collect()
+    assert sorted((r.id or "", r["shape"], r.problem or "") for r in got) == [("", "broken", "not JSON"), ("", "list", ""), ("a", "list", ""), ("b", "list", ""), ("c", "wrapped", "")]
+
+
+def test_objects_are_put_once(spark, tmp_path):
+    path = f"file://{tmp_path}/o"
+    df = spark.createDataFrame([("s", "x"), ("s", "x"), ("t", "x"), ("s", None)], "f string, c string")
+    files.put_objects(df, path, "f", "c")
+    files.put_objects(df, path, "f", "c")
+    assert files.objects(spark, path, "f string, object_key string, c string").count() == 3
+
+
+def test_a_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from quarrylight import runtime
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        runtime.shared_dir(far)
+
+
 def test_cut_tables_are_released(spark):
     import os
 
