@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.llm import residue
 from quarrylight.llm.sampling import smallest_hashes
-from quarrylight.runtime import batch_rows
+from quarrylight.runtime import bound_batches
 
 #: The bounded sample: sites, and the pages that one of them may have.
 SITES, FEWEST, MOST = 48, 6, 60
@@ -311,7 +311,7 @@ def label(pages: DataFrame, model: Labeller, key: str = "page_id", title: str =
     an empty table gives an empty result; other columns are ignored.
     """
     spark = pages.sparkSession
-    batch_rows(spark, 1024)
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model.p)
     kind = pages.schema[key].dataType.simpleString()
 

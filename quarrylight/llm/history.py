@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.llm import names
-from quarrylight.runtime import batch_rows, cut, place
+from quarrylight.runtime import bound_batches, cut, place
 
 #: Dimensions of a vector: the bits of one hash for each feature.
 DIMS = 64
@@ -442,7 +442,7 @@ class History:
 
     def add(self, rows: DataFrame) -> dict:
         """Check a batch against the history and itself, and make it part of the history; returns its line of the manifest."""
-        batch_rows(self.spark, 4000)
+        bound_batches(self.spark)
         name = f"g{self.version:06d}-{uuid.uuid4().hex[:8]}"
         rows = cut(shaped(rows), "rows")
         rows = rows.withColumn("digest", F.xxhash64(_hashed(*_PROFILE))).withColumn("digest2", F.hash(_hashed(*_PROFILE)))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.runtime import batch_rows, cut, received, share
+from quarrylight.runtime import bound_batches, cut, received, share
 
 #: Words in a row that make a leak, and the words and edits of an inexact one.
 RUN, STRETCH, ONE_IN = 12, 30, 6
@@ -315,7 +315,7 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     an empty result; other columns are ignored.
     """
     spark = documents.sparkSession
-    batch_rows(spark, 1000)
+    bound_batches(spark)
     kind, item_kind = documents.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     schema = f"{key} {kind}, {item_key} {item_kind}, kind string, run int, stretch int, slots int"
     docs = documents.select(F.col(key), F.col(text).alias("_t")).where("_t is not null")

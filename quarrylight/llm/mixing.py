@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.runtime import batch_rows, cut
+from quarrylight.runtime import bound_batches, cut
 
 #: Buckets of one level; two levels part a source into BUCKETS ** 2 slices.
 BUCKETS = 1024
@@ -33,7 +33,7 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER, text: str = "text", name: str = "n_tokens") -> DataFrame:
     """The documents with their size in tokens in place of the text; a null text has none."""
-    batch_rows(documents.sparkSession, 1000)
+    bound_batches(documents.sparkSession)
     rest = [c for c in documents.columns if c != text]
     schema = documents.select(*rest).schema.add(name, "long")
 

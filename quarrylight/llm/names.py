@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.runtime import batch_rows, cut
+from quarrylight.runtime import bound_batches, cut
 
 #: Legal forms, as letters only.
 LEGAL = {
@@ -304,7 +304,7 @@ def entities(names: DataFrame) -> DataFrame:
     out; blanks at the ends make different stored names of one entity; an empty
     table gives an empty result.
     """
-    batch_rows(names.sparkSession, 5000)
+    bound_batches(names.sparkSession)
     spark = names.sparkSession
     # Little to read but much to compute: the tasks are not left to their sizes in bytes.
     tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.runtime import batch_rows, cut
+from quarrylight.runtime import bound_batches, cut
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 
@@ -316,7 +316,7 @@ def _table(candidates: DataFrame) -> list[tuple[str, str, str, float]]:
 
 
 def _candidates(texts: DataFrame) -> DataFrame:
-    batch_rows(texts.sparkSession, 1000)
+    bound_batches(texts.sparkSession)
     rows = texts.select(F.col("origin").cast("string"), F.col("row_key").cast("long"), "text").where("text is not null")
     return cut(rows.mapInArrow(_candidate_batches, _SCHEMA), "spans")
 

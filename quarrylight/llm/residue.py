@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.llm.lines import exploded, letters
-from quarrylight.runtime import batch_rows, cut
+from quarrylight.runtime import bound_batches, cut
 
 #: Unfilled placeholders of template languages and merge tools.
 PLACEHOLDERS = (
@@ -270,7 +270,7 @@ def evidence(pages: DataFrame, key: str = "page_id", host: str = "domain", addre
     counts = every.groupBy("_h", "_u").agg(F.first("_s").alias("_s")).groupBy("_h").agg(F.count("*").alias("_docs"), F.first("_s").alias("_s")).where(F.col("_docs") >= RECURRENT)
     sizes = p.groupBy("_s", "_u").agg(F.lit(1).alias("_one")).groupBy("_s").agg(F.count("*").alias("_all"))
     recurrent = counts.join(sizes, "_s").select("_h", (F.col("_docs") >= F.col("_all") * RECURRENT_SHARE).alias("_everywhere"))
-    batch_rows(pages.sparkSession, 2000)
+    bound_batches(pages.sparkSession)
     kind = pages.schema[key].dataType.simpleString()
     # Cut, as both kinds read it: the texts pass through Python once.
     judged = cut(p.select("_k", "_s", "_title", "_t").mapInArrow(_evidence_batches, f"_k {kind}, _s string, _titled boolean, _residue array<string>, _content array<string>").withColumn("_row", F.monotonically_increasing_id()), "residue")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.runtime import batch_rows, cut, received, share
+from quarrylight.runtime import bound_batches, cut, received, share
 
 #: Tokens of a stretch.
 STRETCH = 24
@@ -202,7 +202,7 @@ def scores(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     columns are ignored.
     """
     spark = documents.sparkSession
-    batch_rows(spark, 1000)
+    bound_batches(spark)
     kind = documents.schema[key].dataType.simpleString()
 
     def coded(rows):
