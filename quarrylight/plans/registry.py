@@ -21,5 +21,5 @@ def query(sql: str | None = None):
     return add
 
 
-for _name in ("pages", "texts", "matching", "evidence", "reports", "events", "checks", "files", "applicability", "proposals", "linters", "discovery", "resolution", "records"):
+for _name in ("pages", "texts", "matching", "evidence", "reports", "events", "checks", "files", "applicability", "proposals", "linters", "discovery", "resolution", "records", "details"):
     import_module(f"quarrylight.plans.{_name}")
