@@ -67,12 +67,33 @@ def density(w: Column, vocabulary: list[str]) -> Column:
     return F.try_divide(F.size(F.filter(w, lambda x: F.array_contains(stop, x))), F.size(w))
 
 
+def is_blank(c: Column | str) -> Column:
+    """Whether a text holds nothing but white space; null for a null."""
+    c = F.col(c) if isinstance(c, str) else c
+    return ~c.rlike("[^ \\t\\n\\r\\f ]")
+
+
+def count_words(c: Column | str) -> Column:
+    """How many runs of ASCII letters and digits there are, counted in place."""
+    return F.regexp_count(F.lower(c), F.lit("[a-z0-9]+"))
+
+
+def count_known(c: Column | str, vocabulary: list[str]) -> Column:
+    """How many of these runs are in a vocabulary, counted in place."""
+    return F.regexp_count(F.lower(c), F.lit("(?<![a-z0-9])(?:" + "|".join(vocabulary) + ")(?![a-z0-9])"))
+
+
+def each_word(c: Column | str) -> Column:
+    """A row for each run, and for each empty string between two; these are left to a filter on rows, which is compiled."""
+    return F.explode(F.split(F.lower(c), "[^a-z0-9]+"))
+
+
 def is_prose(c: Column | str) -> Column:
     """25 characters, four words, no more than 70 % of them capitalised, and a lower-case letter."""
     c = F.col(c) if isinstance(c, str) else c
-    w = F.filter(F.split(c, SPACE), lambda x: x != "")
-    capital = F.size(F.filter(w, lambda x: x.rlike("^[A-Z]")))
-    return (F.length(c) >= 25) & (F.size(w) >= 4) & (capital * 10 <= F.size(w) * 7) & c.rlike("[a-z]")
+    words = F.regexp_count(c, F.lit("[^ \\t\\n\\r\\f ]+"))
+    capital = F.regexp_count(c, F.lit("(?<![^ \\t\\n\\r\\f ])[A-Z]"))
+    return (F.length(c) >= 25) & (words >= 4) & (capital * 10 <= words * 7) & c.rlike("[a-z]")
 
 
 def holds_word(c: Column | str, *tokens: str) -> Column:

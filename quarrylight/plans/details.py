@@ -15,7 +15,7 @@ from quarrylight.sources.tables import table
 
 @query("SELECT domain, count(*) AS pages FROM site_pages WHERE text IS NOT NULL AND trim(regexp_replace(text, '[ \\t\\n\\r\\f ]+', ' ', 'g')) <> '' GROUP BY domain")
 def nonempty_pages(spark, sf):
-    return table(spark, sf, "site_pages").where(F.col("text").isNotNull() & (T.squeeze("text") != "")).groupBy("domain").agg(F.count("*").alias("pages"))
+    return table(spark, sf, "site_pages").where(F.col("text").isNotNull() & ~T.is_blank("text")).groupBy("domain").agg(F.count("*").alias("pages"))
 
 
 @query("""WITH failed AS (SELECT register FROM register_notes WHERE domain IN (SELECT domain FROM site_bundles) GROUP BY register HAVING count(*) FILTER (WHERE kind = 'degraded') * 6 > count(*))

@@ -119,7 +119,7 @@ _CONTENT = """CASE WHEN text IS NULL OR trim(regexp_replace(text, '[ \\t\\n\\r\\
 def content_class_of():
     short, low = F.length("text") < 600, F.lower("text")
     return (
-        F.when(F.col("text").isNull() | (T.squeeze("text") == ""), "empty").when(short & low.rlike("checking your browser|captcha"), "challenge").when(short & low.rlike("log in|sign in"), "login")
+        F.when(F.col("text").isNull() | T.is_blank("text"), "empty").when(short & low.rlike("checking your browser|captcha"), "challenge").when(short & low.rlike("log in|sign in"), "login")
         .when(short & low.rlike("error|not found|denied|nicht gefunden"), "error").when(short & low.rlike("javascript"), "shell").otherwise("content")
     )
 

@@ -115,9 +115,7 @@ b AS (SELECT bundle_id, domain, unreachable, coalesce(spa_shell, false) AS shell
 
 
 def _readable(spark, sf):
-    stop = F.array(*map(F.lit, T.STOPWORDS))
-    w = table(spark, sf, "site_pages").where("text is not null").select("bundle_id", T.words("text").alias("w"))
-    d = w.groupBy("bundle_id").agg(F.sum(F.size("w")).alias("n"), F.sum(F.size(F.filter("w", lambda x: F.array_contains(stop, x)))).alias("stops"))
+    d = table(spark, sf, "site_pages").where("text is not null").groupBy("bundle_id").agg(F.sum(T.count_words("text")).alias("n"), F.sum(T.count_known("text", T.STOPWORDS)).alias("stops"))
     b = table(spark, sf, "site_bundles").select("bundle_id", "domain", "unreachable", F.coalesce("spa_shell", F.lit(False)).alias("shell"), "footer_text")
     return b.join(d, "bundle_id", "left").withColumn("foreign_text", (F.col("n") >= 60) & (F.col("stops") * 1000 <= F.col("n") * 5))
 

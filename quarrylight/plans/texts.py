@@ -49,17 +49,15 @@ _TOKENS = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda
 @query(f"""WITH w AS (SELECT doc_id, {_TOKENS} AS w FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, len(w) AS n_words, CASE WHEN len(w) > 0 THEN round(len(list_filter(w, lambda x: list_contains({_STOP}, x))) / len(w), 6) END AS density FROM w""")
 def stopword_density(spark, sf):
-    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", T.words("text").alias("w"))
-    return docs.select("doc_id", F.size("w").alias("n_words"), F.round(T.density(F.col("w"), T.STOPWORDS), 6).alias("density"))
+    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", T.count_words("text").alias("n_words"), T.count_known("text", T.STOPWORDS).alias("_stops"))
+    return docs.select("doc_id", "n_words", F.round(F.try_divide("_stops", "n_words"), 6).alias("density"))
 
 
 @query(f"""WITH w AS (SELECT doc_id, lower(lang) AS tag, {_TOKENS} AS w FROM documents WHERE text IS NOT NULL),
 d AS (SELECT doc_id, tag, len(w) AS n, len(list_filter(w, lambda x: list_contains({_STOP}, x))) AS stops FROM w)
 SELECT doc_id, CASE WHEN n < 60 THEN 'undecided' WHEN stops * 1000 >= n * 20 THEN 'en' WHEN stops * 1000 <= n * 5 THEN coalesce(nullif(tag, 'en'), 'und') ELSE 'undecided' END AS language FROM d""")
 def language_gate(spark, sf):
-    w = table(spark, sf, "documents").where("text is not null").select("doc_id", F.lower("lang").alias("tag"), T.words("text").alias("w"))
-    stop = F.array(*map(F.lit, T.STOPWORDS))
-    d = w.select("doc_id", "tag", F.size("w").alias("n"), F.size(F.filter("w", lambda x: F.array_contains(stop, x))).alias("stops"))
+    d = table(spark, sf, "documents").where("text is not null").select("doc_id", F.lower("lang").alias("tag"), T.count_words("text").alias("n"), T.count_known("text", T.STOPWORDS).alias("stops"))
     language = F.when(F.col("n") < 60, "undecided").when(F.col("stops") * 1000 >= F.col("n") * 20, "en").when(F.col("stops") * 1000 <= F.col("n") * 5, F.coalesce(F.nullif(F.col("tag"), F.lit("en")), F.lit("und"))).otherwise("undecided")
     return d.select("doc_id", language.alias("language"))
 
@@ -68,7 +66,7 @@ def language_gate(spark, sf):
 c AS (SELECT source, term, count(*) AS uses FROM w WHERE length(term) >= 4 AND NOT list_contains({_STOP}, term) GROUP BY ALL)
 SELECT source, term, uses, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY uses DESC, term) AS rank FROM c) WHERE rank <= 8""")
 def keyword_topk(spark, sf):
-    w = table(spark, sf, "documents").where("text is not null").select("source", F.explode(T.words("text")).alias("term")).where(F.length("term") >= 4).where(~F.col("term").isin(*T.STOPWORDS))
+    w = table(spark, sf, "documents").where("text is not null").select("source", T.each_word("text").alias("term")).where(F.length("term") >= 4).where(~F.col("term").isin(*T.STOPWORDS))
     counts = w.groupBy("source", "term").agg(F.count("*").alias("uses"))
     return rollup.top(counts, ["source"], [F.desc("uses"), F.col("term")], 8)
 
