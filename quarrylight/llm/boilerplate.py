@@ -30,6 +30,8 @@ from quarrylight.runtime import bound_batches
 SITES, FEWEST, MOST = 48, 6, 60
 #: Buckets of hashed words, dimensions of a word, hidden units in each direction, passes over the sample.
 BUCKETS, WORD, HIDDEN, EPOCHS = 4096, 16, 20, 10
+#: Share of the pages in a pass whose words are exchanged, so that the network does not lean on wordings alone.
+FORGET = 0.4
 #: Pages that are read side by side.
 BATCH = 256
 
@@ -154,6 +156,14 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-x))
 
 
+def forgotten(page, rng):
+    """The page with a share of its words exchanged for any others, the same ones throughout: what is left is the layout and the context."""
+    other = np.arange(BUCKETS)
+    gone = rng.random(BUCKETS) < rng.random()
+    other[gone] = rng.integers(0, BUCKETS, int(gone.sum()))
+    return page[0], [[int(other[i]) for i in w] for w in page[1]], page[2]
+
+
 class Labeller:
     """A bidirectional LSTM over the blocks of a page with one output for each."""
 
@@ -246,7 +256,7 @@ class Labeller:
             order = sorted(range(len(pages)), key=lambda i: (len(pages[i][1]) // 6, rng.random()))
             groups = [order[a : a + size] for a in range(0, len(order), size)]
             for k in rng.permutation(len(groups)):
-                g, one = self.gradient([pages[i] for i in groups[k]], [labels[i] for i in groups[k]])
+                g, one = self.gradient([forgotten(pages[i], rng) if rng.random() < FORGET else pages[i] for i in groups[k]], [labels[i] for i in groups[k]])
                 losses.append(one)
                 step += 1
                 for name, grad in g.items():

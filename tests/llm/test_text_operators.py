@@ -265,3 +265,26 @@ def test_labeller_on_awkward_rows(spark):
     data = [("d", "u", None, None), ("d", "u", None, " \n "), (None, None, None, "word " * 60_000), ("d", "u", "Ok", "{{ x }}")]
     assert ids(boilerplate.label(pages(spark, data), model).select("page_id")) == [2]
     assert boilerplate.label(pages(spark, []), model).where(F.col("body").isNotNull()).count() == 0
+
+
+def test_the_layout_tells_furniture_whose_words_were_never_seen(spark):
+    """Held-out sites with every word of their furniture exchanged for another."""
+    model = boilerplate.train(pages(spark, [p for n in range(20) for p in site(n)]))
+    strange = {"Home": "Vuli", "Services": "Kemarods", "News": "Wofi", "Contact": "Zerupak", "Phone": "Gadok", "Firm": "Hube", "Ltd": "Psi", "Rights": "Mundes", "Reserved": "Lotavind", "All": "Tro"}
+
+    def told(t):
+        for a, b in strange.items():
+            t = t.replace(a, b)
+        return t
+
+    got = boilerplate.label(pages(spark, [(d, u, title, told(t)) for d, u, title, t in site(77)]), model).collect()
+    want = {1, 9, 10}
+    found = sum(len(want & set(r.furniture)) for r in got)
+    assert found >= 0.8 * len(want) * len(got) and all(len(set(r.furniture) - want) <= 1 for r in got)
+
+
+def test_a_saved_labeller_is_the_same(spark, tmp_path):
+    model = boilerplate.train(pages(spark, [p for n in range(3) for p in site(n)]))
+    boilerplate.save(spark, model, f"file://{tmp_path}/m")
+    again = boilerplate.load(spark, f"file://{tmp_path}/m")
+    assert set(again.p) == set(model.p) and all((again.p[k] == model.p[k]).all() for k in model.p)
