@@ -61,12 +61,6 @@ def words(c: Column | str) -> Column:
     return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != "")
 
 
-def density(w: Column, vocabulary: list[str]) -> Column:
-    """The share of words that are in a fixed vocabulary; null without words."""
-    stop = F.array(*map(F.lit, vocabulary))
-    return F.try_divide(F.size(F.filter(w, lambda x: F.array_contains(stop, x))), F.size(w))
-
-
 def is_blank(c: Column | str) -> Column:
     """Whether a text holds nothing but white space; null for a null."""
     c = F.col(c) if isinstance(c, str) else c
