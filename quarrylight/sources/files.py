@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarrylight.runtime import exists
+
 
 def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One JSON document for each file, with ``file``; what cannot be read is in ``_corrupt_record``."""
@@ -53,8 +55,7 @@ def put_objects(df: DataFrame, path: str, folder: str, *content: str) -> None:
     """Write each row under the key of its content; what is there already is not written again."""
     new = sealed(df, folder, *content).dropDuplicates(["object_key"])
     spark = df.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    if exists(spark, path):
         new = new.join(objects(spark, path, "object_key string").select("object_key"), "object_key", "left_anti").select(*new.columns)
     new.write.mode("append").partitionBy(folder).parquet(path)
 
