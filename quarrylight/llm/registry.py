@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.llm import boilerplate, history, leakage, mixing, names, personal, repeated_lines, residue, stuffing, truncation
-from quarrylight.runtime import shared_dir
+from quarrylight.runtime import exists, place
 from quarrylight.sources.tables import table
 
 
@@ -40,19 +40,20 @@ def p2_rates(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.rates(table(spark, sf, "site_pages"), table(spark, sf, "site_bundles"))
 
 
+#: Where the labellers of this session's tables were saved.
+_SAVED: dict[str, str] = {}
+
+
 def _labeller(spark: SparkSession, sf: str) -> tuple[DataFrame, boilerplate.Labeller]:
     """The pages and a labeller that is fitted on them once in a session and saved in the shared folder."""
     pages = table(spark, sf, "site_pages")
-    at = f"{shared_dir(spark)}/labeller-{abs(hash(sf))}"
-    if at not in _SAVED:
+    at = _SAVED.get(f"{spark.sparkContext.applicationId} {sf}")
+    if at is None or not exists(spark, f"{at}/_SUCCESS"):
+        at = _SAVED[f"{spark.sparkContext.applicationId} {sf}"] = place(spark, "labeller")
         boilerplate.save(spark, boilerplate.train(pages), at)
-        _SAVED.add(at)
     return pages, boilerplate.load(spark, at)
 
 
-_SAVED: set[str] = set()
-
-
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of pages that are site furniture."""
     return boilerplate.label(*_labeller(spark, sf)).select("page_id", F.explode("furniture").alias("line_no"))
