@@ -467,27 +467,26 @@ class History:
         mine = self._read(fresh, "profiles", _STORED)
         old = [self._read(g, "profiles", _STORED, touched[g["name"]]) for g in self.generations]
         every = functools.reduce(DataFrame.unionByName, old, mine)
-        held = F.struct(*_FIRM, "words", "quoted", "ref")
-        # Along the walks: spots that met, and each with itself.
+        # Along the walks: spots that met, and each with itself.  Only numbers move here; what is compared is fetched for the pairs that are left.
         met = self.near.select(F.col("asked").alias("s"), F.col("met").alias("t")).unionByName(mine.select(F.col("spot").alias("s"), F.col("spot").alias("t"))).distinct()
-        left = _sided(mine.select(F.col("spot").alias("s"), F.col("node").alias("a"), "guard", "penalty", "ref", held.alias("_a")), True).select("s", "a", "guard", "_p", "_r", "_a")
-        right = _sided(every.select(F.col("spot").alias("t"), F.col("node").alias("b"), "guard", "penalty", "ref", held.alias("_b")), False).select("t", "b", "guard", "_p", "_r", "_b")
-        walked = met.join(left, "s").join(right, ["t", "guard", "_p", "_r"]).where("a <> b").select("a", "b", F.lit(False).alias("marked"), "_a", "_b")
+        left = _sided(mine.select(F.col("spot").alias("s"), F.col("node").alias("a"), "guard", "penalty", "ref"), True).select("s", "a", "guard", "_p", "_r")
+        right = _sided(every.select(F.col("spot").alias("t"), F.col("node").alias("b"), "guard", "penalty", "ref"), False).select("t", "b", "guard", "_p", "_r")
+        walked = met.join(left, "s").join(right, ["t", "guard", "_p", "_r"]).where("a <> b").select("a", "b", F.lit(False).alias("marked"))
         # What equality can settle no walk may miss: numbers of rulings, each spelling of a firm once.
         group = ["key", "guard", "ref", *_FIRM, "penalty"]
-        numbered = every.where("ref <> ''").groupBy(*group).agg(F.min("node").alias("b"), F.first(held).alias("_b"))
-        asking = _sided(mine.where("ref <> ''").groupBy(*group).agg(F.min("node").alias("a"), F.first(held).alias("_a")), True).where("startswith(_r, 'K')").select("key", "guard", "_r", "_p", "a", "_a")
-        numbers = asking.join(_sided(numbered, False).where("startswith(_r, 'K')").select("key", "guard", "_r", "_p", "b", "_b"), ["key", "guard", "_r", "_p"]).where("a <> b").select("a", "b", F.lit(False).alias("marked"), "_a", "_b")
+        numbered = every.where("ref <> ''").groupBy(*group).agg(F.min("node").alias("b"))
+        asking = _sided(mine.where("ref <> ''").groupBy(*group).agg(F.min("node").alias("a")), True).where("startswith(_r, 'K')").select("key", "guard", "_r", "_p", "a")
+        numbers = asking.join(_sided(numbered, False).where("startswith(_r, 'K')").select("key", "guard", "_r", "_p", "b"), ["key", "guard", "_r", "_p"]).where("a <> b").select("a", "b", F.lit(False).alias("marked"))
         # And checksums, where one side has no wording.
         own_marks = self._read(fresh, "marks", "node long, key long, mark string")
         marks = functools.reduce(DataFrame.unionByName, [self._read(g, "marks", "node long, key long, mark string", touched[g["name"]]) for g in self.generations], own_marks)
-        side = lambda df, m, left, p: _sided(m.join(df.select("node", "guard", "penalty", "ref", held.alias(f"_{p}")), "node"), left).select("key", "mark", "guard", "_p", "_r", F.col("node").alias(p), f"_{p}")
+        side = lambda df, m, left, p: _sided(m.join(df.select("node", "guard", "penalty", "ref"), "node"), left).select("key", "mark", "guard", "_p", "_r", F.col("node").alias(p))
         silent = lambda df: df.where("words = ''")
         on = ["key", "mark", "guard", "_p", "_r"]
-        sealed = side(silent(mine), own_marks, True, "a").join(side(every, marks, False, "b"), on).unionByName(side(mine, own_marks, True, "a").join(side(silent(every), marks, False, "b"), on)).where("a <> b").select("a", "b", F.lit(True).alias("marked"), "_a", "_b")
-        # Walks of both ends and the three channels may name a pair more than once: it is compared once, or twice where it is marked.
-        low = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "marked", F.when(F.col("a") < F.col("b"), F.col("_a")).otherwise(F.col("_b")).alias("_a"), F.when(F.col("a") < F.col("b"), F.col("_b")).otherwise(F.col("_a")).alias("_b"))
-        pairs = low(walked).unionByName(low(numbers)).unionByName(low(sealed)).dropDuplicates(["a", "b", "marked"])
+        sealed = side(silent(mine), own_marks, True, "a").join(side(every, marks, False, "b"), on).unionByName(side(mine, own_marks, True, "a").join(side(silent(every), marks, False, "b"), on)).where("a <> b").select("a", "b", F.lit(True).alias("marked"))
+        # Walks of both ends and the three channels may name a pair more than once; it is compared once.
+        named = walked.unionByName(numbers).unionByName(sealed).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("marked").alias("marked"))
+        pairs = self._held(named, every)
         # Profiles that the comparison cannot tell apart hang on the first of them, however many there are.
         told = lambda df: df.where("ref <> ''").select("node", F.xxhash64(_hashed(*group)).alias("_h"), F.hash(_hashed(*group)).alias("_g"))
         first = lambda df, *on: df.groupBy(*on).agg(F.min("node").alias("a"))
@@ -497,6 +496,14 @@ class History:
             star = star.unionByName(mine.select("digest", "digest2", F.col("node").alias("b")).join(again, ["digest", "digest2"]).select("a", "b"))
         return same_ruling(pairs).unionByName(star.where("a <> b")).distinct()
 
+    @staticmethod
+    def _held(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+        """The pairs ``(a, b, marked)`` with what is compared of each end; written first, so that its size is known to the joins."""
+        named = cut(pairs, "pairs")
+        held = profiles.select("node", F.struct(*_FIRM, "words", "quoted", "ref").alias("_x"))
+        one = named.join(held.withColumnRenamed("node", "a").withColumnRenamed("_x", "_a"), "a")
+        return one.join(held.withColumnRenamed("node", "b").withColumnRenamed("_x", "_b"), "b").select("a", "b", "marked", "_a", "_b")
+
     def compact(self) -> None:
         """Make one generation of the newest ones, as many as are together no larger than twice the one before them.
 
