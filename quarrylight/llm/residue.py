@@ -266,10 +266,10 @@ def evidence(pages: DataFrame, key: str = "page_id", host: str = "domain", addre
     p = pages.select(F.col(key).alias("_k"), F.coalesce(host, F.lit("\u0000")).alias("_s"), F.xxhash64(F.coalesce(F.col(address), F.lit("\u0000"))).alias("_u"), F.col(title).alias("_title"), F.col(text).alias("_t"))
     p = p.where(F.col("_t").rlike(r"[^\s\u00a0]"))
     # Counting covers every line of every page: distinct addresses by host and normal form, summed before they are compared.
-    every = exploded(p, "_t", "_s", "_u").select("_s", "_u", letters("line").alias("_n")).where("_n <> ''").select(F.xxhash64("_s", "_n").alias("_h"), "_s", "_u")
-    counts = every.groupBy("_h", "_u").agg(F.first("_s").alias("_s")).groupBy("_h").agg(F.count("*").alias("_docs"), F.first("_s").alias("_s")).where(F.col("_docs") >= RECURRENT)
-    sizes = p.groupBy("_s", "_u").agg(F.lit(1).alias("_one")).groupBy("_s").agg(F.count("*").alias("_all"))
-    recurrent = counts.join(sizes, "_s").select("_h", (F.col("_docs") >= F.col("_all") * RECURRENT_SHARE).alias("_everywhere"))
+    every = exploded(p, "_t", "_s", "_u").select("_s", "_u", letters("line").alias("_n")).where("_n <> ''").select(F.xxhash64("_s", "_n").alias("_h"), F.xxhash64("_s").alias("_d"), "_u")
+    counts = every.groupBy("_h", "_u").agg(F.min("_d").alias("_d")).groupBy("_h").agg(F.count("*").alias("_docs"), F.min("_d").alias("_d")).where(F.col("_docs") >= RECURRENT)
+    sizes = p.select(F.xxhash64("_s").alias("_d"), "_u").distinct().groupBy("_d").agg(F.count("*").alias("_all"))
+    recurrent = counts.join(sizes, "_d").select("_h", (F.col("_docs") >= F.col("_all") * RECURRENT_SHARE).alias("_everywhere"))
     bound_batches(pages.sparkSession)
     kind = pages.schema[key].dataType.simpleString()
     # Cut, as both kinds read it: the texts pass through Python once.
