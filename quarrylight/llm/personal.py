@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from quarrylight.runtime import bound_batches, cut
 
 KINDS = ("email", "phone", "id_number", "address", "name")
+#: The most, in nats, that a labeler's silence may say.
+SILENCE = 0.5
 
 #: Common first names and their short forms, of several languages.
 FIRST_NAMES = frozenset(
@@ -59,6 +61,8 @@ _LEFT_WORDS = frozenset("by contact for says said to met signed dear of c/o rega
 _PARTICLES = re.compile(r" (?:(?:de|del|de la|de las|de los|la|da|das|do|dos|di|du|von|van|van der|van den|von der|zu|zur|ter|ten|bin|ibn|al|el|y|e) )+")
 _PERSON_RIGHT = re.compile(r"^(?: moved to| countersigned| and kept| by name| for their help|, who | signed)")
 _ROLE_RIGHT = re.compile(r"^ [–-] [A-Z]")
+#: What persons of a staff list are.
+_ROLE = re.compile(r"^ [–-] (?:[A-Z][\w&]+ (?:of |and |for )?){0,4}(?:Manager|Lead|Head|Director|Partner|Officer|Coordinator|Negotiator|Valuer|Nurse|Dentist|Doctor|Solicitor|Adviser|Advisor|Surveyor|Secretary|Assistant|Associate|Consultant|Therapist|Hygienist|Principal|Founder|Owner|Chair|Trustee|Paralegal|Pharmacist|Technician|Receptionist|Administrator|Accountant|Counsel|Care)\b")
 _PLACE_LEFT = re.compile(r"\b(?:in|near|from|around|across|outside|[Tt]he) $")
 
 _EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]+(?:@| ?[\[(](?:at|AT)[\])] ?)[\w-]+(?:(?:\.| ?[\[(](?:dot|DOT)[\])] ?)[\w-]+)+")
@@ -124,13 +128,17 @@ def _names(line: str, local: str):
                 done = end
                 yield a, end, _signs(True, titled, named, bool(_NAME_RIGHT.match(right)), w.isupper() or w.lower() not in COMMON_CAPITALS, w.lower() in local), "s"
             elif i + 1 < len(caps) and len(w) > 2 and w not in TITLES and w.lower() not in COMMON_CAPITALS:
-                # A first name that no gazetteer has: what persons do, or a role and a mail address, follows.
+                # A first name that no gazetteer has: what persons do, or a role, follows.
                 nxt, gap = caps[i + 1][2], line[b : caps[i + 1][0]]
                 last, end = (nxt, caps[i + 1][1]) if gap == " " else (w, caps[i + 1][1]) if gap == ", " and w.isupper() else ("", 0)
-                if len(last) > 2 and len(nxt) > 2 and not _place(w) and not _place(nxt) and nxt.lower() not in COMMON_CAPITALS:
-                    right = line[end : end + 30]
-                    known = last.lower() in local
-                    if _PERSON_RIGHT.match(right) or known and _ROLE_RIGHT.match(right):
+                if gap == " " and len(nxt) == 2 and nxt[1] == "." and i + 2 < len(caps) and line[end : caps[i + 2][0]] == " ":
+                    last, end = caps[i + 2][2], caps[i + 2][1]
+                elif len(nxt) <= 2:
+                    last = ""
+                if len(last) > 2 and not _place(w) and not _place(last) and nxt.lower() not in COMMON_CAPITALS and last.lower() not in COMMON_CAPITALS:
+                    right = line[end : end + 40]
+                    known, begins = last.lower() in local, not line[:a].strip(" •-–*·|»")
+                    if _PERSON_RIGHT.match(right) or known and _ROLE_RIGHT.match(right) or begins and _ROLE.match(right):
                         done = end
                         yield a, end, _signs(0, 0, 0, True, True, known), "2u"
             continue
@@ -274,7 +282,11 @@ def reliabilities(patterns: list[tuple[str, int]], rounds: int = 60) -> tuple[di
                 no.append((n * (1 - p))[here].sum() + (2 if v == -1 else 1))
             yes, no = np.array(yes) / sum(yes), np.array(no) / sum(no)
             likelihood.append((float(yes[0]), float(no[0])))
-            log += np.log(yes / no)[1 - votes[:, j]]
+            # A yes never speaks against a value nor a no for it, and silence says little either way; without that, classes may
+            # form around which labelers have anything to say instead of what is real.
+            says = np.log(yes / no)
+            says = np.array([max(says[0], 0.0), np.clip(says[1], -SILENCE, SILENCE), min(says[2], 0.0)])
+            log += says[1 - votes[:, j]]
         p = 1 / (1 + np.exp(-np.clip(log, -30, 30)))
     return {x: float(y) for (x, _), y in zip(patterns, p)}, likelihood
 

@@ -288,3 +288,16 @@ def test_a_saved_labeller_is_the_same(spark, tmp_path):
     boilerplate.save(spark, model, f"file://{tmp_path}/m")
     again = boilerplate.load(spark, f"file://{tmp_path}/m")
     assert set(again.p) == set(model.p) and all((again.p[k] == model.p[k]).all() for k in model.p)
+
+
+def test_names_whose_first_name_no_gazetteer_has(spark, monkeypatch):
+    """Held out: with the whole gazetteer gone, contexts, titles and roles find the same persons."""
+    lines = [
+        "Complaints go to Dr Helena Brackshaw, 92-112 Beacon Rd., Pellminster XQ198HN, or by phone.", "By Marek Oskanell, 5 July 2023", "Sofia H. Wrennell – Practice Manager, WRENNELL@firm.test", "In November William T. Hallisby moved to 12 Mulberry Row, Copperham.",
+        "The file shows the passport number as ZW3732936; Mrs Yardewold countersigned it.", "Jonathan Tarrowgrave – Head of Care", "Ask for Priya Penrograve, please.", "In February a trainee adviser had files open. By February it was done.",
+    ]
+    df = texts(spark, *(lines * 15))
+    name_starts = lambda: {(r.row_key, r.start_at) for r in personal.find(df).where("kind = 'name'").collect()}
+    known = name_starts()
+    monkeypatch.setattr(personal, "FIRST_NAMES", frozenset())
+    assert len(known) >= 7 * 15 and len(name_starts() & known) >= 0.95 * len(known)
