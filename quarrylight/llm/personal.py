@@ -53,7 +53,7 @@ COMMON_CAPITALS = frozenset(
 _MONTH = "|".join(MONTHS)
 _TITLE_BEFORE = re.compile(rf"(?:^|[^\w])(?:{'|'.join(TITLES)})\.? $")
 _CAPITAL = re.compile(r"[A-ZÀ-Þ](?:\.|[\w'’]+(?:-[A-ZÀ-Þ][\w'’]+)*)")
-_NAME_LEFT = re.compile(r"(?:(?:^|^\W*)By|\b(?:[Pp]osted|[Ww]ritten|[Rr]eviewed|[Ee]dited|[Cc]ompiled|[Pp]repared|[Ss]igned|[Pp]ublished|[Cc]hecked|[Uu]pdated|[Aa]pproved|[Aa]uthored|POSTED|WRITTEN|REVIEWED) (?:by|BY)|contact:|CONTACT:|ask for|mark it for|opened for|says|said|go to|met|thanks to|thanks go to|signed|[Dd]ear|attention of|care of|c/o|regards,|(?:Author|Name|Contact|Manager|Director|Officer):)(?: (?:" + "|".join(TITLES) + r")\.?)? $")
+_NAME_LEFT = re.compile(r"(?:(?:^|^\W*)By|\b(?:[Pp]osted|[Ww]ritten|[Rr]eviewed|[Ee]dited|[Cc]ompiled|[Pp]repared|[Ss]igned|[Pp]ublished|[Cc]hecked|[Uu]pdated|[Aa]pproved|[Aa]uthored|POSTED|WRITTEN|REVIEWED) (?:by|BY)|contact:|CONTACT:|[Aa]sk for|[Mm]ark it for|opened for|says|said|go to|met|thanks to|thanks go to|signed|[Dd]ear|attention of|care of|c/o|regards,|(?:Author|Name|Contact|Manager|Director|Officer):)(?: (?:" + "|".join(TITLES) + r")\.?)? $")
 _NAME_RIGHT = re.compile(rf"^(?:, \d{{1,2}} (?:{_MONTH})|, (?:{_MONTH})| [–-] [A-Z]| moved to| by name| countersigned| and kept|[’']s | \((?:[A-Z]|passport|social|born|aged)|, (?:Flat|Unit|Apt|\d)| signed| wrote| will call| for their help|[,”] who |,” (?:says|said))")
 _TITLE_WORDS = frozenset(t.lower() for t in TITLES)
 _LEFT_WORDS = frozenset("by contact for says said to met signed dear of c/o regards author name manager director officer".split())
