@@ -36,6 +36,10 @@ PLACEHOLDERS = (
     r"\[(?:[Ii]nsert|[Yy]our|[Ee]nter|[Aa]dd|[Tt]own|[Yy]ear|[Cc]ompany|[Cc]lient|[Cc]ustomer|[Ff]irst|[Ll]ast|[Cc]ity|[Dd]ate|[Nn]ame|[Pp]hone|[Aa]ddress|[Pp]age|[Ss]ite|[Pp]ractice|[Ff]irm|[Tt]itle|[Pp]laceholder|INSERT|YOUR|ENTER|ADD|COMPANY|CLIENT|CITY|DATE|NAME|PHONE|ADDRESS|PAGE|SITE|TITLE|PLACEHOLDER)[ _a-zA-Z]{0,40}\]",
     r"(?:__|@@|##)[A-Z][A-Z_]{2,30}(?:__|@@|##)",
     r"(?<![\w={,])\{\d{1,2}\}",
+    r"\{[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\}|\{[a-z]+(?:_[a-z]+)+\}|\{\$[\w.]{1,40}\}",
+    r"\[%[^%\n]{1,60}%\]|<<[A-Za-z][A-Za-z_ ]{1,40}>>",
+    r"(?<![\w%])%(?:[1-9]\$)?[sd](?![\w%])",
+    r"\((?:insert|INSERT|Insert) [A-Za-z _]{2,40}\)|<(?:insert|INSERT|Insert|your|YOUR|Your) [A-Za-z _]{2,40}>",
     r"\[/?(?:vc|et_pb|fusion|av|wp)_[a-z_]+[^\]\n]{0,120}\]|\[/?(?:caption|gallery|contact-form-7|shortcode)\b[^\]\n]{0,120}\]",
     r"\bundefined\b.{0,40}\bNaN\b",
     r"\[object Object\]",
@@ -57,7 +61,9 @@ FILLER = (
     r"edit or delete it, then start writing",
     r"(?:this is )?(?:dummy|placeholder|sample|filler) (?:text|copy|content)\b",
     r"\bhello world!",
-    r"\btext (?:goes|comes) here\b",
+    r"\b(?:text|heading|subheading|caption|description|logo|image) (?:goes|comes) here\b",
+    r"\b(?:type|enter) your (?:own )?(?:text|content)\b",
+    r"\bthis is (?:a|an|your) (?:heading|headline|subheading|text block|paragraph)\b",
     r"just another (?:\w+ )?(?:site|weblog|blog)",
 )
 
@@ -144,10 +150,10 @@ FURNITURE = (
 
 #: Each placeholder needs one of these signs, each filler and each notice one of these stems in lower case.
 #: They must let through whatever the patterns match, as the tests check for every branch.
-SIGNS = ("{", "<%", "<?", "%", "*|", "[", "__", "@@", "##", "undefined")
+SIGNS = ("{", "<%", "<?", "<<", "(insert", "<insert", "<your", "%", "*|", "[", "__", "@@", "##", "undefined")
 FILLER_STEMS = (
     "lorem ipsum", "dolor sit", "consectetur", "sed do eiusmod", "incididunt", "ad minim", "quis nostrud", "duis aute", "excepteur", "quis risus", "vestibulum id", "mollit anim",
-    "text here", "content here", "headline here", "title here", "tagline here", "goes here", "comes here", "here to", "to edit", "click to", "add your", "edit me", "todo:", "xxxx", "replace this", "this is a", "this is your", "your new", "edit or delete", "dummy", "placeholder", "sample", "filler", "hello world", "just another",
+    "text here", "content here", "headline here", "title here", "tagline here", "goes here", "comes here", "here to", "to edit", "click to", "add your", "edit me", "type your", "enter your", "todo:", "xxxx", "replace this", "this is a", "this is your", "your new", "edit or delete", "dummy", "placeholder", "sample", "filler", "hello world", "just another",
 )
 NOTICE_STEMS = (
     "error 3", "error 4", "error 5", "error3", "error4", "error5", "error:", "error :", "error  ", "server error", "expected error", "internal error", "fatal error", "error establishing", "error has", "error occurred", "not found", "be found", "t found", "forbidden", "unauthori", "unavailable", "bad gateway", "bad request", "404", "403", "500", "502", "503", "sorry", "may have been", "went wrong", "denied", "permission", "has expired", "timed out", "log in", "login", "sign in", "signin", "log-in", "sign-in", "logged in", "loggedin", "gateway time", "server met", "server encountered",
@@ -210,7 +216,8 @@ class Judge:
     def left(self, line: str) -> bool:
         """Whether a line holds a placeholder or filler that is left over, not spoken of."""
         line = self.quoted.sub(" ", line)
-        if any(x in line for x in SIGNS):
+        low = line.lower()
+        if any(x in low for x in SIGNS):
             for s in self.sentence.split(line):
                 bare = self.exact.sub(" ", self.folded.sub(" ", s))
                 if bare != s and not self.about.search(bare):
