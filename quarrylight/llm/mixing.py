@@ -6,8 +6,9 @@ source's budget is met by whole repeats of all its records and, for the rest,
 by the records below a threshold of the hash: whole buckets by the sums, and
 within the boundary bucket, which alone is looked at again, by a finer
 histogram of the same kind.  Records are then filtered by comparing their hash
-with the threshold; nothing is sorted, and budgets nest: a larger total keeps
-every record of a smaller one.
+with the threshold; nothing is sorted, and thresholds nest: a larger total keeps
+every record that a smaller one has below its threshold.  One record beyond it
+fills what is left of a budget.
 """
 
 from __future__ import annotations
@@ -64,7 +65,8 @@ def _total(sources: list[tuple[float, int, int]], size: str) -> int:
         return int(low)
     # What is missing of the short ones raises the others' shares by missing / (1 - missing), the largest most.
     missing = lambda total: sum(max(0.0, w - cap / total) for w, _, cap in sources)
-    most = TOLERANCE / (TOLERANCE + max(w for w, _, _ in sources))
+    # A tenth of the tolerance is left for sizes that no record fits exactly.
+    most = 0.9 * TOLERANCE / (0.9 * TOLERANCE + max(w for w, _, _ in sources))
     high = max(low, float(sum(cap for _, _, cap in sources)))
     for _ in range(60):
         mid = (low + high) / 2
@@ -88,8 +90,8 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     in which none is short; or ``whole``: as large as all records of its sources
     together, which leaves more of them short and the others above their
     shares.  A record is used ``uses`` times, never
-    more than its source's ``max_repeats``; a source's size is met up to half a
-    record.  Null and blank texts have no tokens and are not used; repeated rows
+    more than its source's ``max_repeats``; a source's size is met as nearly as one more
+    record can.  Null and blank texts have no tokens and are not used; repeated rows
     are records of their own.  Empty tables give an empty mix.
     """
     spark = documents.sparkSession
@@ -98,7 +100,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     wanted = wanted.where(F.col(text).isNotNull() & (F.trim(text) != ""))
     # 30 bits of hash are three digits; the row's own text takes part, so that repeated keys differ.
     hashed = wanted.withColumn("_hash", F.xxhash64(F.col(key), F.col(text)).bitwiseAND(F.lit((1 << (10 * LEVELS)) - 1)))
-    sized = cut(token_counts(hashed, tokenizer, text), "sizes")
+    sized = cut(token_counts(hashed, tokenizer, text).withColumn("_row", F.monotonically_increasing_id()), "sizes")
     by_bucket = sized.groupBy("source", _digit(LEVELS - 1).alias("_b")).agg(F.sum("n_tokens").alias("_sum"))
     have = by_bucket.groupBy("source").agg(F.sum("_sum").alias("available"))
     plan = cut(t.join(have, "source", "left").na.fill(0, ["available"]), "targets")
@@ -126,17 +128,18 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
             F.max("_limit").alias("_base"),
             F.coalesce(F.max(F.when(F.col("_upto") <= F.col("_left"), F.col("_upto"))), F.lit(0)).alias("_used"),
             F.min(F.when(F.col("_upto") > F.col("_left"), F.col("_b"))).alias("_edge"),
-            F.min(F.when(F.col("_upto") > F.col("_left"), F.col("_upto"))).alias("_beyond"),
         )
-        if not level:  # the boundary record itself is taken where that comes nearer
-            fits = fits.withColumn("_edge", F.when(F.col("_beyond") - F.col("_left0") < F.col("_left0") - F.col("_used"), F.col("_edge") + 1).otherwise(F.col("_edge")))
         # Without a boundary bucket everything below the next slice fits.
         bound = fits.select("source", (F.col("_left0") - F.col("_used")).alias("_left"), (F.col("_base") + F.coalesce(F.col("_edge").cast("long"), F.lit(BUCKETS).cast("long")) * F.lit(1 << shift)).alias("_limit"))
         if level:
             inside = sized.join(_hint(bound), "source").where((F.col("_hash") >= F.col("_limit")) & (F.col("_hash") < F.col("_limit") + F.lit(1 << shift))).select(*sized.columns)
         bound = cut(bound, "thresholds")
-    chosen = sized.join(_hint(plan.select("source", "whole")), "source").join(_hint(bound.select("source", "_limit")), "source", "left")
-    chosen = chosen.withColumn("uses", (F.col("whole") + F.when(F.col("_hash") < F.coalesce("_limit", F.lit(0)), 1).otherwise(0)).cast("int")).where("uses > 0").select(key, "source", "n_tokens", "uses")
+    # What is still missing of a budget is filled by one record beyond the threshold, the one whose size comes nearest to it.
+    beyond = sized.join(_hint(bound), "source").where((F.col("_hash") >= F.col("_limit")) & (F.col("_left") > 0) & (F.abs(F.col("n_tokens") - F.col("_left")) < F.col("_left")))
+    extra = beyond.groupBy("source").agg(F.min_by("_row", F.struct(F.abs(F.col("n_tokens") - F.col("_left")), "_hash", "_row")).alias("_extra"))
+    chosen = sized.join(_hint(plan.select("source", "whole")), "source").join(_hint(bound.select("source", "_limit")), "source", "left").join(_hint(cut(extra, "extras")), "source", "left")
+    more = (F.col("_hash") < F.coalesce("_limit", F.lit(0))) | F.coalesce(F.col("_row") == F.col("_extra"), F.lit(False))
+    chosen = chosen.withColumn("uses", (F.col("whole") + F.when(more, 1).otherwise(0)).cast("int")).where("uses > 0").select(key, "source", "n_tokens", "uses")
     used = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("used_tokens"), F.max("uses").alias("most_uses"), F.count("*").alias("records"))
     report = plan.select("source", "target_share", "feasible_share", "max_repeats", "available").join(used, "source", "left").na.fill(0, ["used_tokens", "most_uses", "records"])
     # One window over the sources' totals, a row for each target.
