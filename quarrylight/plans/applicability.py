@@ -136,8 +136,8 @@ def sub_jurisdiction_status(spark, sf):
     return b.select("entity_name", "jurisdiction", F.when(F.col("_r") == 2, "bound").when(F.col("_r") == 1, "advisory").otherwise("unknown").alias("status"))
 
 
-@query("""SELECT user_id, list_sort(list(DISTINCT event_type)) AS serves FROM events WHERE event_type NOT IN ('purchase') GROUP BY user_id HAVING count(*) FILTER (WHERE event_type = 'view') >= 1""")
+@query("""SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS serves FROM events WHERE event_type NOT IN ('purchase') GROUP BY user_id HAVING count(*) FILTER (WHERE event_type = 'view') >= 1""")
 def service_reach(spark, sf):
     """What a firm reaches without being bound by it: kinds of weak evidence, with at least one view."""
     e = table(spark, sf, "events").where("event_type <> 'purchase'")
-    return e.groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("serves"), F.count_if(F.col("event_type") == "view").alias("_v")).where("_v >= 1").drop("_v")
+    return e.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("serves"), F.count_if(F.col("event_type") == "view").alias("_v")).where("_v >= 1").drop("_v")

@@ -33,16 +33,16 @@ best AS (SELECT a.asked, r.name, len(list_intersect(a.w, r.w)) / (len(a.w) + len
 top AS (SELECT asked, min_by(name, (-score, name)) AS name, max(score) AS score FROM best GROUP BY asked)"""
 
 
-def _lookup(spark, sf):
+def _lookup(spark, sf, least: float):
     reg = table(spark, sf, "enforcement_actions").select(T.normal_name("entity_name").alias("name")).where("name <> ''").distinct().withColumn("tokens", F.array_distinct(F.split("name", " ")))
     ask = table(spark, sf, "site_pages").where("og_site_name is not null").select(T.normal_name("og_site_name").alias("asked")).where("asked <> ''").distinct().withColumn("tokens", F.array_distinct(F.split("asked", " ")))
-    return ask, match.best_name(ask, "asked", reg, "name", "tokens", 0.5)
+    return ask, match.best_name(ask, "asked", reg, "name", "tokens", least)
 
 
 @query(f"""WITH {_REGISTER} SELECT a.asked, CASE WHEN t.name = a.asked THEN 'exact' WHEN t.score >= 0.75 THEN 'close' WHEN t.score >= 0.5 THEN 'weak' ELSE 'none' END AS tier, CASE WHEN t.score >= 0.5 THEN t.name END AS name FROM askw a LEFT JOIN top t USING (asked)""")
 def register_lookup_tiers(spark, sf):
     """Names looked up in a register: the same name, then one that shares three quarters of its words, then half."""
-    ask, best = _lookup(spark, sf)
+    ask, best = _lookup(spark, sf, 0.5)
     tier = F.when(F.col("name") == F.col("asked"), "exact").when(F.col("score") >= 0.75, "close").when(F.col("score") >= 0.5, "weak").otherwise("none")
     return ask.select("asked").join(best, "asked", "left").select("asked", tier.alias("tier"), "name")
 
@@ -52,7 +52,7 @@ f AS (SELECT domain, min_by(asked, (-pages, asked)) AS asked FROM n WHERE asked
 i AS (SELECT domain, max(nullif(regexp_extract(footer_text, 'Company number ([0-9]{{8}})', 1), '')) AS number, count(DISTINCT nullif(regexp_extract(footer_text, 'Company number ([0-9]{{8}})', 1), '')) AS numbers, max(nullif(regexp_extract(footer_text, '([A-Z]{{2}}[0-9]{{1,2}}) ?[0-9][A-Z]{{2}}', 1), '')) AS district FROM site_bundles GROUP BY domain),
 k AS (SELECT domain, count(DISTINCT register) FILTER (WHERE kind = 'matched') AS matched FROM register_notes GROUP BY domain),
 s AS (SELECT i.domain, f.asked, number, numbers, coalesce(t.score, 0) AS score, 3 * (number IS NOT NULL)::INT + 2 * (district IS NOT NULL)::INT + least(coalesce(matched, 0), 2) AS points FROM i LEFT JOIN f USING (domain) LEFT JOIN top t ON t.asked = f.asked LEFT JOIN k USING (domain))
-SELECT domain, CASE WHEN numbers > 1 THEN 'CONFLICT' WHEN number IS NOT NULL AND score < 0.35 AND score > 0 THEN 'CONFLICT' WHEN number IS NOT NULL AND score >= 0.6 AND points >= 3 THEN 'CONFIRMED' WHEN number IS NULL AND score >= 0.75 AND points >= 4 THEN 'CONFIRMED' ELSE 'UNRESOLVED' END AS verdict, points FROM s""")
+SELECT domain, CASE WHEN numbers > 1 THEN 'CONFLICT' WHEN number IS NOT NULL AND asked IS NOT NULL AND score < 0.35 THEN 'CONFLICT' WHEN number IS NOT NULL AND score >= 0.6 AND points >= 3 THEN 'CONFIRMED' WHEN number IS NULL AND score >= 0.75 AND points >= 4 THEN 'CONFIRMED' ELSE 'UNRESOLVED' END AS verdict, points FROM s""")
 def entity_resolution(spark, sf):
     """The firm behind a site: by its number if it shows one, by name only otherwise, and then with more corroboration."""
     pages = table(spark, sf, "site_pages").where("og_site_name is not null").groupBy("domain", T.normal_name("og_site_name").alias("asked")).agg(F.count("*").alias("pages")).where("asked <> ''")
@@ -61,22 +61,16 @@ def entity_resolution(spark, sf):
     number = found("Company number ([0-9]{8})")
     ids = table(spark, sf, "site_bundles").groupBy("domain").agg(F.max(number).alias("number"), F.count_distinct(number).alias("numbers"), F.max(found("([A-Z]{2}[0-9]{1,2}) ?[0-9][A-Z]{2}")).alias("district"))
     notes = table(spark, sf, "register_notes").groupBy("domain").agg(F.count_distinct(F.when(F.col("kind") == "matched", F.col("register"))).alias("matched"))
-    # Below half of the words a score is looked up in the weak table, as a conflict needs to know it.
-    _, best = _lookup_all(spark, sf)
+    # A score below the least of all, or no name that shares a rare word, is a conflict.
+    _, best = _lookup(spark, sf, 0.35)
     s = ids.join(named, "domain", "left").join(best, "asked", "left").join(notes, "domain", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     some = lambda c: F.col(c).isNotNull().cast("int")
     s = s.withColumn("points", (3 * some("number") + 2 * some("district") + F.least(F.coalesce("matched", F.lit(0)), F.lit(2))).cast("long"))
     has = F.col("number").isNotNull()
-    verdict = F.when(F.col("numbers") > 1, "CONFLICT").when(has & (F.col("score") < 0.35) & (F.col("score") > 0), "CONFLICT").when(has & (F.col("score") >= 0.6) & (F.col("points") >= 3), "CONFIRMED").when(~has & (F.col("score") >= 0.75) & (F.col("points") >= 4), "CONFIRMED").otherwise("UNRESOLVED")
+    verdict = F.when(F.col("numbers") > 1, "CONFLICT").when(has & F.col("asked").isNotNull() & (F.col("score") < 0.35), "CONFLICT").when(has & (F.col("score") >= 0.6) & (F.col("points") >= 3), "CONFIRMED").when(~has & (F.col("score") >= 0.75) & (F.col("points") >= 4), "CONFIRMED").otherwise("UNRESOLVED")
     return s.select("domain", verdict.alias("verdict"), "points")
 
 
-def _lookup_all(spark, sf):
-    ask, _ = _lookup(spark, sf)
-    reg = table(spark, sf, "enforcement_actions").select(T.normal_name("entity_name").alias("name")).where("name <> ''").distinct().withColumn("tokens", F.array_distinct(F.split("name", " ")))
-    return ask, match.best_name(ask, "asked", reg, "name", "tokens", 0.0)
-
-
 _PAGES_LD = """j AS (SELECT page_id, json_ld FROM site_pages WHERE json_ld IS NOT NULL AND json_valid(json_ld)), a AS (SELECT page_id, unnest(CASE WHEN json_type(json_ld) = 'ARRAY' THEN CAST(json_ld AS JSON[]) ELSE [CAST(json_ld AS JSON)] END) AS node FROM j)"""
 
 
