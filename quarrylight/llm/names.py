@@ -214,6 +214,11 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return sure.unionByName(open_.mapInArrow(batches, open_.schema))
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """Joined by a shuffle whatever the planner makes of its size: it takes an exploded table to be as small as the file that it comes from, and would send all of it through the driver."""
+    return df.hint("merge")
+
+
 def links(cores: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` of ``cores(id, kind, core, other, trade)`` that are few edits apart, in either order of two words.
 
@@ -239,10 +244,10 @@ def links(cores: DataFrame) -> DataFrame:
     # A segment that very many cores share is split: its index entries by id, and its probes go to every part.
     index = cut(index, "segments")
     hot = index.groupBy("_key").agg(F.ceil(F.count("*") / HOT).cast("int").alias("_parts")).where("_parts > 1")
-    hot = F.broadcast(hot) if hot.limit(10_001).count() <= 10_000 else hot
+    hot = F.broadcast(hot) if hot.limit(10_001).count() <= 10_000 else _merged(hot)
     index = index.join(hot, "_key", "left").withColumn("_part", F.pmod("id", F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
     probes = probes.join(hot, "_key", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-    met = index.join(probes, ["_key", "_part"]).where("id <> id2").select("id", "id2", "form", "core", F.least("_k", "_e").alias("k"))
+    met = index.join(_merged(probes), ["_key", "_part"]).where("id <> id2").select("id", "id2", "form", "core", F.least("_k", "_e").alias("k"))
     # Short ones must have the same letters; all must share enough of them, which is cheaper to see than the distance.
     same = "IF(least(length(form), length(core)) >= {0}, true, array_sort(array_distinct(split(form, ''))) = array_sort(array_distinct(split(core, ''))))"
     met = _verified(met.where("levenshtein(form, core, 2 * k) >= 0").where(same.format(STRICT_BELOW)))
@@ -261,9 +266,9 @@ def balls(cores: DataFrame, edges: DataFrame, most_rounds: int = 12) -> DataFram
     for _ in range(most_rounds):
         found = components(left)
         degree = left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("_n"))
-        hubs = found.join(degree, "id").groupBy("component").agg(F.max_by("id", F.struct("_n", -F.col("id"))).alias("_hub"))
+        hubs = found.join(_merged(degree), "id").groupBy("component").agg(F.max_by("id", F.struct("_n", -F.col("id"))).alias("_hub"))
         side = lambda p: cores.select(F.col("id").alias(f"_{p}"), F.col("core").alias(f"{p}_core"), F.col("other").alias(f"{p}_other"))
-        whole = found.join(hubs, "component").join(side("hub"), "_hub").join(side("own").withColumnRenamed("_own", "id"), "id")
+        whole = found.join(_merged(hubs), "component").join(_merged(side("hub")), "_hub").join(_merged(side("own").withColumnRenamed("_own", "id")), "id")
         whole = cut(whole.select("id", F.col("_hub").alias("component"), (near("hub_core", "own_core") | near("hub_core", "own_other") | near("hub_other", "own_core")).alias("_near")), "balls")
         kept = whole.where("_near").select("id", "component")
         done = kept if done is None else done.unionByName(kept)
@@ -271,8 +276,8 @@ def balls(cores: DataFrame, edges: DataFrame, most_rounds: int = 12) -> DataFram
         if far.isEmpty():
             return done
         # Ends without a partner among the far ones stand alone, under their own id.
-        rest = left.join(far.withColumnRenamed("id", "a"), "a", "left_semi").join(far.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")
-        done = done.unionByName(far.join(rest.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_anti").select("id", F.col("id").alias("component")))
+        rest = left.join(_merged(far.withColumnRenamed("id", "a")), "a", "left_semi").join(_merged(far.withColumnRenamed("id", "b")), "b", "left_semi").select("a", "b")
+        done = done.unionByName(far.join(_merged(rest.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "id", "left_anti").select("id", F.col("id").alias("component")))
         left = cut(rest, "links")
     raise RuntimeError(f"components did not settle around hubs within {most_rounds} rounds")
 
@@ -286,10 +291,10 @@ def components(edges: DataFrame, most_rounds: int = 30) -> DataFrame:
     both = cut(edges.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("to"))), "edges")
     labels = cut(both.groupBy("id").agg(F.least(F.col("id"), F.min("to")).alias("component")), "labels")
     for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("id").alias("to"), "component"), "to").groupBy("id").agg(F.min("component").alias("_near"))
-        less = labels.join(near, "id", "left").select("id", F.col("component").alias("_was"), F.least("component", F.coalesce("_near", "component")).alias("_c"))
+        near = both.join(_merged(labels.select(F.col("id").alias("to"), "component")), "to").groupBy("id").agg(F.min("component").alias("_near"))
+        less = labels.join(_merged(near), "id", "left").select("id", F.col("component").alias("_was"), F.least("component", F.coalesce("_near", "component")).alias("_c"))
         own = labels.select(F.col("id").alias("_c"), F.col("component").alias("_own"))
-        new = cut(less.join(own, "_c", "left").select("id", "_was", F.least("_c", F.coalesce("_own", "_c")).alias("component")), "labels")
+        new = cut(less.join(_merged(own), "_c", "left").select("id", "_was", F.least("_c", F.coalesce("_own", "_c")).alias("component")), "labels")
         labels = new.select("id", "component")
         if new.where("component <> _was").isEmpty():
             return labels
@@ -313,12 +318,12 @@ def entities(names: DataFrame) -> DataFrame:
     key = F.xxhash64("kind", "core", "other", "trade")
     cores = cut(parsed.select(key.alias("id"), "kind", "core", "other", "trade").distinct().repartition(tasks), "cores")
     found = balls(cores, links(cores))
-    whole = parsed.withColumn("id", key).join(found, "id", "left").withColumn("entity", F.coalesce("component", "id"))
+    whole = parsed.withColumn("id", key).join(_merged(found), "id", "left").withColumn("entity", F.coalesce("component", "id"))
     # Initials and shared short forms take the one full given name of their component that they fit.
     full = whole.where("kind = 'p' and length(given) > 1 and instr(given, '|') = 0").groupBy("entity").agg(F.collect_set("given").alias("_full"))
     fits = F.expr("filter(_full, x -> IF(length(given) = 1, startswith(x, given), array_contains(split(given, '[|]'), x)))")
     given = F.when((F.length("given") == 1) | (F.instr("given", "|") > 0), F.when(F.size(fits) == 1, fits[0]).otherwise(F.col("given"))).otherwise(F.col("given"))
-    return whole.join(full, "entity", "left").select("name", "kind", "trade", "entity", given.alias("given"))
+    return whole.join(_merged(full), "entity", "left").select("name", "kind", "trade", "entity", given.alias("given"))
 
 
 def members(names: DataFrame) -> DataFrame:
@@ -328,12 +333,12 @@ def members(names: DataFrame) -> DataFrame:
     """
     e = cut(entities(names), "entities")
     chosen = e.groupBy("entity", "given").agg(F.max_by("name", F.struct(F.length("name"), "name")).alias("representative"))
-    return e.join(chosen, ["entity", "given"]).select("name", "entity", "given", "representative")
+    return e.join(_merged(chosen), ["entity", "given"]).select("name", "entity", "given", "representative")
 
 
 def pairs(names: DataFrame) -> DataFrame:
     """``(name_a, name_b)``: every pair of different stored names of one entity, the smaller one first by code point."""
     e = cut(entities(names), "entities")
     other = e.select(F.col("name").alias("name_b"), "entity", "given", F.col("trade").alias("_trade"))
-    met = e.withColumnRenamed("name", "name_a").join(other, ["entity", "given"]).where("name_a < name_b and (trade = _trade or trade = '' or _trade = '')")
+    met = e.withColumnRenamed("name", "name_a").join(_merged(other), ["entity", "given"]).where("name_a < name_b and (trade = _trade or trade = '' or _trade = '')")
     return met.select("name_a", "name_b").distinct()

@@ -112,6 +112,18 @@ def test_components_of_a_chain(spark):
     assert names.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_names_send_only_the_counted_hot_segments_to_every_executor(spark, monkeypatch):
+    """The planner takes exploded tables to be as small as their files, so that each join could pass through the driver."""
+    plans, cut = [], names.cut
+    monkeypatch.setattr(names, "cut", lambda df, label: (plans.append(df), cut(df, label))[1])
+    data = spark.createDataFrame([(x,) for x in SAME], "name string")
+    plans += [names.pairs(data), names.members(data)]
+    joins = [x.strip() for df in plans for x in df._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in x]
+    assert any("SortMergeJoin" in x for x in joins)
+    assert not [x for x in joins if "BroadcastHashJoin [_key#" not in x and "Broadcast" in x]
+    assert not [x for x in joins if "Broadcast" in x and "LeftOuter" not in x]
+
+
 def test_names_of_empty_table_and_long_name(spark):
     assert found_pairs(spark, []) == set()
     assert found_pairs(spark, ["x" * 20_000 + " Limited", "y Limited"]) == set()
