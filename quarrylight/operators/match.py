@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylight.runtime import cut
+
 #: Rows up to which a table of patterns may be sent to every executor.
 SMALL = 10_000
+#: Tokens up to which every set of a name's tokens is looked up.
+WIDE = 8
 
 
 def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
@@ -29,24 +35,56 @@ def token_hits(texts: DataFrame, key: str, tokens: str, patterns: DataFrame, pat
 def best_name(queries: DataFrame, query_key: str, candidates: DataFrame, candidate_key: str, tokens: str, least: float) -> DataFrame:
     """For each query the candidate of the highest token Jaccard, ties to the lower key; both sides have arrays of distinct tokens.
 
-    Pairs meet by their rarest tokens only: a pair of at least ``least`` shares
-    one of the first ``n - ceil(least * n) + 1`` of each side's n tokens, when
-    tokens are ordered by how few candidates have them.  So words that all
-    names have bring nobody together.  With ``least`` of zero every shared
-    token counts.
+    No pair is moved.  Of all candidates that hold a set of tokens, only the
+    shortest and then the first can be the best of a query that shares just
+    these; so each set of a candidate's tokens keeps that one, and a query
+    looks up the sets of its own.  A set smaller than what is shared scores too
+    low, never too high, so the best of all looked up is the best of all pairs.
+    Rows grow with the names, not with the pairs.  Pairs with more than ``WIDE``
+    tokens on a side would have too many sets: they meet by their rarest tokens
+    (a pair of at least ``least`` shares one of the first ``n - ceil(least * n)
+    + 1`` of each side's n) and are scored where they meet.
     """
-    q, c = queries.select(query_key, F.col(tokens).alias("_q")), candidates.select(candidate_key, F.col(tokens).alias("_c"))
-    rarity = c.select(F.explode("_c").alias("_t")).groupBy("_t").agg(F.count("*").alias("_f"))
-
-    def prefixes(df: DataFrame, key: str, words: str) -> DataFrame:
-        each = df.select(key, F.size(words).alias("_n"), F.explode(words).alias("_t")).join(rarity, "_t", "left")
-        w = Window.partitionBy(key).orderBy(F.coalesce("_f", F.lit(0)), "_t")
-        return each.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= F.col("_n") - F.ceil(F.lit(float(least)) * F.col("_n") - 1e-9) + F.lit(1 if least > 0 else 0)).select(key, "_t")
-
-    met = prefixes(q, query_key, "_q").join(prefixes(c, candidate_key, "_c"), "_t").select(query_key, candidate_key).distinct().join(q, query_key).join(c, candidate_key)
-    shared = F.size(F.array_intersect("_q", "_c"))
-    scored = met.withColumn("score", shared / (F.size("_q") + F.size("_c") - shared)).where(F.col("score") >= least)
-    return scored.groupBy(query_key).agg(F.min_by(F.struct(candidate_key, "score"), F.struct(-F.col("score"), F.col(candidate_key))).alias("_b")).select(query_key, "_b.*")
+    words = F.transform(tokens, lambda t: F.xxhash64(t)).alias("_h")
+    q = cut(queries.select(F.col(query_key).alias("_q"), words).withColumn("_id", F.monotonically_increasing_id()), "queries")
+    # Numbers in the order of the keys: the lower key has the lower number.
+    c = cut(candidates.select(F.col(candidate_key).alias("_c"), words).orderBy("_c").withColumn("_id", F.monotonically_increasing_id()), "candidates")
+    spark = queries.sparkSession
+    # Little to read but much to compute: the tasks are not left to their sizes in bytes.
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # The planner takes what is exploded to be as small as its file; merged, it never passes through the driver.
+    merged = lambda df: df.hint("merge")
+    narrow, wide = F.size("_h") <= WIDE, F.size("_h") > WIDE
+    shared_least = lambda n: F.ceil(F.lit(float(least)) * n - 1e-9)
+
+    def sets(df: DataFrame) -> DataFrame:
+        n, k = F.size("_h"), F.bit_count("_m")
+        each = df.where(narrow & (n > 0)).repartition(tasks, "_id").withColumn("_m", F.explode(F.sequence(F.lit(1), F.expr("shiftleft(1, size(_h)) - 1")))).where((k >= 1) & (k >= shared_least(n)))
+        of = [F.when(F.col("_m").bitwiseAND(1 << i) != 0, F.get("_h", F.lit(i))).otherwise(F.lit(0).cast("long")) for i in range(WIDE)]
+        return each.select("_id", n.cast("long").alias("_n"), k.cast("long").alias("_k"), reduce(lambda x, y: x.bitwiseXOR(y), of).alias("_set"))
+
+    # Length and number in one long, so that the least is kept in place.
+    held = sets(c).groupBy("_set", "_k").agg(F.min(F.shiftleft("_n", 48).bitwiseOR(F.col("_id"))).alias("_first"))
+    score = F.col("_k") / (F.col("_n") + F.shiftright("_first", 48) - F.col("_k"))
+    by_sets = merged(sets(q)).join(held, ["_set", "_k"]).select(F.col("_id").alias("_q_id"), score.alias("score"), F.col("_first").bitwiseAND((1 << 48) - 1).alias("_c_id"))
+
+    rarity = c.select(F.explode("_h").alias("_t")).groupBy("_t").agg(F.count("*").alias("_f"))
+
+    def prefixes(df: DataFrame, side: str) -> DataFrame:
+        each = df.select("_id", "_h", F.size("_h").alias("_n"), F.explode("_h").alias("_t")).join(merged(rarity), "_t", "left")
+        w = Window.partitionBy("_id").orderBy(F.coalesce("_f", F.lit(0)), "_t")
+        first = each.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= F.col("_n") - shared_least(F.col("_n")) + F.lit(1 if least > 0 else 0))
+        return first.select(F.col("_id").alias(f"_{side}_id"), F.col("_h").alias(f"_{side}_h"), "_t")
+
+    def met(a: DataFrame, b: DataFrame) -> DataFrame:
+        shared = F.size(F.array_intersect("_q_h", "_c_h"))
+        return prefixes(a, "q").join(merged(prefixes(b, "c")), "_t").select("_q_id", (shared / (F.size("_q_h") + F.size("_c_h") - shared)).alias("score"), "_c_id")
+
+    scored = by_sets.unionByName(met(q.where(wide), c)).unionByName(met(q.where(narrow), c.where(wide))).where(F.col("score") >= least)
+    # Few scores for each query: the first of each is kept in place, and of these the best.
+    best = scored.groupBy("_q_id", "score").agg(F.min("_c_id").alias("_c_id")).groupBy("_q_id").agg(F.min_by(F.struct("_c_id", "score"), F.struct(-F.col("score"), F.col("_c_id"))).alias("_b")).select("_q_id", "_b.*")
+    named = best.join(merged(q.select("_q", F.col("_id").alias("_q_id"))), "_q_id").join(merged(c.select("_c", F.col("_id").alias("_c_id"))), "_c_id")
+    return named.groupBy(F.col("_q").alias(query_key)).agg(F.min_by(F.struct(F.col("_c").alias(candidate_key), "score"), F.struct(-F.col("score"), F.col("_c"))).alias("_b")).select(query_key, "_b.*")
 
 
 def longest_prefix(df: DataFrame, column: str, prefixes: DataFrame, prefix: str, value: str, most: int) -> DataFrame:

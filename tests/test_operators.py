@@ -168,6 +168,40 @@ def test_best_name_by_rarest_words_equals_all_pairs(spark):
         assert {r.q: (r.c, round(r.score, 9)) for r in got} == want
 
 
+def test_best_name_of_short_and_long_names_equals_all_pairs(spark):
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(16)]
+    make = lambda n, p: [(f"{p}{i:02}", rnd.sample(words, rnd.choice((1, 2, 3, 7, 8, 9, 12)))) for i in range(n)] + [(f"{p}-none", [])]
+    q, c = make(50, "q"), make(70, "c")
+    for least in (0.0, 0.35, 0.6):
+        want = {}
+        for k, a in q:
+            best = min(((-len(set(a) & set(b)) / len(set(a) | set(b)), n) for n, b in c if set(a) & set(b)), default=None)
+            if best and -best[0] >= least:
+                want[k] = (best[1], round(-best[0], 9))
+        got = match.best_name(spark.createDataFrame(q, "q string, t array<string>"), "q", spark.createDataFrame(c, "c string, t array<string>"), "c", "t", least).collect()
+        assert {r.q: (r.c, round(r.score, 9)) for r in got} == want
+
+
+def most_joined(df):
+    """The most rows that came out of one join of a table that was collected."""
+    joined, plans = [0], [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        x = plans.pop()
+        if "Join" in x.nodeName():
+            joined.append(x.metrics().apply("numOutputRows").value())
+        plans += [x.executedPlan()] if x.nodeName() == "AdaptiveSparkPlan" else [x.plan()] if "QueryStage" in x.nodeName() else [x.children().apply(i) for i in range(x.children().size())]
+    return max(joined)
+
+
+def test_best_name_moves_no_pairs_of_common_words(spark):
+    """300 queries and 300 candidates with the same four words: 90,000 pairs, of which none may come out of a join."""
+    make = lambda p: spark.range(300).select(F.concat(F.lit(p), "id").alias(p), F.array(*(F.lit(x) for x in ("and", "dental", "practice", "the")), F.concat(F.lit(p), "id")).alias("t"))
+    got = match.best_name(make("q"), "q", make("c"), "c", "t", 0.35)
+    assert {tuple(r) for r in got.collect()} == {(f"q{i}", "c0", 4 / 6) for i in range(300)}
+    assert 0 < most_joined(got) < 30_000
+
+
 def test_islands_across_ranges_equal_one_pass(spark):
     rnd = random.Random(6)
     data = [(rnd.choice("ab"), s, s + rnd.choice((1, 2, 300)), i) for i, s in enumerate(rnd.sample(range(3000), 160))]
