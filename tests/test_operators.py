@@ -9,6 +9,7 @@ from quarrylight.functions import text as T
 from quarrylight.functions import url as U
 from quarrylight.functions import values as V
 from quarrylight.operators import gates, match, order, quality, rollup
+from quarrylight.plans import registry
 from quarrylight.sources import files
 from tests.conftest import rows
 
@@ -202,6 +203,18 @@ def test_best_name_moves_no_pairs_of_common_words(spark):
     assert 0 < most_joined(got) < 30_000
 
 
+def test_entity_resolution_moves_no_pairs_of_common_words(spark, tmp_path):
+    """150 sites and 300 firms named by the same two words and one of their own: no join gives the pairs, and each score of a half is no conflict."""
+    save = lambda name, data, schema: spark.createDataFrame(data, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    save("site_pages", [(f"d{i}", f"Dental Practice s{i}") for i in range(150)] + [("other", "Quarry")], "domain string, og_site_name string")
+    save("enforcement_actions", [(f"Dental Practice f{i}",) for i in range(300)], "entity_name string")
+    save("site_bundles", [(f"d{i}", "Company number 01234567") for i in range(150)] + [("other", "Company number 01234567")], "domain string, footer_text string")
+    save("register_notes", [("d0", "a", "matched")], "domain string, register string, kind string")
+    got = registry.QUERIES["entity_resolution"](spark, str(tmp_path))
+    assert {r.domain: r.verdict for r in got.collect()} == {f"d{i}": "UNRESOLVED" for i in range(150)} | {"other": "CONFLICT"}
+    assert 0 < most_joined(got) < 15_000
+
+
 def test_islands_across_ranges_equal_one_pass(spark):
     rnd = random.Random(6)
     data = [(rnd.choice("ab"), s, s + rnd.choice((1, 2, 300)), i) for i, s in enumerate(rnd.sample(range(3000), 160))]
