@@ -215,6 +215,51 @@ def test_entity_resolution_moves_no_pairs_of_common_words(spark, tmp_path):
     assert 0 < most_joined(got) < 15_000
 
 
+@pytest.mark.parametrize(("rare", "wide", "small"), [(0, 8, 10_000), (0, 3, 10_000), (5, 3, 10_000), (9, 8, 2)])
+def test_best_name_by_rare_and_common_words_equals_all_pairs(spark, monkeypatch, rare, wide, small):
+    """Words that many hold and words that few hold, names of many common words, and a table of common words that is not broadcast."""
+    monkeypatch.setattr(match, "RARE", rare)
+    monkeypatch.setattr(match, "WIDE", wide)
+    monkeypatch.setattr(match.small, "__defaults__", (small,))
+    rnd = random.Random(rare + wide)
+    words = [f"w{i}" for i in range(14)]
+    some = lambda: sorted(set(rnd.choices(words, [2 ** (-i / 3) for i in range(14)], k=rnd.choice((1, 2, 4, 8, 12)))))
+    make = lambda n, p: [(f"{p}{i:02}", some()) for i in range(n)] + [(f"{p}-none", []), (f"{p}-other", [p])]
+    q, c = make(40, "q"), make(60, "c")
+    for least in (0.0, 0.35, 0.6):
+        want = {}
+        for k, a in q:
+            best = min(((-len(set(a) & set(b)) / len(set(a) | set(b)), n) for n, b in c if set(a) & set(b)), default=None)
+            if best and -best[0] >= least:
+                want[k] = (best[1], round(-best[0], 9))
+        got = match.best_name(spark.createDataFrame(q, "q string, t array<string>"), "q", spark.createDataFrame(c, "c string, t array<string>"), "c", "t", least).collect()
+        assert {r.q: (r.c, round(r.score, 9)) for r in got} == want
+
+
+def most_moved(df):
+    """The most rows that one shuffle of a table that was collected took."""
+    moved, plans = [0], [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        x = plans.pop()
+        if x.nodeName() == "Exchange":
+            moved.append(x.metrics().apply("shuffleRecordsWritten").value())
+        plans += [x.executedPlan()] if x.nodeName() == "AdaptiveSparkPlan" else [x.plan()] if "QueryStage" in x.nodeName() else [x.children().apply(i) for i in range(x.children().size())]
+    return max(moved)
+
+
+def test_entity_resolution_moves_no_sets_of_long_names(spark, tmp_path):
+    """100 sites and 200 firms named by three words of all and five of their own: each has 219 sets of at least three words, none of which is moved."""
+    save = lambda name, data, schema: spark.createDataFrame(data, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    name = lambda i: " ".join(("Dental Care Practice", *(f"{x}{i}" for x in "abcde")))
+    save("site_pages", [(f"d{i}", name(i)) for i in range(100)] + [("other", name("-"))], "domain string, og_site_name string")
+    save("enforcement_actions", [(name(2 * i),) for i in range(200)], "entity_name string")
+    save("site_bundles", [(f"d{i}", "Company number 01234567") for i in range(100)] + [("other", "Company number 01234567")], "domain string, footer_text string")
+    save("register_notes", [("d0", "a", "matched")], "domain string, register string, kind string")
+    got = registry.QUERIES["entity_resolution"](spark, str(tmp_path))
+    assert {r.domain: r.verdict for r in got.collect()} == {f"d{i}": "CONFLICT" if i % 2 else "CONFIRMED" for i in range(100)} | {"other": "CONFLICT"}
+    assert 0 < most_moved(got) < 2_000
+
+
 def test_islands_across_ranges_equal_one_pass(spark):
     rnd = random.Random(6)
     data = [(rnd.choice("ab"), s, s + rnd.choice((1, 2, 300)), i) for i, s in enumerate(rnd.sample(range(3000), 160))]
